@@ -12,7 +12,8 @@ def pdiv(a: Column, b: Column) -> Column:
     """``a / b`` with ``x/0 = +-inf`` and ``0/0`` missing (plain ``/`` raises under ANSI)."""
     a = a.cast("double")
     b = b.cast("double")
-    return F.when(b != 0, a / b).when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    return (F.when(b != 0, a / b)
+            .when((b == 0) & (a > 0), F.lit(INF)).when((b == 0) & (a < 0), F.lit(-INF)))
 
 
 def finite(x: Column) -> Column:

@@ -9,9 +9,10 @@ def num(x: float) -> str:
 
 
 def div(a: str, b: str) -> str:
-    """``a / b`` with ``x/0 = +-inf`` and ``0/0`` missing."""
+    """``a / b`` with ``x/0 = +-inf`` and ``0/0`` (or a missing part) missing."""
     return (f"(CASE WHEN ({b}) <> 0 THEN ({a}) / double({b}) "
-            f"WHEN ({a}) > 0 THEN double('Infinity') WHEN ({a}) < 0 THEN double('-Infinity') END)")
+            f"WHEN ({b}) = 0 AND ({a}) > 0 THEN double('Infinity') "
+            f"WHEN ({b}) = 0 AND ({a}) < 0 THEN double('-Infinity') END)")
 
 
 def finite(x: str) -> str:

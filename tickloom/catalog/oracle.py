@@ -212,20 +212,21 @@ def feature_ctes(bars: str = EVENT_BARS, scans: bool = True) -> str:
 
 INTEGERS = {"day", "month", "year", "rsi_overbought", "rsi_oversold", "macd_bullish_cross",
             "ichimoku_bearish", "ichimoku_bullish", "direction", "trend", "high_volume_zone",
-            "tick_volume", "spread", "buy_volume", "sell_volume",
-            *[f"volume_lag_{k}" for k in LAGS]}
+            "tick_volume", "spread", "buy_volume", "sell_volume"}
 
 
-def shown(column: str, expr: str | None = None) -> str:
+def shown(column: str, expr: str | None = None, digits: int = 6) -> str:
     expr = expr or f'"{column}"'
     if column in INTEGERS:
         return f'CAST({expr} AS BIGINT) AS "{column}"'
-    return f'round({expr}, 6) + 0.0 AS "{column}"'
+    return f'round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS "{column}"'
 
 
 def features(columns, bars: str = EVENT_BARS, scans: bool = False) -> str:
     """Unfilled feature columns."""
-    picked = ", ".join(shown(c) for c in columns)
+    # Order totals are a thousand times the event values: three digits fewer are comparable.
+    digits = 3 if bars is ORDER_BARS else 6
+    picked = ", ".join(shown(c, digits=digits) for c in columns)
     return f"{feature_ctes(bars, scans)}\nSELECT symbol, time, {picked} FROM {'f' if scans else 'x6'}"
 
 

@@ -24,6 +24,10 @@ from tickloom.plans.presets import Rule, StrategyConfig, rules_frame
 from tickloom.session import materialise, shared_dir
 from tickloom.sources import bars as B
 from tickloom.sources import logs as L
+from tickloom.streaming import bars as SB
+from tickloom.streaming import features as SF
+from tickloom.streaming import logs as SL
+from tickloom.streaming import upserts as SU
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,11 +77,11 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
                    lambda: B.build_bars(order_ticks(spark, sf_dir), "day"))
 
 
-def shown(df: DataFrame) -> DataFrame:
+def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, integers widened: comparable across engines."""
     def column(name: str, kind: str):
         if kind == "double":
-            return rounded(F.col(name)).alias(name)
+            return rounded(F.col(name), digits).alias(name)
         if kind in ("int", "bigint"):
             return F.col(name).cast("long").alias(name)
         return F.col(name)
@@ -85,11 +89,13 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def indicator(columns: tuple[str, ...], bars: Query = event_bars, **kw) -> Query:
-    seconds = 86400 if bars is order_bars else 3600
+    # Order totals are a thousand times the event values: three digits fewer are comparable.
+    seconds, digits = (86400, 3) if bars is order_bars else (3600, 6)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = feature_table(bars(spark, sf_dir), list(columns), kw.get("view", "raw"),
                             kw.get("families"), bar_seconds=seconds)
-        return shown(out.select("symbol", "time", *columns))
+        return shown(out.select("symbol", "time", *columns), digits)
     return run
 
 
@@ -165,7 +171,7 @@ ROLLING_SUMS = ("volume_sum_20", "flow_sum_20", "price_up")
 
 def rolling_sums(spark, sf_dir):
     family = [*I.money_flow(), *I.up_counts(),
-              row("volume_sum_20", "_volume_sum", "_volume_sum"),
+              row("volume_sum_20", "_volume_sum", "double(_volume_sum)"),
               row("flow_sum_20", "_flow_sum", "_flow_sum")]
     return indicator(ROLLING_SUMS, families=[family])(spark, sf_dir)
 
@@ -188,7 +194,7 @@ def fill_query(backward_only: bool) -> Query:
         if backward_only:
             out = fill_backward(own, ["gappy"], series.chunk_rows, series.single)
         else:
-            out = fill(own, ["gappy"], series.chunk_rows, series.single, backward=False)
+            out = fill(own, ["gappy"], series.chunk_rows, series.single, series.chunks, False)
         return shown(out.select("symbol", "time", "gappy"))
     return run
 
@@ -484,7 +490,7 @@ def extract_execution_strict(spark, sf_dir):
 def extract_json(spark, sf_dir):
     return responses(spark, sf_dir).select("response_id", T.extract_json(
         F.col("response"), "action string, score bigint").alias("j")).select(
-        "response_id", "j.action", "j.score")
+        "response_id", "j.action", F.col("j.score").cast("double").alias("score"))
 
 
 def split_decision(spark, sf_dir):
@@ -548,6 +554,96 @@ def log_latest(spark, sf_dir):
     return L.log_latest(spark, _log(spark, sf_dir))
 
 
+# --- streams ---------------------------------------------------------------------------------
+
+FEED_CUTS = ("2024-01-08 00:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00")
+
+
+def _feed(df: DataFrame, time: str, run: Callable[[str], None]) -> None:
+    """Let rows arrive in three parts by time; ``run`` processes the feed after each."""
+    feed = _folder(df.sparkSession, "feed")
+    start = "1970-01-01 00:00:00"
+    for cut in FEED_CUTS:
+        part = df.filter((F.col(time) >= F.lit(start).cast("timestamp_ntz"))
+                         & (F.col(time) < F.lit(cut).cast("timestamp_ntz")))
+        part.write.mode("append").parquet(feed)
+        run(feed)
+        start = cut
+
+
+def stream_bars(spark, sf_dir):
+    ticks = event_ticks(spark, sf_dir)
+    out = _folder(spark, "stream-bars")
+
+    def run(feed: str) -> None:
+        source = spark.readStream.schema(ticks.schema).parquet(feed)
+        SB.to_parquet(SB.stream_bars(source), f"{out}/bars", f"{out}/check").awaitTermination()
+    _feed(ticks, "ts", run)
+    return shown(spark.read.parquet(f"{out}/bars"))
+
+
+def stream_dedup(spark, sf_dir):
+    """Every second bar arrives again in a later batch with a higher close: the first is kept."""
+    bars = event_bars(spark, sf_dir)
+    again = bars.filter(F.col("tick_volume") % 2 == 0).withColumn("close", F.col("close") + 1)
+    out, feed = _folder(spark, "stream-dedup"), _folder(spark, "feed")
+    for part in (bars, again):
+        part.write.mode("append").parquet(feed)
+        source = spark.readStream.schema(bars.schema).parquet(feed)
+        SB.to_parquet(SB.first_arrivals(source, "60 days"), f"{out}/bars", f"{out}/check"
+                      ).awaitTermination()
+    return shown(spark.read.parquet(f"{out}/bars"))
+
+
+def stream_keep_last(spark, sf_dir):
+    """Every second bar is corrected in a later batch: the correction wins."""
+    bars = event_bars(spark, sf_dir)
+    fixed = bars.filter(F.col("tick_volume") % 2 == 0).withColumn("close", F.col("close") + 1)
+    out, feed = _folder(spark, "stream-last"), _folder(spark, "feed")
+    for part in (bars, fixed):
+        part.write.mode("append").parquet(feed)
+        source = spark.readStream.schema(bars.schema).parquet(feed)
+        SU.keep_latest(source, out).awaitTermination()
+    return shown(SU.latest_bars(spark.read.parquet(f"{out}/bars").drop("batch")))
+
+
+STREAM_COLUMNS = ("rsi", "ema_50", "atr", "obv", "adx", "macd_histogram_slope", "cmf",
+                  "fib_382", "ichimoku_lagging", "liquidity_index")
+
+
+def _feature_stream(spark, sf_dir, columns, then=None) -> DataFrame:
+    bars = event_bars(spark, sf_dir)
+    out = _folder(spark, "stream-features")
+    features = SF.FeatureStream(columns)
+
+    def run(feed: str) -> None:
+        source = spark.readStream.schema(bars.schema).parquet(feed)
+        SF.start(source, features, f"{out}/work", f"{out}/rows", then).awaitTermination()
+    _feed(bars, "time", run)
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def stream_features(spark, sf_dir):
+    rows = _feature_stream(spark, sf_dir, STREAM_COLUMNS)
+    return shown(rows.select("symbol", "time", *STREAM_COLUMNS))
+
+
+def stream_decisions(spark, sf_dir):
+    needed = P.needed_features(BUY, SELL, extra=SCORED_ON)
+    return _feature_stream(spark, sf_dir, needed, lambda rows: P.answer_rows(
+        rows, BUY, SELL, logit_scorer)).select(
+        "symbol", "time", "action_sell", "action_buy", "action")
+
+
+def stream_log(spark, sf_dir):
+    out, folder = _folder(spark, "stream-log"), _folder(spark, "log")
+    texts = responses(spark, sf_dir)
+    for half in (texts.filter("response_id % 2 = 0"), texts.filter("response_id % 2 = 1")):
+        L.append_log(half, folder)
+        SL.tail_log(spark, folder, f"{out}/rows", f"{out}/check").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, columns in {**FINITE, **RUNNING}.items():
@@ -567,7 +663,8 @@ def queries() -> dict[str, Query]:
         volume_confirm, decisions_as_of, base_scores, stacked_scores, extract_decision,
         extract_justification, extract_execution, extract_execution_strict, extract_json,
         split_decision, review_table, exec_valid, exec_quarantine, build_requests, log_records,
-        parse_log, log_latest,
+        parse_log, log_latest, stream_bars, stream_dedup, stream_keep_last, stream_features,
+        stream_decisions, stream_log,
     ):
         found[fn.__name__] = fn
     return found

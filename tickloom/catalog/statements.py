@@ -178,6 +178,13 @@ RECORD = (r"FINAL DECISION:\s*((?s:.*?))\*\*(?s:.*?)Trade Execution(?s:.*?)- Ent
           r"(?s:.*?)- Stop Loss:\s*\[([\d\.]+)\](?s:.*?)- Take Profit:\s*\[([\d\.]+)\]")
 
 
+def _as_of(columns) -> str:
+    """Forward fill only, with the lagging span as a history cut at the row has it."""
+    return filled(columns, backward=False).replace(
+        'last_value("ichimoku_lagging" IGNORE NULLS)',
+        "last_value(CASE WHEN rn >= 26 THEN close END IGNORE NULLS)")
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     for name, columns in Q.FINITE.items():
@@ -189,9 +196,7 @@ def oracle_sql() -> dict[str, str]:
     for name, columns in Q.DAILY_RUNNING.items():
         sql[name] = features(columns, ORDER_BARS, scans=True)
     sql["feature_table"] = filled(COLUMNS)
-    sql["feature_table_as_of"] = filled(COLUMNS, backward=False).replace(
-        'last_value("ichimoku_lagging" IGNORE NULLS)',
-        "last_value(CASE WHEN rn >= 26 THEN close END IGNORE NULLS)")
+    sql["feature_table_as_of"] = _as_of(COLUMNS)
     sql["fill_forward"] = _gappy(False)
     sql["fill_backward"] = _gappy(True)
     sql["scan_bars"] = sql["snapshot_roundtrip"] = sql["build_bars_hourly"] = _bars()
@@ -204,13 +209,13 @@ def oracle_sql() -> dict[str, str]:
     sql["features_as_of"] = filled(("rsi", "ema_50", "cmf", "ichimoku_lagging"),
                                    _cut("time <= TIMESTAMP '2024-01-20 12:00:00'"))
     sql["append_dedup_last"] = _bars().replace(
-        'round("close", 6)', "round(CASE WHEN tick_volume % 2 = 0 THEN close + 1 ELSE close END, 6)")
+        'CAST("close" AS DOUBLE)', "(CASE WHEN tick_volume % 2 = 0 THEN close + 1 ELSE close END)")
     sql["safe_division"] = (
         f"WITH {EVENT_BARS} SELECT symbol, time, {shown('body_share', div('close - open', 'high - low'))}, "
         f"{shown('close_per_extra', div('close', 'tick_volume - 1'))} FROM bars")
     sql["tz_projection"] = f"SELECT event_id, {ZONES} FROM events"
     sql["rolling_sums"] = (
-        f"{feature_ctes(scans=False)} SELECT symbol, time, CAST(vol_sum AS BIGINT) AS volume_sum_20, "
+        f"{feature_ctes(scans=False)} SELECT symbol, time, {shown('volume_sum_20', 'vol_sum')}, "
         f"{shown('flow_sum_20', 'flow_sum')}, {shown('price_up')} FROM x6")
     sql["ewm_adjusted"] = _ewm()
 
@@ -262,7 +267,7 @@ FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
         f"{_price('Take Profit', True)} AS take_profit FROM r")
     sql["extract_json"] = (
         f"{responses} CASE WHEN response_id % 8 = 0 THEN kind END AS action, "
-        "CASE WHEN response_id % 8 = 0 THEN response_id END AS score FROM r")
+        "CAST(CASE WHEN response_id % 8 = 0 THEN response_id END AS DOUBLE) AS score FROM r")
     sql["split_decision"] = (
         f"{responses} CASE WHEN contains(response, 'FINAL DECISION:') THEN "
         + STRIP.format("string_split(response, 'FINAL DECISION:')[2]") + " ELSE 'invalid' END AS answer FROM r")
@@ -300,5 +305,12 @@ FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
         + ", ".join(f"regexp_extract(response, '{RECORD}', {i}) AS {n}" for i, n in (
             (2, "entry"), (3, "stop_loss"), (4, "take_profit")))
         + f" FROM r WHERE regexp_matches(response, '{RECORD}')")
+    sql["stream_bars"] = _bars(
+        where="WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+    sql["stream_dedup"] = _bars()
+    sql["stream_keep_last"] = sql["append_dedup_last"]
+    sql["stream_features"] = _as_of(Q.STREAM_COLUMNS)
+    sql["stream_decisions"] = sql["service_action"]
+    sql["stream_log"] = sql["parse_log"]
     sql["log_latest"] = "SELECT max(date_trunc('second', ts)) AS latest FROM events"
     return sql

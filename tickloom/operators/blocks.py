@@ -41,16 +41,18 @@ def exclusive_prefix(
     order: str,
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
+    rows: int | None = None,
     limit: int = PREFIX_LIMIT,
     fan: int = PREFIX_FAN,
 ) -> DataFrame:
     """Per block: totals (``sums``) and last known values (``lasts``) over the earlier blocks.
 
-    ``blocks`` is a materialised table with one row per ``(symbol, order)``. Small tables take one
-    window per symbol; beyond ``limit`` rows the window runs per group of ``fan`` blocks and the
-    group totals are prefixed again, so no task holds more than about ``fan`` blocks of a symbol.
+    ``blocks`` has one row per ``(symbol, order)``; ``rows`` bounds how many (counted if not
+    given). Few blocks take one window per symbol; beyond ``limit`` the window runs per group of
+    ``fan`` blocks and the group totals are prefixed again, so no task holds more than about
+    ``fan`` blocks of a symbol. ``blocks`` is then read several times: pass a written table.
     """
-    if blocks.count() <= limit:
+    if (blocks.count() if rows is None else rows) <= limit:
         before = Window.partitionBy("symbol").orderBy(order).rowsBetween(
             Window.unboundedPreceding, -1)
         return blocks.select(
@@ -71,7 +73,7 @@ def exclusive_prefix(
         *[F.sum(c).alias(c) for c in sums],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in lasts],
     ), "prefix-tops")
-    above = exclusive_prefix(tops, group, sums, lasts, limit, fan)
+    above = exclusive_prefix(tops, group, sums, lasts, None, limit, fan)
     renamed = above.select("symbol", group, *[F.col(c).alias(f"_top_{c}") for c in (*sums, *lasts)])
     return local.join(renamed, ["symbol", group]).select(
         "symbol", order,
@@ -88,6 +90,7 @@ class Series:
     chunk_rows: int
     single: bool
     tasks: int
+    chunks: int   # upper bound over all series
 
 
 def task_count(spark: SparkSession, rows: int, chunks: int) -> int:
@@ -113,18 +116,19 @@ def index_rows(
     sizes = counts.groupBy("symbol").agg(F.sum("_n").alias("n")).agg(
         F.max("n").alias("longest"), F.sum("n").alias("rows"), F.count("n").alias("series")).first()
     longest, rows = sizes["longest"] or 0, sizes["rows"] or 0
-    tasks = task_count(bars.sparkSession, rows, max(sizes["series"], rows // chunk_rows))
+    chunks = rows // chunk_rows + sizes["series"]
+    tasks = task_count(bars.sparkSession, rows, chunks)
     if longest <= chunk_rows:
         whole = Window.partitionBy("symbol").orderBy("time")
         frame = bars.repartition(tasks, "symbol").withColumn(
             "_i", (F.row_number().over(whole) - 1).cast("long"))
-        return Series(frame, chunk_rows, True, tasks)
+        return Series(frame, chunk_rows, True, tasks, chunks)
     offsets = exclusive_prefix(counts, "_b", sums=["_n"]).withColumnRenamed("_n", "_before")
     inside = Window.partitionBy("symbol", "_b").orderBy("time")
     frame = bucketed.join(offsets, ["symbol", "_b"]).withColumn(
         "_i", F.col("_before") + F.row_number().over(inside) - 1).drop("_b", "_before")
     return Series(
-        materialise(frame, "bar-index") if reuse else frame, chunk_rows, False, tasks)
+        materialise(frame, "bar-index") if reuse else frame, chunk_rows, False, tasks, chunks)
 
 
 def spread(series: Series, back: int, ahead: int = 0, origin: str | None = None) -> DataFrame:

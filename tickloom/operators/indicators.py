@@ -448,7 +448,7 @@ def date_parts() -> list[Feature]:
 def lagged() -> list[Feature]:
     sources = {"close": "close", "volume": "tick_volume", "ma_10": "ma_10", "rsi": "rsi",
                "bb_middle": "bb_middle"}
-    return [win(f"{label}_lag_{k}", source, R.previous(source, k), k)
+    return [win(f"{label}_lag_{k}", source, f"double({R.previous(source, k)})", k)
             for k in LAGS for label, source in sources.items()]
 
 

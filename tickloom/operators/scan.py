@@ -13,11 +13,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.sqltext import num
-from tickloom.operators.blocks import CHUNK_SQL, exclusive_prefix, last_own_rows
+from tickloom.operators.blocks import (
+    CHUNK_SQL, PREFIX_LIMIT, exclusive_prefix, last_own_rows,
+)
 from tickloom.session import materialise
 
 RUN_SQL = f"OVER ({CHUNK_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -57,31 +59,42 @@ def _reach(scan: Scan, size: int) -> int:
 
 
 def carry_table(
-    frame: DataFrame, scans: Sequence[Scan], size: int, seed: DataFrame | None = None,
+    frame: DataFrame, scans: Sequence[Scan], size: int, chunks: int,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Value each scan has just before every chunk, keyed ``(symbol, _c)``.
+    """Value each scan has just before every chunk, keyed ``(symbol, _c)``; written once.
 
-    ``seed`` holds values from before chunk 0 (a continued series), one row per symbol.
+    ``chunks`` bounds the number of summaries. ``seed`` holds values from before chunk 0 (a
+    continued series), one row per symbol.
     """
-    ends = last_own_rows(frame, size).select("symbol", "_c", *[s.name for s in scans])
+    names = [s.name for s in scans]
+    ends = last_own_rows(frame, size).select("symbol", "_c", *names)
     if seed is not None:
         ends = ends.unionByName(seed.select(
-            "symbol", F.lit(-1).cast("long").alias("_c"), *[s.name for s in scans]))
-    ends = materialise(ends, "scan-ends")
+            "symbol", F.lit(-1).cast("long").alias("_c"), *names))
     decays = [s for s in scans if s.ratio < 1.0]
     totals = [s.name for s in scans if s.ratio == 1.0]
-    parts = []
-    if decays:
-        reach = max(_reach(s, size) for s in decays)
-        sent = ends.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        gap = (F.col("_d") - 1) * size
-        parts.append(sent.groupBy("symbol", (F.col("_c") + F.col("_d")).alias("_c")).agg(
-            *[F.sum(F.col(s.name) * F.pow(F.lit(s.ratio), gap)).alias(s.name) for s in decays]))
     if totals:
-        parts.append(exclusive_prefix(ends, "_c", sums=totals))
-    table = parts[0] if len(parts) == 1 else parts[0].join(parts[1], ["symbol", "_c"], "full")
-    renamed = table.select("symbol", "_c", *[F.col(s.name).alias(f"_in_{s.name}") for s in scans])
-    return materialise(renamed, "scan-carry")
+        if chunks > PREFIX_LIMIT:
+            ends = materialise(ends, "scan-ends")
+            before = exclusive_prefix(ends, "_c", sums=totals, rows=chunks)
+            ends = ends.join(before.select("symbol", "_c", *[
+                F.col(t).alias(f"_before_{t}") for t in totals]), ["symbol", "_c"])
+        else:
+            # Few summaries: one window per symbol, in the same pass as the decays.
+            earlier = Window.partitionBy("symbol").orderBy("_c").rowsBetween(
+                Window.unboundedPreceding, -1)
+            ends = ends.select("*", *[F.sum(t).over(earlier).alias(f"_before_{t}")
+                                      for t in totals])
+    reach = max((_reach(s, size) for s in decays), default=0)
+    sent = ends.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+    gap = (F.col("_d") - 1) * size
+    sums = [F.sum(F.when(F.col("_d") > 0, F.col(s.name) * F.pow(F.lit(s.ratio), gap)))
+            .alias(f"_in_{s.name}") for s in decays]
+    sums += [F.max(F.when(F.col("_d") == 0, F.col(f"_before_{t}"))).alias(f"_in_{t}")
+             for t in totals]
+    return materialise(sent.groupBy("symbol", (F.col("_c") + F.col("_d")).alias("_c")).agg(*sums),
+                       "scan-carry")
 
 
 def with_carry(

@@ -93,8 +93,9 @@ def fit_stack(
 
     def boosted(columns: Sequence[str], out: str) -> PipelineModel:
         model = GBTClassifier(featuresCol=f"_v_{out}", labelCol="_y", predictionCol=f"_c_{out}",
-                              probabilityCol=f"_p_{out}", rawPredictionCol=f"_r_{out}",
                               maxIter=trees, maxDepth=depth, seed=seed)
+        model = model.copy({model.probabilityCol: f"_p_{out}",
+                                        model.rawPredictionCol: f"_r_{out}"})
         return Pipeline(stages=[*_assembler(columns, out), model]).fit(rows)
 
     a, b = boosted(base_a, "a"), boosted(base_b, "b")

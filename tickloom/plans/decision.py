@@ -45,16 +45,10 @@ def decide(
     return D.final_decision(joined)
 
 
-def service_answers(
-    bars: DataFrame, buy: StrategyConfig, sell: StrategyConfig, scorer: Scorer,
-    extra: Sequence[str] = (),
+def answer_rows(
+    features: DataFrame, buy: StrategyConfig, sell: StrategyConfig, scorer: Scorer,
 ) -> DataFrame:
-    """The request service's answer at every bar, each as if the history ended there.
-
-    One pass over the ``as_of`` features replaces a recompute per request: every feature of a bar
-    depends on earlier bars only, and the lagging span takes its cut-off value.
-    """
-    features = feature_table(bars, needed_features(buy, sell, extra=extra), "as_of")
+    """The request service's answer for every feature row."""
     scored = scorer(scorer(features, buy, "buy"), sell, "sell")
 
     def answer(c: StrategyConfig):
@@ -69,6 +63,19 @@ def service_answers(
         "action", D.service_action(F.col("action_sell"), F.col("action_buy")))
 
 
+def service_answers(
+    bars: DataFrame, buy: StrategyConfig, sell: StrategyConfig, scorer: Scorer,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """The request service's answer at every bar, each as if the history ended there.
+
+    One pass over the ``as_of`` features replaces a recompute per request: every feature of a bar
+    depends on earlier bars only, and the lagging span takes its cut-off value.
+    """
+    needed = needed_features(buy, sell, extra=extra)
+    return answer_rows(feature_table(bars, needed, "as_of"), buy, sell, scorer)
+
+
 def decisions_as_of(
     requests: DataFrame, answers: DataFrame, strategies: Sequence[StrategyConfig],
 ) -> DataFrame:

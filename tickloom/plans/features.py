@@ -129,7 +129,7 @@ def run_plan(
         scans = plan.scans(number)
         if scans and not whole:
             names = {s.name for s in scans}
-            carry = carry_table(frame, scans, size, seed)
+            carry = carry_table(frame, scans, size, series.chunks, seed)
             near = frame.filter((F.col("_j") >= -1) & (F.col("_j") < size))
             frame = with_carry(near, carry, scans, [x for x in near.columns if x not in names])
     keep = dict.fromkeys([*I.BASE, "_i", "_c", "_j", *extra, *plan.outputs])
@@ -138,7 +138,10 @@ def run_plan(
     return frame.select(*keep)
 
 
-def _registry(view: str, families: Iterable[Sequence[I.Feature]] | None) -> dict[str, I.Feature]:
+def registry_for(
+    view: str, families: Iterable[Sequence[I.Feature]] | None = None,
+) -> dict[str, I.Feature]:
+    """Features by name, default periods or ``families``, with the view's lagging span."""
     if families is None:
         found = I.registry()
     else:
@@ -169,7 +172,7 @@ def feature_table(
     wanted = list(columns) if columns is not None else list(I.COLUMNS)
     if view == "causal":
         wanted = [x for x in wanted if x != "ichimoku_lagging"]
-    registry = _registry(view, families)
+    registry = registry_for(view, families)
     plan = plan_features(wanted, registry)
     scans = plan.all_scans
     size = safe_chunk_rows([s.ratio for s in scans], chunk_rows)
@@ -179,7 +182,7 @@ def feature_table(
     frame = run_plan(series, plan)
     if view != "raw":
         gaps = [x for x in wanted if x not in I.BASE]
-        frame = fill(frame, gaps, size, series.single, backward=view == "history")
+        frame = fill(frame, gaps, size, series.single, series.chunks, view == "history")
     return frame.select(*dict.fromkeys([*I.BASE, *wanted]))
 
 

@@ -15,6 +15,11 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # A full feature table generates some 200 small classes; the default cache holds 100 and
+    # would compile them again in every task.
+    "spark.sql.codegen.cache.maxEntries": "2000",
+    # Call-site capture on every column expression costs more than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

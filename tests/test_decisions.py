@@ -167,3 +167,15 @@ def test_stack_learns_and_reloads(spark, tmp_path):
     assert out.filter("(up_p1 > 0.5) <> (label = 1)").count() == 0
     assert out.filter("abs(up_p0 + up_p1 - 1) > 1e-9").count() == 0
     assert model.base_scores(df).columns == ["x", "y", "label", *S.PROBABILITIES]
+
+
+def test_bars_order_ticks_by_time_then_number(spark):
+    rows = [("A", at(0, 1), 5, 1.0, 7), ("A", at(0, 1), -9, 2.0, 8), ("A", at(0, 59), 2**62, 3.0, 9),
+            ("A", at(0, 59), -2**62, 4.0, 6), ("A", at(1), 0, 5.0, 5)]
+    ticks = spark.createDataFrame(
+        rows, "symbol string, ts timestamp_ntz, seq long, price double, spread int")
+    first, second = B.build_bars(ticks).orderBy("time").collect()
+    assert (first["open"], first["close"], first["spread"], first["tick_volume"]) == (2.0, 3.0, 9, 4)
+    assert (first["high"], first["low"], second["open"]) == (4.0, 1.0, 5.0)
+    plan = B.build_bars(ticks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

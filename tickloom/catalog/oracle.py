@@ -222,10 +222,8 @@ def shown(column: str, expr: str | None = None, digits: int = 6) -> str:
     return f'round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS "{column}"'
 
 
-def features(columns, bars: str = EVENT_BARS, scans: bool = False) -> str:
+def features(columns, bars: str = EVENT_BARS, scans: bool = False, digits: int = 6) -> str:
     """Unfilled feature columns."""
-    # Order totals are a thousand times the event values: three digits fewer are comparable.
-    digits = 3 if bars is ORDER_BARS else 6
     picked = ", ".join(shown(c, digits=digits) for c in columns)
     return f"{feature_ctes(bars, scans)}\nSELECT symbol, time, {picked} FROM {'f' if scans else 'x6'}"
 

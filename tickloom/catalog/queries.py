@@ -56,7 +56,7 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"),
         F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"),
-        (F.col("o_custkey") % 50).alias("spread"))
+        (F.col("o_custkey") % 50).cast("int").alias("spread"))
 
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -88,9 +88,12 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[column(n, k) for n, k in df.dtypes])
 
 
-def indicator(columns: tuple[str, ...], bars: Query = event_bars, **kw) -> Query:
-    # Order totals are a thousand times the event values: three digits fewer are comparable.
-    seconds, digits = (86400, 3) if bars is order_bars else (3600, 6)
+# Running values of order totals have eleven significant digits in common between engines.
+ORDER_RUNNING_DIGITS = 4
+
+
+def indicator(columns: tuple[str, ...], bars: Query = event_bars, digits: int = 6, **kw) -> Query:
+    seconds = 86400 if bars is order_bars else 3600
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = feature_table(bars(spark, sf_dir), list(columns), kw.get("view", "raw"),
@@ -648,8 +651,10 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, columns in {**FINITE, **RUNNING}.items():
         found[name] = indicator(columns)
-    for name, columns in {**DAILY_FINITE, **DAILY_RUNNING}.items():
+    for name, columns in DAILY_FINITE.items():
         found[name] = indicator(columns, order_bars)
+    for name, columns in DAILY_RUNNING.items():
+        found[name] = indicator(columns, order_bars, ORDER_RUNNING_DIGITS)
     found["feature_table"] = full_table("history")
     found["feature_table_as_of"] = full_table("as_of")
     found["fill_forward"] = fill_query(False)

@@ -194,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
     for name, columns in Q.DAILY_FINITE.items():
         sql[name] = features(columns, ORDER_BARS)
     for name, columns in Q.DAILY_RUNNING.items():
-        sql[name] = features(columns, ORDER_BARS, scans=True)
+        sql[name] = features(columns, ORDER_BARS, True, Q.ORDER_RUNNING_DIGITS)
     sql["feature_table"] = filled(COLUMNS)
     sql["feature_table_as_of"] = _as_of(COLUMNS)
     sql["fill_forward"] = _gappy(False)

@@ -33,7 +33,9 @@ def fill(
     """
     others = [x for x in frame.columns if x not in columns]
     filled = [f"last({x}, true) {_SO_FAR} AS {x}" for x in columns]
-    firsts = [f"first({x}, true) {_WHOLE} AS _first_{x}" for x in columns] if backward else []
+    # min_by, not first(): the planner gives every first() over a whole frame its own frame.
+    firsts = [f"min_by({x}, CASE WHEN {x} IS NOT NULL THEN _i END) {_WHOLE} AS _first_{x}"
+              for x in columns] if backward else []
     if single and seed is None:
         local = frame.selectExpr(*others, *filled, *firsts)
         if not backward:
@@ -51,7 +53,8 @@ def fill(
         carried = ends.selectExpr(
             "symbol", "_c",
             *[f"last({x}, true) OVER ({by_chunk} 1 PRECEDING) AS _in_{x}" for x in columns],
-            *[f"first(_first_{x}, true) OVER ({by_chunk} UNBOUNDED FOLLOWING) AS _first_{x}"
+            *[f"min_by(_first_{x}, CASE WHEN _first_{x} IS NOT NULL THEN _c END) "
+              f"OVER ({by_chunk} UNBOUNDED FOLLOWING) AS _first_{x}"
               for x in columns if backward])
     else:
         ends = materialise(ends, "fill-ends")

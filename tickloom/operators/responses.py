@@ -49,10 +49,16 @@ def _last_value(pairs: Column, key: Column, wanted: str) -> Column:
 
 def execution_fields(text: Column, strict: bool = False) -> Column:
     """Struct of the three prices as text, NULL where absent; a repeated key keeps its last."""
-    pairs = _pairs(text, EXECUTION_STRICT if strict else EXECUTION)
     labels = {k: F.lit(k.replace("_", " ").lower()) for k in KEYS}
-    return F.struct(*[
-        _last_value(pairs, labels[k], k.lower() if strict else k) for k in KEYS])
+
+    def fields(pairs: Column) -> Column:
+        return F.struct(*[
+            _last_value(pairs, labels[k], k.lower() if strict else k) for k in KEYS])
+
+    # The one-element transform names the matches once; written inline, each of the three
+    # fields would run the patterns again.
+    found = _pairs(text, EXECUTION_STRICT if strict else EXECUTION)
+    return F.get(F.transform(F.array(found), fields), F.lit(0))
 
 
 def extract_json(text: Column, schema: T.StructType | str) -> Column:
@@ -74,16 +80,18 @@ def split_decision(text: Column) -> Column:
 
 
 def parse_responses(df: DataFrame, text: str = "response") -> DataFrame:
-    """Decision, justification and prices of every response."""
-    return df.withColumns({
-        "agent_decision": extract_decision(F.col(text)),
-        "justification": extract_justification(F.col(text)),
-        "_execution": execution_fields(F.col(text)),
-    }).withColumns({
-        "entry": F.col("_execution.Entry"),
-        "stop_loss": F.col("_execution.Stop_Loss"),
-        "take_profit": F.col("_execution.Take_Profit"),
-    }).drop("_execution")
+    """Decision, justification and prices of every response.
+
+    The fields come out of a generator, which filters on them do not pass: otherwise the planner
+    would push such filters down and run the patterns a second time for them.
+    """
+    execution = execution_fields(F.col(text))
+    fields = F.transform(F.array(execution), lambda e: F.struct(
+        extract_decision(F.col(text)).alias("agent_decision"),
+        extract_justification(F.col(text)).alias("justification"),
+        e["Entry"].alias("entry"), e["Stop_Loss"].alias("stop_loss"),
+        e["Take_Profit"].alias("take_profit")))
+    return df.select("*", F.inline(fields))
 
 
 def price_bounds(df: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def price_bounds(df: DataFrame) -> DataFrame:
     low = F.regexp_extract(F.col("entry"), number, 0)
     rest = F.regexp_extract(F.col("entry"), number + r"-(-?[\d.]+)$", 1)
     return df.withColumns({
-        "entry_low": F.expr("try_cast(regexp_extract(entry, '^-?[0-9.]+', 0) AS DOUBLE)"),
+        "entry_low": low.try_cast("double"),
         "entry_high": F.when(rest != "", rest).otherwise(low).try_cast("double"),
     })
 

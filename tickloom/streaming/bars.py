@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.sources.bars import tick_order
+
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """OHLCV bars of a tick stream ``(symbol, ts, seq, price, spread)``.
@@ -14,7 +16,7 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "2 hour
     bars only. ``ts`` may be zone-less: watermarks need an instant, so it is read as UTC.
     """
     timed = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-    rank = F.struct("ts", "seq")
+    rank = tick_order()
     bars = timed.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", width)).agg(
         F.min_by("price", rank).alias("open"),
         F.max("price").alias("high"),

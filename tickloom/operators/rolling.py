@@ -1,7 +1,8 @@
 """Bounded-frame aggregates that stay NULL until the frame is full, as SQL text.
 
 Expressions are text so that a stage of seventy columns is one ``selectExpr`` call. They all use
-the same partitioning and order, so one stage is one Window node over one sort.
+the same partitioning and order, so one stage is one Window node over one sort. Window calls stand
+in «marks»: the planner computes equal calls of a stage once, which the optimizer does not do.
 """
 
 from __future__ import annotations
@@ -12,18 +13,22 @@ from tickloom.operators.blocks import CHUNK_SQL
 RUN = f"OVER ({CHUNK_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+def call(text: str, over: str) -> str:
+    return f"«{text} {over}»"
+
+
 def frame(n: int) -> str:
     return f"OVER ({CHUNK_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def gated(call: str, x: str, n: int) -> str:
-    """``call`` over the last ``n`` rows if all of them hold a value of ``x``, else NULL.
+def gated(agg: str, x: str, n: int) -> str:
+    """``agg`` over the last ``n`` rows if all of them hold a value of ``x``, else NULL.
 
     The test is the distance to the last row without a value, one running maximum per column,
     instead of a count over every frame width. Rows before the halo lie outside all frames.
     """
-    return (f"CASE WHEN _i - coalesce(max(CASE WHEN {x} IS NULL THEN _i END) {RUN}, -1) >= {n} "
-            f"THEN {call} {frame(n)} END")
+    gap = call(f"max(CASE WHEN {x} IS NULL THEN _i END)", RUN)
+    return f"CASE WHEN _i - coalesce({gap}, -1) >= {n} THEN {call(agg, frame(n))} END"
 
 
 def mean(x: str, n: int) -> str:
@@ -53,11 +58,11 @@ def values(x: str, n: int) -> str:
 
 
 def previous(x: str, k: int = 1) -> str:
-    return f"lag({x}, {k}) OVER ({CHUNK_SQL})"
+    return call(f"lag({x}, {k})", f"OVER ({CHUNK_SQL})")
 
 
 def following(x: str, k: int = 1) -> str:
-    return f"lead({x}, {k}) OVER ({CHUNK_SQL})"
+    return call(f"lead({x}, {k})", f"OVER ({CHUNK_SQL})")
 
 
 def mean_abs_deviation(window: str, centre: str, n: int) -> str:

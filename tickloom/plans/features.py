@@ -8,6 +8,7 @@ requested are never built.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -110,6 +111,17 @@ def plan_features(
     return FeaturePlan(tuple(outputs), tuple(phases), back + running, ahead)
 
 
+def shared_calls(windows: Sequence[I.Feature]) -> tuple[list[str], list[str]]:
+    """Distinct window calls of a stage as columns, and the features over those columns."""
+    names: dict[str, str] = {}
+
+    def column(found: re.Match) -> str:
+        return names.setdefault(found.group(1), f"_call_{len(names)}")
+
+    texts = [f"{re.sub('«(.*?)»', column, f.sql)} AS {f.name}" for f in windows]
+    return [f"{text} AS {name}" for text, name in names.items()], texts
+
+
 def run_plan(
     series: Series, plan: FeaturePlan, origin: str | None = None, seed: DataFrame | None = None,
     extra: Sequence[str] = (),
@@ -120,10 +132,11 @@ def run_plan(
     whole = series.single and seed is None
     for number, stages in enumerate(plan.phases):
         for stage in stages:
-            added = [f"{f.sql} AS {f.name}" for f in stage.windows]
-            added += [f"{local_value(s, size)} AS {s.name}" for s in stage.scans]
-            if added:
-                frame = frame.selectExpr("*", *added)
+            running = [f"{local_value(s, size)} AS {s.name}" for s in stage.scans]
+            calls, texts = shared_calls(stage.windows)
+            if calls or running:
+                kept = [*frame.columns, *[s.name for s in stage.scans]]
+                frame = frame.selectExpr("*", *calls, *running).selectExpr(*kept, *texts)
             for rows in stage.rows:
                 frame = frame.selectExpr("*", *[f"{f.sql} AS {f.name}" for f in rows])
         scans = plan.scans(number)

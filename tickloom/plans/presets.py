@@ -55,7 +55,7 @@ def rules_frame(spark: SparkSession, *configs: StrategyConfig) -> DataFrame:
 # are in price units of the pair. A column listed twice (bb_width, bb_std) is a model input twice.
 
 EURUSD_SELL = StrategyConfig(
-    name="eurusd_h1", side="sell", symbol="EURUSD", aliases=("Abraxas", "eurusd_h1"),
+    name="eurusd_h1", side="sell", symbol="EURUSD", aliases=("eurusd_h1",),
     threshold=0.6350406453614887, min_votes=4, service_votes=4, min_volume=3642,
     rules=(
         Rule("obv", -8902.0),
@@ -84,7 +84,7 @@ EURUSD_SELL = StrategyConfig(
 )
 
 EURUSD_BUY = StrategyConfig(
-    name="eurusd_h1", side="buy", symbol="EURUSD", aliases=("Abraxas", "eurusd_h1"),
+    name="eurusd_h1", side="buy", symbol="EURUSD", aliases=("eurusd_h1",),
     threshold=0.6098459517214893, min_votes=6, service_votes=6, min_volume=3328,
     rules=(
         Rule("volume_oscillator", -28.5396861756958, 71.37023040351092),
@@ -115,7 +115,7 @@ EURUSD_BUY = StrategyConfig(
 )
 
 USDJPY_SELL = StrategyConfig(
-    name="usdjpy_h1", side="sell", symbol="USDJPY", aliases=("Dokkodo", "usdjpy_h1"),
+    name="usdjpy_h1", side="sell", symbol="USDJPY", aliases=("usdjpy_h1",),
     threshold=0.6916390507233896, min_votes=6, service_votes=7,
     rules=(
         Rule("atr", 0.219857330189408, 1.1685834831218533),
@@ -145,7 +145,7 @@ USDJPY_SELL = StrategyConfig(
 )
 
 USDJPY_BUY = StrategyConfig(
-    name="usdjpy_h1", side="buy", symbol="USDJPY", aliases=("Dokkodo", "usdjpy_h1"),
+    name="usdjpy_h1", side="buy", symbol="USDJPY", aliases=("usdjpy_h1",),
     threshold=0.6728549941923228, min_votes=6, service_votes=7,
     rules=(
         Rule("rsi_lag_10", None, 51.47),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from tickloom.operators.indicators import COLUMNS, row, win
 from tickloom.plans import decision as P
 from tickloom.plans.features import feature_table
 from tickloom.plans.presets import Rule, StrategyConfig, rules_frame
-from tickloom.session import materialise, shared_dir
+from tickloom.session import materialise, work_path
 from tickloom.sources import bars as B
 from tickloom.sources import logs as L
 from tickloom.streaming import bars as SB
@@ -36,7 +35,7 @@ _LOGS: dict[tuple[str, str, str], str] = {}
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tickloom/{label}-{uuid.uuid4().hex}"
+    return work_path(spark, label)
 
 
 # --- inputs ----------------------------------------------------------------------------------

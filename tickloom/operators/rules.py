@@ -51,8 +51,9 @@ def rule_votes_long(features: DataFrame, rules: DataFrame) -> DataFrame:
     Suits rule sets that change without a redeploy. The unpivot keeps only features some rule
     names; votes are summed before the shuffle.
     """
-    named = [r[0] for r in rules.select("feature").distinct().collect()]
-    small = rules.limit(RULE_BROADCAST_ROWS + 1).count() <= RULE_BROADCAST_ROWS
+    sizes = rules.groupBy("feature").count().collect()
+    named = sorted(r["feature"] for r in sizes)
+    small = sum(r["count"] for r in sizes) <= RULE_BROADCAST_ROWS
     long = features.select("symbol", "time", *[F.col(n).cast("double").alias(n) for n in named]
                            ).unpivot(["symbol", "time"], named, "feature", "value")
     value = F.col("value")

@@ -34,12 +34,12 @@ def build_session(app: str = "tickloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see, named by ``spark.checkpoint.dir``.
+    """Folder all executors see, named by ``spark.checkpoint.dir`` (or set on the context).
 
     Only a local-mode session, where every task shares one machine, may fall back to a
     scratch folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
@@ -51,6 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; everything of one application lies together."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tickloom/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -59,6 +65,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     planner decide on broadcasting, and a lost executor costs a re-read, not a recompute.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{label}-{uuid.uuid4().hex}"
+    path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """make(), once in a Python worker: what later tasks of the same worker find again."""
+    holder = sys.modules.setdefault("_tickloom_kept", types.ModuleType("_tickloom_kept"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A small table of the driver's, whose size the planner knows."""
     columns = list(zip(*rows)) or [()] * len(schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import encoding
-from tickloom.llm.common import local, pieces, text_or_empty
+from tickloom.llm.common import kept, local, pieces, text_or_empty
 
 MAGIC, BITS, SEGMENT = b"DAC1", 512, 1 << 18
 FILE = ("part int, seq int, first_in_part long, n_tokens long, doc_ids array<bigint>, "
@@ -107,7 +107,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encoder, doc_ids, arrays, held = encoding.byte_level(vocabulary), [], [], 0
+        encoder = kept(f"bytes:{vocabulary}", lambda: encoding.byte_level(vocabulary))
+        doc_ids, arrays, held = [], [], 0
         end = np.array([end_id], np.uint32)
 
         def segment() -> pa.RecordBatch:

@@ -8,20 +8,22 @@ of chunks saves most calls of the library; the ids are those of the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-KNOWN, LONGEST = 500_000, 48          # chunks remembered, and the longest of them
+KNOWN, LONGEST = 1_000_000, 48          # chunks remembered, and the longest of them
 #: White space that is rare in texts; where one occurs, cuts are looked for with care.
 RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f"
                         r"\u205f\u3000]")
 
 
 class ChunkedEncoder:
-    """encode: a list of chunks to the ids of each; a chunk after a cut begins with the joint."""
+    """encode: a list of chunks to the ids of each, as the bytes of little-endian unsigned 32-bit
+    numbers; a chunk after a cut begins with the joint."""
 
-    def __init__(self, encode: Callable[[list[str]], list], joint: str = " ",
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], joint: str = " ",
                  whole: bool = False) -> None:
         self.encode, self.joint, self.whole = encode, joint, whole
         self.careful = re.compile(rf"(?<=[^\s{joint}]){joint}(?=[^\s{joint}])")
@@ -52,13 +54,12 @@ class ChunkedEncoder:
         for at in range(0, len(fresh), 8192):
             some = fresh[at:at + 8192]
             for part, ids in zip(some, self.encode([self.joint + p for p in some])):
-                (known if len(part) <= LONGEST else later)[part] = np.array(ids, "<u4").tobytes()
+                (known if len(part) <= LONGEST else later)[part] = ids
         out = []
         for head, ids, (parts, found) in zip(heads, self.encode(heads), rows):
             if None in found:
                 found = [known.get(p) or later.get(p, b"") for p in parts[1:]]
-            first = np.array(ids if head else [], "<u4").tobytes()
-            out.append(np.frombuffer(first + b"".join(found), "<u4"))
+            out.append(np.frombuffer((ids if head else b"") + b"".join(found), "<u4"))
         return out
 
 
@@ -85,14 +86,28 @@ def byte_level(path: str) -> ChunkedEncoder:
     letters = byte_letters(pre_tokenizers)
     model = tokenizer.model
 
-    def encode(chunks: list[str]) -> list[list[int]]:
+    known: dict[str, bytes] = {}
+
+    def ids(word: str) -> bytes:
+        if word.isascii() and word.isprintable():       # these stand for themselves but the space
+            text = word.replace(" ", letters[32])
+        else:
+            text = word.encode().decode("latin-1").translate(letters)
+        return array("I", [token.id for token in model.tokenize(text)]).tobytes()
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        """Words beside punctuation are remembered too: they come with many kinds of it."""
+        if len(known) > KNOWN // 4:
+            known.clear()
         out = []
-        for chunk in chunks:
-            ids = []
-            for word in words.findall(chunk):
-                text = word.encode().decode("latin-1").translate(letters)
-                ids += [token.id for token in model.tokenize(text)]
-            out.append(ids)
+        for parts in map(words.findall, chunks):
+            if len(parts) == 1:
+                out.append(known.get(parts[0]) or ids(parts[0]))
+                continue
+            for word in parts:
+                if word not in known:
+                    known[word] = ids(word)
+            out.append(b"".join([known[word] for word in parts]))
         return out
 
     return ChunkedEncoder(encode)

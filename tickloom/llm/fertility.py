@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import pieces, text_or_empty
+from tickloom.llm.common import kept, pieces, text_or_empty
 from tickloom.llm.piece_codec import BYTE, PieceCodec
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, model_path: str, bands: dict[str, Band] | None = None
              ("byte_share", pa.float64()), ("entropy_share", pa.float64()), ("kept", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path, verify=False)
+        codec = kept(f"plain:{model_path}", lambda: PieceCodec(model_path, verify=False))
         is_byte = np.array([kind == BYTE for *_, kind in codec.model.pieces])
         for batch in batches:
             for low, high in pieces(batch, "text", 1 << 22):

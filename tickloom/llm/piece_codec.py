@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import pieces, text_or_empty
+from tickloom.llm.common import kept, pieces, text_or_empty
 from tickloom.llm.encoding import ChunkedEncoder
 
 MARK = "▁"
@@ -126,10 +127,10 @@ class PieceCodec:
         starts = np.array([p.startswith(MARK) for p, *_ in model.pieces])
 
         def batch(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.int64)
+            return [np.array(e.ids, "<u4")
                     for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-        def encode(chunks: list[str]) -> list[np.ndarray]:
+        def encode(chunks: list[str]) -> list[bytes]:
             """Chunks with one marker, at their start, go to the library joined: the pieces that
             begin with the marker tell them apart again."""
             found: list = [None] * len(chunks)
@@ -138,16 +139,17 @@ class PieceCodec:
             for group, ids in zip(groups, batch(["".join([chunks[i] for i in g]) for g in groups])):
                 cuts = np.flatnonzero(starts[ids])
                 if len(cuts) == len(group):
-                    for i, own in zip(group, np.split(ids, cuts[1:])):
-                        found[i] = own
+                    data, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                    for i, low, high in zip(group, cuts, cuts[1:]):
+                        found[i] = data[low:high]
             rest = [i for i, own in enumerate(found) if own is None]
             for i, own in zip(rest, batch([chunks[i] for i in rest])):
-                found[i] = own
+                found[i] = own.tobytes()
             if other is not None:
                 plain = [c.removeprefix(MARK).replace(MARK, " ") for c in chunks]
                 theirs = other.encode(plain, num_threads=1)
                 self.unequal.update(c for c, p, a, b in zip(chunks, plain, found, theirs)
-                                    if p and a.tolist() != b)
+                                    if p and a != array("I", b).tobytes())
             return found
 
         self.chunks = ChunkedEncoder(encode, MARK, whole)
@@ -215,7 +217,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True,
     kinds = pa.schema(kinds + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        codec = kept(f"pieces:{model_path}", lambda: PieceCodec(model_path))
         byte = np.array([kind == BYTE for *_, kind in codec.model.pieces])
         for batch in batches:
             for low, high in pieces(batch, "text", 1 << 22):

@@ -95,7 +95,7 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
         F.col("at").alias("q_at"))
     first = buckets.groupBy("dim").agg(F.max_by("at", F.struct("top_norm", "n")).alias("at"))
     start = blocks.join(buckets.join(first, ["dim", "at"]), "dim")
-    bounds = written(_bounds(_searched(start.withColumn("floors", F.lit(None).cast("binary")), k),
+    bounds = written(_bounds(_searched(start.withColumn("floors", F.lit(None).cast("array<double>")), k),
                              k), "topk-bounds")
     pairs = (blocks.select("q_at", "dim", "q_top").join(bounds.select("q_at", "least"), "q_at")
              .join(buckets.select("dim", "at", "top_norm"), "dim")
@@ -109,19 +109,14 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
 
 
 def _bounds(seen: DataFrame, k: int) -> DataFrame:
-    """Per block: the packed lower bounds of its queries' k-th scores and the least of them."""
+    """Per block: the lower bounds of its queries' k-th scores and the least of them."""
     worst = seen.groupBy("q_at", "slot").agg(
         F.when(F.count("vec_id") >= k, F.min("score")).alias("floor"))
     return worst.groupBy("q_at").agg(
         F.min(F.coalesce(F.col("floor").cast("double"), F.lit(-math.inf))).alias("least"),
         F.sort_array(F.collect_list(F.struct("slot", "floor"))).alias("held")).select(
-        "q_at", "least", _packed_floors("held").alias("floors"))
-
-
-@F.pandas_udf("binary")
-def _packed_floors(held):
-    return held.map(lambda a: np.array(
-        [-np.inf if x["floor"] is None else x["floor"] for x in a], np.float64).tobytes())
+        "q_at", "least", F.transform("held", lambda x: F.coalesce(
+            x["floor"].cast("double"), F.lit(-math.inf))).alias("floors"))
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
@@ -139,7 +134,7 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
         q_ids, q_norms = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_norms"])
         queries = np.frombuffer(row["q_body"], np.int32).reshape(-1, dim)
         floors = (np.full(len(q_ids), -np.inf) if row["floors"] is None
-                  else np.frombuffer(row["floors"]))
+                  else np.array(row["floors"], np.float64))
         exact = norms.max(initial=0) * q_norms.max(initial=0) < 2.0 ** 52
         kind = np.float64 if exact else np.int64
         body, asked = vectors.astype(kind), queries.astype(kind)

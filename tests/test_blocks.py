@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocks as B
-from tickloom.operators import fill as fill_module
 from tickloom.operators import scan as scan_module
 from tickloom.operators.fill import fill, fill_backward
 from tickloom.plans.features import feature_table
@@ -20,11 +19,11 @@ def summaries(spark):
     return rows, spark.createDataFrame(rows, "symbol string, _c long, n long, v double")
 
 
-@pytest.mark.parametrize("limit,fan", [(1000, 10), (20, 8), (5, 3)])
-def test_prefix_levels_agree(summaries, limit, fan):
+@pytest.mark.parametrize("fan", [1000, 10, 8, 3])
+def test_prefix_levels_agree(summaries, fan):
     rows, df = summaries
     got = {(r["symbol"], r["_c"]): (r["n"], r["v"]) for r in B.exclusive_prefix(
-        df, "_c", sums=["n"], lasts=["v"], limit=limit, fan=fan).collect()}
+        df, "_c", sums=["n"], lasts=["v"], fan=fan).collect()}
     for symbol in ("A", "B"):
         total, last = 0, None
         for s, c, n, v in rows:
@@ -60,12 +59,10 @@ def test_chunks_shrink_for_fast_decay():
     assert scan_module.safe_chunk_rows([0.8, 1.0], 1024) == 1024
 
 
-def test_many_summaries_take_the_two_level_path(make_bars, monkeypatch):
+def test_many_summaries_take_the_two_level_path(make_bars):
     bars = make_bars({"A": [float(x % 17) for x in range(700)]})
     names = ["obv", "ema_20", "stochastic_k", "cmf"]
     plain = feature_table(bars, names, "history").orderBy("time").collect()
-    monkeypatch.setattr(scan_module, "PREFIX_LIMIT", 1)
-    monkeypatch.setattr(fill_module, "PREFIX_LIMIT", 1)
     cut = feature_table(bars, names, "history", chunk_rows=128).orderBy("time").collect()
     for left, right in zip(plain, cut):
         for n in names:

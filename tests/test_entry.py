@@ -16,7 +16,9 @@ SAMPLE = ("build_bars_hourly", "rsi", "adx", "daily_ema", "final_decision", "dec
 def test_every_statement_has_a_query():
     queries, oracle = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"base_scores", "stacked_scores"}
+    own = set(entry_module.registered.queries())
+    assert own <= set(queries)
+    assert own - set(oracle) == {"base_scores", "stacked_scores"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -30,9 +30,6 @@ from tickloom.streaming import upserts as SU
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_BARS: dict[tuple[str, str, str], DataFrame] = {}
-_LOGS: dict[tuple[str, str, str], str] = {}
-
 
 def _folder(spark: SparkSession, label: str) -> str:
     return work_path(spark, label)
@@ -59,11 +56,8 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Bars are a table of the pipeline: built from the ticks once per session, then scanned."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _BARS:
-        _BARS[key] = materialise(build(), f"bars-{kind}")
-    return _BARS[key]
+    """Bars are a table of the pipeline: each query builds it from the ticks, then scans it."""
+    return materialise(build(), f"bars-{kind}")
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -532,13 +526,10 @@ def build_requests(spark, sf_dir):
 
 
 def _log(spark, sf_dir) -> str:
-    """Folder of the response log, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, "log")
-    if key not in _LOGS:
-        path = _folder(spark, "log")
-        L.append_log(responses(spark, sf_dir), path)
-        _LOGS[key] = path
-    return _LOGS[key]
+    """Folder of the response log, written anew for each query."""
+    path = _folder(spark, "log")
+    L.append_log(responses(spark, sf_dir), path)
+    return path
 
 
 def log_records(spark, sf_dir):
@@ -558,19 +549,19 @@ def log_latest(spark, sf_dir):
 
 # --- streams ---------------------------------------------------------------------------------
 
-FEED_CUTS = ("2024-01-08 00:00:00", "2024-01-20 00:00:00", "2030-01-01 00:00:00")
+FEED_CUTS = ("2024-01-08 00:00:00", "2024-01-20 00:00:00")
 
 
 def _feed(df: DataFrame, time: str, run: Callable[[str], None]) -> None:
-    """Let rows arrive in three parts by time; ``run`` processes the feed after each."""
+    """Let rows arrive in parts by time, the last with all that is later or without a time;
+    ``run`` processes the feed after each."""
     feed = _folder(df.sparkSession, "feed")
-    start = "1970-01-01 00:00:00"
-    for cut in FEED_CUTS:
-        part = df.filter((F.col(time) >= F.lit(start).cast("timestamp_ntz"))
-                         & (F.col(time) < F.lit(cut).cast("timestamp_ntz")))
-        part.write.mode("append").parquet(feed)
+    part = F.lit(len(FEED_CUTS))
+    for i, cut in reversed(list(enumerate(FEED_CUTS))):
+        part = F.when(F.col(time) < F.lit(cut).cast("timestamp_ntz"), i).otherwise(part)
+    for i in range(len(FEED_CUTS) + 1):
+        df.filter(part == i).write.mode("append").parquet(feed)
         run(feed)
-        start = cut
 
 
 def stream_bars(spark, sf_dir):

@@ -21,8 +21,7 @@ from tickloom.session import materialise
 
 CHUNK_ROWS = 1024
 
-# Above this many block summaries the running totals are themselves split in two levels.
-PREFIX_LIMIT = 1_000_000
+# Block summaries that one task prefixes; their groups are prefixed again.
 PREFIX_FAN = 4096
 
 CHUNK_SQL = "PARTITION BY symbol, _c ORDER BY _i"
@@ -41,25 +40,15 @@ def exclusive_prefix(
     order: str,
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
-    rows: int | None = None,
-    limit: int = PREFIX_LIMIT,
     fan: int = PREFIX_FAN,
 ) -> DataFrame:
     """Per block: totals (``sums``) and last known values (``lasts``) over the earlier blocks.
 
-    ``blocks`` has one row per ``(symbol, order)``; ``rows`` bounds how many (counted if not
-    given). Few blocks take one window per symbol; beyond ``limit`` the window runs per group of
-    ``fan`` blocks and the group totals are prefixed again, so no task holds more than about
-    ``fan`` blocks of a symbol. ``blocks`` is then read several times: pass a written table.
+    ``blocks`` has one row per ``(symbol, order)``. The window runs per group of ``fan`` blocks,
+    and one more over the group totals of a symbol: a task holds ``fan`` blocks, or one row for
+    ``fan`` blocks of its symbol (with chunks of 1,024 rows, one for four million rows). ``blocks``
+    is read twice: pass a written table.
     """
-    if (blocks.count() if rows is None else rows) <= limit:
-        before = Window.partitionBy("symbol").orderBy(order).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return blocks.select(
-            "symbol", order,
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums],
-            *[F.last(c, ignorenulls=True).over(before).alias(c) for c in lasts],
-        )
     group = f"{order}g"
     grouped = blocks.withColumn(group, F.floor(F.col(order) / fan))
     inside = Window.partitionBy("symbol", group).orderBy(order).rowsBetween(
@@ -69,11 +58,14 @@ def exclusive_prefix(
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums],
         *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in lasts],
     )
-    tops = materialise(grouped.groupBy("symbol", group).agg(
+    tops = grouped.groupBy("symbol", group).agg(
         *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in lasts],
-    ), "prefix-tops")
-    above = exclusive_prefix(tops, group, sums, lasts, None, limit, fan)
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in lasts])
+    before = Window.partitionBy("symbol").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    above = tops.select(
+        "symbol", group,
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums],
+        *[F.last(c, ignorenulls=True).over(before).alias(c) for c in lasts])
     renamed = above.select("symbol", group, *[F.col(c).alias(f"_top_{c}") for c in (*sums, *lasts)])
     return local.join(renamed, ["symbol", group]).select(
         "symbol", order,

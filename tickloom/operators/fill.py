@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import (
-    CHUNK_SQL, PREFIX_LIMIT, exclusive_prefix, last_own_rows,
+    CHUNK_SQL, exclusive_prefix, last_own_rows,
 )
 from tickloom.session import materialise
 
@@ -47,24 +47,14 @@ def fill(
     if seed is not None:
         ends = ends.unionByName(
             seed.select("symbol", F.lit(-1).cast("long").alias("_c"), *columns))
-    if chunks <= PREFIX_LIMIT:
-        # Few summaries: one window per symbol gives the carry in one pass.
-        by_chunk = "PARTITION BY symbol ORDER BY _c ROWS BETWEEN UNBOUNDED PRECEDING AND"
-        carried = ends.selectExpr(
-            "symbol", "_c",
-            *[f"last({x}, true) OVER ({by_chunk} 1 PRECEDING) AS _in_{x}" for x in columns],
-            *[f"min_by(_first_{x}, CASE WHEN _first_{x} IS NOT NULL THEN _c END) "
-              f"OVER ({by_chunk} UNBOUNDED FOLLOWING) AS _first_{x}"
-              for x in columns if backward])
-    else:
-        ends = materialise(ends, "fill-ends")
-        carried = exclusive_prefix(ends, "_c", lasts=columns, rows=chunks).select(
-            "symbol", "_c", *[F.col(x).alias(f"_in_{x}") for x in columns])
-        if backward:
-            heads = ends.groupBy("symbol").agg(*[
-                F.min_by(f"_first_{x}", F.when(F.col(f"_first_{x}").isNotNull(), F.col("_c")))
-                .alias(f"_first_{x}") for x in columns])
-            carried = carried.join(heads, "symbol")
+    ends = materialise(ends, "fill-ends")
+    carried = exclusive_prefix(ends, "_c", lasts=columns).select(
+        "symbol", "_c", *[F.col(x).alias(f"_in_{x}") for x in columns])
+    if backward:
+        heads = ends.groupBy("symbol").agg(*[
+            F.min_by(f"_first_{x}", F.when(F.col(f"_first_{x}").isNotNull(), F.col("_c")))
+            .alias(f"_first_{x}") for x in columns])
+        carried = carried.join(heads, "symbol")
     carried = materialise(carried, "fill-carry")
     return local.join(carried, ["symbol", "_c"], "left").selectExpr(*others, *[
         _either(x, f"_in_{x}", *([f"_first_{x}"] if backward else [])) for x in columns])

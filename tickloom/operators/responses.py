@@ -11,8 +11,8 @@ from tickloom.schema import REVIEW
 # The answer format the extraction patterns expect.
 DECISION = r"FINAL DECISION: (CONFIRM|REJECT)"
 JUSTIFICATION = r"(?s)Justification:(.*?)(?:\n\n|\z)"
-EXECUTION = r"(?i)(Entry|Stop Loss|Take Profit)\s*:\s*\[?([\d\.-]+(?:-[\d\.-]+)?)\]?"
-EXECUTION_STRICT = r"(?i)\*(Entry|Stop Loss|Take Profit)\*:\s*\[([\d\.-]+-?[\d\.-]*)\]"
+EXECUTION = r"(?iU)(Entry|Stop Loss|Take Profit)\s*:\s*\[?([\d\.-]+(?:-[\d\.-]+)?)\]?"
+EXECUTION_STRICT = r"(?iU)\*(Entry|Stop Loss|Take Profit)\*:\s*\[([\d\.-]+-?[\d\.-]*)\]"
 JSON_BLOCK = r"(?s)\{.*\}"
 SPLIT_MARK = "FINAL DECISION:"
 NO_JUSTIFICATION = "No justification provided"
@@ -21,8 +21,8 @@ KEYS = ("Entry", "Stop_Loss", "Take_Profit")
 
 
 def strip(x: Column) -> Column:
-    """Trim all white space (``trim`` takes spaces only)."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Trim all white space, Unicode's included (``trim`` takes spaces only)."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def extract_decision(text: Column) -> Column:
@@ -62,15 +62,15 @@ def execution_fields(text: Column, strict: bool = False) -> Column:
 
 
 def extract_json(text: Column, schema: T.StructType | str) -> Column:
-    """First-brace-to-last-brace object parsed with ``schema``; NULL if absent or malformed."""
+    """First-brace-to-last-brace object, strict JSON; NULL if absent or malformed. A field whose
+    value has another type than ``schema`` says is NULL by itself."""
     block = F.regexp_extract(text, JSON_BLOCK, 0)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    bad = "_corrupt_record"
-    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    parsed = F.from_json(block, wide, {"columnNameOfCorruptRecord": bad})
-    return F.when((block != "") & parsed[bad].isNull(),
-                  F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields]))
+    parsed = F.try_parse_json(block)
+    return F.when(parsed.isNotNull(), F.struct(*[
+        F.try_variant_get(parsed, f"$['{f.name}']", f.dataType.simpleString()).alias(f.name)
+        for f in schema.fields]))
 
 
 def split_decision(text: Column) -> Column:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import holds
 from tickloom.plans.presets import Rule, StrategyConfig
 
-# A rule table is configuration; past this many rows it is joined without a broadcast hint.
-RULE_BROADCAST_ROWS = 100_000
-
 
 def confidence_gate(p0: Column, p1: Column, threshold: float) -> Column:
     """True if either class is at least ``threshold`` likely (confidence, not direction)."""
@@ -51,15 +48,13 @@ def rule_votes_long(features: DataFrame, rules: DataFrame) -> DataFrame:
     Suits rule sets that change without a redeploy. The unpivot keeps only features some rule
     names; votes are summed before the shuffle.
     """
-    sizes = rules.groupBy("feature").count().collect()
-    named = sorted(r["feature"] for r in sizes)
-    small = sum(r["count"] for r in sizes) <= RULE_BROADCAST_ROWS
+    named = sorted(r["feature"] for r in rules.select("feature").distinct().collect())
     long = features.select("symbol", "time", *[F.col(n).cast("double").alias(n) for n in named]
                            ).unpivot(["symbol", "time"], named, "feature", "value")
     value = F.col("value")
     inside = (value.isNotNull() & (F.col("lo").isNull() | (value >= F.col("lo")))
               & (F.col("hi").isNull() | (value <= F.col("hi"))))
-    return long.join(F.broadcast(rules) if small else rules, "feature").groupBy(
+    return long.join(rules, "feature").groupBy(
         "symbol", "time", "strategy", "side").agg(
         F.sum(holds(inside).cast("long")).alias("votes"))
 

@@ -13,12 +13,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.sqltext import num
 from tickloom.operators.blocks import (
-    CHUNK_SQL, PREFIX_LIMIT, exclusive_prefix, last_own_rows,
+    CHUNK_SQL, exclusive_prefix, last_own_rows,
 )
 from tickloom.session import materialise
 
@@ -41,7 +41,7 @@ class Scan:
 
 def safe_chunk_rows(ratios: Sequence[float], wanted: int) -> int:
     """Chunk size for which no scaled sum leaves the double range."""
-    decays = [-math.log(r) for r in ratios if r < 1.0]
+    decays = [-math.log(r) for r in ratios if 0.0 < r < 1.0]
     return min([wanted, *[int(HEADROOM / d) for d in decays]])
 
 
@@ -50,11 +50,15 @@ def local_value(scan: Scan, size: int) -> str:
     mine = f"CASE WHEN _j >= 0 AND _j < {size} THEN coalesce(double({scan.u}), 0D) ELSE 0D END"
     if scan.ratio == 1.0:
         return f"sum({mine}) {RUN_SQL}"
+    if scan.ratio == 0.0:       # no memory: the value itself
+        return f"last({mine}) {RUN_SQL}"
     ratio = num(scan.ratio)
     return f"pow({ratio}, _j) * sum(({mine}) * pow({ratio}, -_j)) {RUN_SQL}"
 
 
 def _reach(scan: Scan, size: int) -> int:
+    if scan.ratio == 0.0:
+        return 0
     return math.ceil(UNDERFLOW / (-math.log(scan.ratio) * size)) + 1
 
 
@@ -75,17 +79,10 @@ def carry_table(
     decays = [s for s in scans if s.ratio < 1.0]
     totals = [s.name for s in scans if s.ratio == 1.0]
     if totals:
-        if chunks > PREFIX_LIMIT:
-            ends = materialise(ends, "scan-ends")
-            before = exclusive_prefix(ends, "_c", sums=totals, rows=chunks)
-            ends = ends.join(before.select("symbol", "_c", *[
-                F.col(t).alias(f"_before_{t}") for t in totals]), ["symbol", "_c"])
-        else:
-            # Few summaries: one window per symbol, in the same pass as the decays.
-            earlier = Window.partitionBy("symbol").orderBy("_c").rowsBetween(
-                Window.unboundedPreceding, -1)
-            ends = ends.select("*", *[F.sum(t).over(earlier).alias(f"_before_{t}")
-                                      for t in totals])
+        ends = materialise(ends, "scan-ends")
+        before = exclusive_prefix(ends, "_c", sums=totals)
+        ends = ends.join(before.select("symbol", "_c", *[
+            F.col(t).alias(f"_before_{t}") for t in totals]), ["symbol", "_c"])
     reach = max((_reach(s, size) for s in decays), default=0)
     sent = ends.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(reach))))
     gap = (F.col("_d") - 1) * size

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,27 +26,21 @@ def build_session(app: str = "tickloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
+    known = dict(SparkConf().getAll()) | conf
+    for key, value in DEFAULTS.items():
+        if key not in known:
+            builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see, named by ``spark.checkpoint.dir`` (or set on the context).
-
-    Only a local-mode session, where every task shares one machine, may fall back to a
-    scratch folder of its own.
-    """
+    """Folder all executors see: ``spark.checkpoint.dir``, the context's, or where neither is set
+    one beside the warehouse, which executors share by definition."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tickloom-")
-    return _LOCAL_DIRS[app]
+    named = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    return named.rstrip("/")
 
 
 def work_path(spark: SparkSession, label: str) -> str:

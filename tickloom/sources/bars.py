@@ -16,17 +16,25 @@ def epoch_to_time(seconds: Column) -> Column:
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bar table with the fixed schema; CSV needs a header row."""
+    """Bar table with the fixed schema; CSV needs a header row. NaN and infinity become NULL."""
     reader = spark.read.schema(BAR)
     if fmt == "csv":
-        return reader.option("header", True).csv(path)
-    return reader.format(fmt).load(path)
+        return scrubbed(reader.option("header", True).csv(path))
+    return scrubbed(reader.format(fmt).load(path))
+
+
+def scrubbed(bars: DataFrame) -> DataFrame:
+    """Doubles that are no number, or infinite, as NULL."""
+    return bars.withColumns({
+        f.name: F.expr(f"CASE WHEN isnan({f.name}) OR abs({f.name}) = double('infinity') THEN NULL "
+                       f"ELSE {f.name} END")
+        for f in bars.schema if f.dataType.typeName() == "double"})
 
 
 def read_export(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """One exported CSV per symbol (header row, no symbol column)."""
-    return (spark.read.schema(EXPORT_BAR).option("header", True).option("enforceSchema", False)
-            .csv(path).select(F.lit(symbol).alias("symbol"), *BAR.fieldNames()[1:]))
+    read = spark.read.schema(EXPORT_BAR).option("header", True).option("enforceSchema", False)
+    return (scrubbed(read.csv(path)).select(F.lit(symbol).alias("symbol"), *BAR.fieldNames()[1:]))
 
 
 def tick_order(ts: str = "ts", seq: str = "seq") -> Column:

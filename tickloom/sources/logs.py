@@ -10,7 +10,7 @@ from tickloom.schema import PARSED_LOG
 
 # The log's fence and record layout.
 FENCE = "=" * 80
-STAMP = r"Timestamp:\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
+STAMP = r"(?U)Timestamp:\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 RECORD = (
     r"(?s)" + STAMP + r".*?FINAL DECISION:\s*(.*?)\*\*.*?Trade Execution.*?"
     r"- Entry:\s*\[([\d\.-]+)\].*?- Stop Loss:\s*\[([\d\.]+)\].*?- Take Profit:\s*\[([\d\.]+)\]"

@@ -35,7 +35,6 @@ def test_prefix_levels_agree(summaries, fan):
 def test_positions_across_buckets(make_bars):
     bars = make_bars({"A": list(range(500)), "B": list(range(30))}, skip=set(range(50, 120)))
     series = B.index_rows(bars, chunk_rows=64)
-    assert not series.single
     rows = series.frame.orderBy("symbol", "time").collect()
     a = [r["_i"] for r in rows if r["symbol"] == "A"]
     assert a == list(range(430)) and [r["_i"] for r in rows if r["symbol"] == "B"] == list(range(30))
@@ -75,9 +74,8 @@ def test_fills(make_bars, chunk_rows):
         "x", F.when(F.col("close") % 90 == 70, F.col("close")))
     series = B.index_rows(bars, chunk_rows, reuse=True)
     own = B.spread(series, 0)
-    args = (["x"], series.chunk_rows, series.single)
-    both = [r["x"] for r in fill(own, *args, series.chunks).orderBy("time").collect()]
-    back = [r["x"] for r in fill_backward(own, *args).orderBy("time").collect()]
+    both = [r["x"] for r in fill(own, ["x"]).orderBy("time").collect()]
+    back = [r["x"] for r in fill_backward(own, ["x"]).orderBy("time").collect()]
     marks = [70, 160, 250]
     for i, close in enumerate(range(1, 301)):
         past = [m for m in marks if m <= close]

@@ -11,6 +11,7 @@ from tickloom.operators import decide as D
 from tickloom.operators import rules as G
 from tickloom.operators import scoring as S
 from tickloom.operators.asof import as_of_join
+from tickloom.operators.blocks import index_rows
 from tickloom.plans import decision as P
 from tickloom.plans.features import feature_table
 from tickloom.plans.presets import PRESETS, Rule, StrategyConfig, rules_frame
@@ -126,6 +127,7 @@ def test_requests_equal_a_recompute(spark, make_bars):
     answers = P.service_answers(bars, sides[1], sides[0], logit_scorer, extra)
     asked = [(0, "Events_x", at(50, 30)), (1, "Events", at(139)), (2, "Other", at(50)),
              (3, "Events", at(-5))]
+    answers = answers.withColumn("strategy", F.lit("Events"))
     requests = spark.createDataFrame(asked, "id int, strategy string, to_time timestamp_ntz")
     got = {r["id"]: r for r in P.decisions_as_of(requests, answers, sides).collect()}
     assert got[2]["action"] == "NO_STRG" and got[3]["action"] is None
@@ -137,6 +139,36 @@ def test_requests_equal_a_recompute(spark, make_bars):
         assert got[i]["action"] == want["action"] and got[i]["bar_time"] == want["time"]
 
 
+def test_sides_of_a_strategy_belong_together(make_bars):
+    bars = make_bars({"A": [100, 101, 102]})
+    buy = StrategyConfig("one", "buy", "A", .5, 0, (Rule("rsi"),))
+    with pytest.raises(ValueError, match="no strategy"):
+        P.strategy_decisions(bars, [], logit_scorer)
+    with pytest.raises(ValueError, match="different strategies"):
+        P.strategy_decisions(bars, [(buy, StrategyConfig("two", "sell", "A", .5, 0, ()))], logit_scorer)
+    sell = StrategyConfig("one", "sell", "A", .5, 0, ())
+    with pytest.raises(ValueError, match="must differ"):
+        P.strategy_decisions(bars, [(buy, sell), (buy, sell)], logit_scorer)
+
+
+def test_minute_bars_keep_blocks_short(spark):
+    moments = [(i, "A", at(0) + dt.timedelta(minutes=i)) for i in range(300)]
+    series = spark.createDataFrame([(s, t, i) for i, s, t in moments],
+                                   "symbol string, t timestamp_ntz, v int")
+    requests = spark.createDataFrame(moments, "id int, symbol string, q timestamp_ntz")
+    found = as_of_join(requests, series, "t", "q", ["v"], bar_seconds=60)
+    assert all(r["v"] == r["id"] for r in found.collect())
+    indexed = index_rows(series.withColumnRenamed("t", "time"), 64, 60).frame
+    assert sorted(r["_i"] for r in indexed.collect()) == list(range(300))
+
+
+def test_appending_sorts_nothing(spark, make_bars):
+    bars = make_bars({"A": [100, 101, 102]})
+    plan = B.append_bars(bars, bars)._jdf.queryExecution().executedPlan().toString()
+    newest = D.latest(bars, "time")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan + newest and "HashAggregate" in plan
+
+
 def test_append_keeps_the_newest(make_bars):
     bars = make_bars({"A": [1.0, 2.0, 3.0]})
     new = bars.limit(1).withColumn("close", F.lit(9.0)).withColumn("arrival", F.lit(2))

@@ -228,13 +228,13 @@ def features(columns, bars: str = EVENT_BARS, scans: bool = False, digits: int =
     return f"{feature_ctes(bars, scans)}\nSELECT symbol, time, {picked} FROM {'f' if scans else 'x6'}"
 
 
-def filled(columns, bars: str = EVENT_BARS, backward: bool = True) -> str:
+def filled(columns, bars: str = EVENT_BARS, backward: bool = True, digits: int = 6) -> str:
     """Feature columns after the forward (and backward) fill."""
     def fill(c: str) -> str:
         past = (f'last_value("{c}" IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time '
                 "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
         coming = (f'first_value("{c}" IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time '
                   "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
-        return shown(c, f"coalesce({past}, {coming})" if backward else past)
+        return shown(c, f"coalesce({past}, {coming})" if backward else past, digits)
     picked = ",\n".join(fill(c) for c in columns)
     return f"{feature_ctes(bars)}\nSELECT symbol, time, {picked} FROM f"

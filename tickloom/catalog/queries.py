@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,14 @@ from tickloom.operators import responses as T
 from tickloom.operators import rolling as R
 from tickloom.operators import rules as G
 from tickloom.operators import scoring as S
-from tickloom.operators.blocks import index_rows, spread
+from tickloom.operators.blocks import exclusive_prefix, index_rows, spread
 from tickloom.operators.fill import fill, fill_backward
 from tickloom.operators.indicators import COLUMNS, row, win
 from tickloom.plans import decision as P
 from tickloom.plans.features import feature_table
-from tickloom.plans.presets import Rule, StrategyConfig, rules_frame
+from tickloom.plans.presets import (
+    EURUSD_BUY, EURUSD_SELL, Rule, StrategyConfig, rules_frame,
+)
 from tickloom.session import materialise, work_path
 from tickloom.sources import bars as B
 from tickloom.sources import logs as L
@@ -83,6 +86,8 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # Running values of order totals have eleven significant digits in common between engines.
 ORDER_RUNNING_DIGITS = 4
+# With four, averages of prices in cents would end on a half, which engines round either way.
+ORDER_TABLE_DIGITS = 5
 
 
 def indicator(columns: tuple[str, ...], bars: Query = event_bars, digits: int = 6, **kw) -> Query:
@@ -155,6 +160,10 @@ DAILY_FINITE = {
     "daily_rsi": ("rsi", "rsi_lag_10"),
     "daily_ichimoku": FINITE["ichimoku"],
     "daily_fib_levels": FINITE["fib_levels"],
+    "daily_price_cluster": FINITE["price_cluster"],
+    "daily_support_strength": FINITE["support_strength"],
+    "daily_cmf": FINITE["cmf"],
+    "daily_liquidity_index": FINITE["liquidity_index"],
 }
 DAILY_RUNNING = {
     "daily_ema": RUNNING["ema"],
@@ -188,15 +197,27 @@ def fill_query(backward_only: bool) -> Query:
         series = index_rows(gappy, bar_seconds=86400, reuse=True)
         own = spread(series, 0)
         if backward_only:
-            out = fill_backward(own, ["gappy"], series.chunk_rows, series.single)
+            out = fill_backward(own, ["gappy"])
         else:
-            out = fill(own, ["gappy"], series.chunk_rows, series.single, series.chunks, False)
+            out = fill(own, ["gappy"], False)
         return shown(out.select("symbol", "time", "gappy"))
     return run
 
 
-def full_table(view: str, bars: Query = event_bars) -> Query:
-    return indicator(COLUMNS, bars, view=view)
+def full_table(view: str, bars: Query = event_bars, digits: int = 6) -> Query:
+    return indicator(COLUMNS, bars, digits, view=view)
+
+
+PREFIX_FAN = 16
+
+
+def prefix_groups(spark, sf_dir):
+    """Bars and last known close before each day, prefixed over many small groups of days."""
+    days = order_bars(spark, sf_dir).select(
+        "symbol", F.unix_date(F.col("time").cast("date")).cast("long").alias("day"),
+        F.col("tick_volume").alias("bars_before"),
+        F.when(F.col("spread") % 3 != 0, F.col("close")).alias("close_before"))
+    return shown(exclusive_prefix(days, "day", ["bars_before"], ["close_before"], PREFIX_FAN))
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -315,12 +336,54 @@ def rule_votes_long(spark, sf_dir):
     return G.rule_votes_long(_rule_features(spark, sf_dir), rules_frame(spark, BUY, SELL))
 
 
-def decided(spark, sf_dir) -> DataFrame:
-    out = P.decide(event_bars(spark, sf_dir), BUY, SELL, logit_scorer, SCORED_ON)
+def rule_verdict_long(spark, sf_dir):
+    features = feature_table(event_bars(spark, sf_dir),
+                             P.needed_features(BUY, SELL, extra=SCORED_ON), "history")
+    scored = logit_scorer(logit_scorer(features, BUY, "buy"), SELL, "sell")
+    return G.rule_verdict_long(scored, rules_frame(spark, BUY, SELL))
+
+
+def decided(spark, sf_dir, bars: Query = event_bars, bar_seconds: int = 3600) -> DataFrame:
+    out = P.decide(bars(spark, sf_dir), BUY, SELL, logit_scorer, SCORED_ON,
+                   bar_seconds=bar_seconds)
     return out.withColumn("currency_pair", F.upper(F.concat(
         F.substring("symbol", 1, 3), F.lit("/ usd"))))
 
 
+def daily_final_decision(spark, sf_dir):
+    """Decisions over series of several chunks."""
+    return shown(decided(spark, sf_dir, order_bars, 86400))
+
+
+# Two strategies on one symbol, a third on another; the other symbols have none.
+STRATEGIES = (
+    (replace(BUY, name="alpha", aliases=("Alpha",)), replace(SELL, name="alpha", aliases=())),
+    (replace(BUY, name="beta", aliases=("Alpha-b",), threshold=0.5, min_votes=2, service_votes=2,
+             rules=BUY.rules[:4]),
+     replace(SELL, name="beta", aliases=(), threshold=0.5, min_votes=1, service_votes=1,
+             rules=SELL.rules[2:])),
+    (replace(BUY, name="gamma", symbol="view", aliases=("G",), min_votes=4),
+     replace(SELL, name="gamma", aliases=(), symbol="view", threshold=0.7)),
+)
+
+
+def strategy_decisions(spark, sf_dir):
+    return shown(P.strategy_decisions(
+        event_bars(spark, sf_dir), STRATEGIES, logit_scorer, SCORED_ON))
+
+
+def strategy_requests(spark, sf_dir):
+    """Every event asks one of the strategies, or one nobody runs, for its answer at that time."""
+    n = F.col("event_id") % 4
+    requests = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.when(n == 0, "Alpha-v2").when(n == 1, "Alpha-beta").when(n == 2, "Gamma").otherwise("Delta")
+        .alias("strategy"), F.col("ts").alias("to_time"))
+    found = P.strategy_answers(event_bars(spark, sf_dir), STRATEGIES, logit_scorer, SCORED_ON)
+    return P.decisions_as_of(requests, found, [c for pair in STRATEGIES for c in pair]).select(
+        "request_id", "strategy", "to_time", "symbol", "bar_time", "action")
+
+
 def final_decision(spark, sf_dir):
     return shown(decided(spark, sf_dir))
 
@@ -342,7 +405,7 @@ def decision_counts(spark, sf_dir):
 
 
 def latest_decision(spark, sf_dir):
-    return shown(D.latest_decision(decided(spark, sf_dir)))
+    return shown(D.latest_decision(materialise(decided(spark, sf_dir), "decided")))
 
 
 def actionable(spark, sf_dir):
@@ -398,7 +461,8 @@ def decisions_as_of(spark, sf_dir):
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("Str-"), F.col("event_type"), F.lit("-v2")).alias("strategy"),
         (F.col("ts") - F.expr("INTERVAL 90 MINUTES")).alias("to_time"))
-    return P.decisions_as_of(requests, answers(spark, sf_dir), per_symbol).select(
+    answered = answers(spark, sf_dir).withColumn("strategy", F.col("symbol"))
+    return P.decisions_as_of(requests, answered, per_symbol).select(
         "request_id", "strategy", "to_time", "bar_time", "action")
 
 
@@ -433,6 +497,56 @@ def stacked_scores(spark, sf_dir):
         "symbol", "time", *S.PROBABILITIES, "up_p0", "up_p1", "up_class")
 
 
+MODEL_INPUTS = {"buy": EURUSD_BUY, "sell": EURUSD_SELL}
+
+
+def _side_models(spark, sf_dir):
+    """One stack per side, on the model lists of a shipped strategy, and the rows it learnt from."""
+    found = I.registry()
+    found["_next_close"] = win("_next_close", "close", R.following("close"), 0, 1)
+    for side, sign in (("buy", ">"), ("sell", "<")):
+        found[f"won_{side}"] = row(f"won_{side}", "close _next_close", "CASE WHEN _next_close IS NOT "
+                                   f"NULL THEN int(_next_close {sign} close) END")
+    wanted = P.needed_features(*MODEL_INPUTS.values(), BUY, SELL)
+    features = materialise(feature_table(event_bars(spark, sf_dir), [*wanted, "won_buy", "won_sell"],
+                                         "raw", [list(found.values())]), "training")
+    models = {side: S.fit_stack(features, f"won_{side}", c.base_a, c.base_b, c.meta, 2, 2)
+              for side, c in MODEL_INPUTS.items()}
+    return models, features
+
+
+def model_checks(spark, sf_dir):
+    """What holds of fitted stacks: a row a bar, chances that are chances, the likelier class, and
+    a meta model over its list and the four base chances once more."""
+    models, features = _side_models(spark, sf_dir)
+    out = None
+    for side, model in models.items():
+        pairs = [S.PROBABILITIES[:2], S.PROBABILITIES[2:], ("up_p0", "up_p1")]
+        proper, whole = F.lit(True), F.lit(True)
+        for a, b in pairs:
+            proper &= F.col(a).between(0, 1) & F.col(b).between(0, 1)
+            whole &= F.abs(F.col(a) + F.col(b) - 1) < 1e-9
+        likelier = F.col("up_class") == (F.col("up_p1") > F.col("up_p0")).cast("int")
+        found = model.transform(features, "up").groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(proper).alias("n_proper"),
+            F.count_if(whole).alias("n_whole"), F.count_if(likelier).alias("n_likelier"),
+        ).select(F.lit(side).alias("side"), "*",
+                 F.lit(model.meta.stages[-1].numFeatures).cast("long").alias("meta_inputs"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def model_decisions(spark, sf_dir):
+    """Decisions from the fitted stacks, counted per symbol: one legal decision a bar."""
+    models, _ = _side_models(spark, sf_dir)
+    extra = P.needed_features(*MODEL_INPUTS.values())
+    out = P.decide(event_bars(spark, sf_dir), BUY, SELL, S.model_scorer(models), extra)
+    legal = F.col("final_decision").isin("buy", "sell", "indecision", "do_nothing")
+    return out.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(legal).alias("n_legal"),
+        F.count_distinct("datetime").alias("n_times"))
+
+
 # --- reviews ---------------------------------------------------------------------------------
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -647,13 +761,16 @@ def queries() -> dict[str, Query]:
         found[name] = indicator(columns, order_bars, ORDER_RUNNING_DIGITS)
     found["feature_table"] = full_table("history")
     found["feature_table_as_of"] = full_table("as_of")
+    found["daily_feature_table"] = full_table("history", order_bars, ORDER_TABLE_DIGITS)
     found["fill_forward"] = fill_query(False)
     found["fill_backward"] = fill_query(True)
     for fn in (
         scan_bars, build_bars_hourly, build_bars_daily, epoch_to_ts, filter_since, features_as_of,
         append_dedup_last, snapshot_roundtrip, safe_division, tz_projection, rolling_sums,
         ewm_adjusted, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
-        verdict_join, verdict_counts, final_decision, decision_counts, latest_decision,
+        rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
+        decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,
+        model_checks, model_decisions,
         actionable, fresh_decisions, normalise_pair, service_action, service_action_v1,
         volume_confirm, decisions_as_of, base_scores, stacked_scores, extract_decision,
         extract_justification, extract_execution, extract_execution_strict, extract_json,

@@ -71,11 +71,11 @@ def _votes(config) -> str:
     return " + ".join(_inside(r) for r in config.rules)
 
 
-def scored_ctes(backward: bool = True) -> str:
+def scored_ctes(backward: bool = True, bars: str = EVENT_BARS) -> str:
     """Filled features, both stacked scores and both vote counts."""
     names = list(dict.fromkeys([*Q.P.needed_features(Q.BUY, Q.SELL, extra=Q.SCORED_ON)]))
     cols = ", ".join(f"{_fill_sql(n, backward)} AS {n}" for n in names)
-    return f"""{feature_ctes()},
+    return f"""{feature_ctes(bars)},
 g AS (SELECT symbol, time, tick_volume, price_range AS price_range_raw,
       {cols} FROM f),
 b AS (SELECT *, {_logit(Q.BASE_A)} AS zero_pred_1, {_logit(Q.BASE_B)} AS one_pred_1 FROM g),
@@ -90,16 +90,41 @@ def _confir(side: str, config) -> str:
             f"WHEN {side}_votes >= {config.min_votes} THEN 'confirm' ELSE 'not_strong' END")
 
 
-def decided_ctes() -> str:
-    return f"""{scored_ctes()},
-v AS (SELECT symbol, time AS datetime, buy_p0 AS class0_buy, buy_p1 AS class1_buy,
-      sell_p0 AS class0_sell, sell_p1 AS class1_sell,
-      {_confir('buy', Q.BUY)} AS confir_buy, {_confir('sell', Q.SELL)} AS confir_sell FROM s),
-d AS (SELECT *, CASE confir_buy || '/' || confir_sell
+FINAL = """CASE confir_buy || '/' || confir_sell
         WHEN 'confirm/confirm' THEN 'indecision'
         WHEN 'confirm/not_strong' THEN 'buy' WHEN 'confirm/below_threshold' THEN 'buy'
         WHEN 'not_strong/confirm' THEN 'sell' WHEN 'below_threshold/confirm' THEN 'sell'
-        ELSE 'do_nothing' END AS final_decision,
+        ELSE 'do_nothing' END"""
+
+
+def _side_votes(side: str, config) -> str:
+    """The side's case with its own rules in place of the common vote column."""
+    return _confir(side, config).replace(f"{side}_votes", f"({_votes(config)})")
+
+
+def _strategy_rows() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{buy.name}' AS strategy, symbol, time AS datetime, buy_p0 AS class0_buy, "
+        f"buy_p1 AS class1_buy, sell_p0 AS class0_sell, sell_p1 AS class1_sell, "
+        f"{_side_votes('buy', buy)} AS confir_buy, {_side_votes('sell', sell)} AS confir_sell "
+        f"FROM s WHERE symbol = '{buy.symbol}'" for buy, sell in Q.STRATEGIES)
+
+
+def _strategy_answers() -> str:
+    def answer(side: str, c) -> str:
+        return (f"CASE WHEN NOT (greatest({side}_p0, {side}_p1) >= {c.threshold}) THEN 'below_threshold' "
+                f"WHEN ({_votes(c)}) >= {c.service_votes} THEN '{side.upper()}' ELSE 'not_strong' END")
+    return " UNION ALL ".join(
+        f"SELECT '{buy.name}' AS name, symbol, time, {answer('buy', buy)} AS b, {answer('sell', sell)} AS s "
+        f"FROM s WHERE symbol = '{buy.symbol}'" for buy, sell in Q.STRATEGIES)
+
+
+def decided_ctes(bars: str = EVENT_BARS) -> str:
+    return f"""{scored_ctes(bars=bars)},
+v AS (SELECT symbol, time AS datetime, buy_p0 AS class0_buy, buy_p1 AS class1_buy,
+      sell_p0 AS class0_sell, sell_p1 AS class1_sell,
+      {_confir('buy', Q.BUY)} AS confir_buy, {_confir('sell', Q.SELL)} AS confir_sell FROM s),
+d AS (SELECT *, {FINAL} AS final_decision,
       upper(substr(symbol, 1, 3) || '/ usd') AS currency_pair FROM v)"""
 
 
@@ -197,6 +222,11 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = features(columns, ORDER_BARS, True, Q.ORDER_RUNNING_DIGITS)
     sql["feature_table"] = filled(COLUMNS)
     sql["feature_table_as_of"] = _as_of(COLUMNS)
+    sql["daily_feature_table"] = filled(COLUMNS, ORDER_BARS, digits=Q.ORDER_TABLE_DIGITS)
+    sql["prefix_groups"] = f"""WITH {ORDER_BARS} SELECT symbol, date_diff('day', DATE '1970-01-01', time) AS day,
+CAST(coalesce(sum(tick_volume) OVER w, 0) AS BIGINT) AS bars_before,
+round(last_value(CASE WHEN spread % 3 <> 0 THEN close END IGNORE NULLS) OVER w, 6) + 0.0 AS close_before
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
     sql["fill_forward"] = _gappy(False)
     sql["fill_backward"] = _gappy(True)
     sql["scan_bars"] = sql["snapshot_roundtrip"] = sql["build_bars_hourly"] = _bars()
@@ -229,6 +259,32 @@ def oracle_sql() -> dict[str, str]:
     sql["verdict_join"] = f"{head} SELECT symbol, datetime, {P_SHOWN}, confir_buy, confir_sell FROM v"
     sql["final_decision"] = (f"{head} SELECT symbol, datetime, {P_SHOWN}, confir_buy, confir_sell, "
                              "final_decision, currency_pair FROM d")
+    sql["daily_final_decision"] = (
+        f"{decided_ctes(ORDER_BARS)} SELECT symbol, datetime, {P_SHOWN}, confir_buy, confir_sell, "
+        "final_decision, currency_pair FROM d")
+    sql["rule_verdict_long"] = f"{scored_ctes()} " + " UNION ALL ".join(
+        f"SELECT symbol, time, '{c.name}' AS strategy, '{c.side}' AS side, "
+        f"CAST({c.side}_votes AS BIGINT) AS votes, {_confir(c.side, c)} AS verdict FROM s"
+        for c in (Q.BUY, Q.SELL))
+    sql["strategy_decisions"] = (
+        f"{scored_ctes()}, v AS ({_strategy_rows()}) SELECT strategy, symbol, datetime, {P_SHOWN}, "
+        f"confir_buy, confir_sell, {FINAL} AS final_decision, symbol AS currency_pair FROM v")
+    sql["strategy_requests"] = f"""{scored_ctes(backward=False)}, a0 AS ({_strategy_answers()}),
+a AS (SELECT *, CASE WHEN s = 'SELL' AND b = 'BUY' THEN 'INDIRECTION' WHEN s = 'SELL' THEN 'SELL'
+      WHEN b = 'BUY' THEN 'BUY' ELSE '' END AS action FROM a0),
+q AS (SELECT event_id AS request_id, ts AS to_time,
+      ['Alpha-v2', 'Alpha-beta', 'Gamma', 'Delta'][event_id % 4 + 1] AS strategy,
+      ['alpha', 'beta', 'gamma', NULL][event_id % 4 + 1] AS name,
+      ['click', 'click', 'view', NULL][event_id % 4 + 1] AS symbol FROM events)
+SELECT request_id, strategy, to_time, q.symbol, a.time AS bar_time,
+       CASE WHEN q.name IS NULL THEN 'NO_STRG' ELSE a.action END AS action
+FROM q ASOF LEFT JOIN a ON q.name = a.name AND q.to_time >= a.time"""
+    sql["model_checks"] = f"WITH {EVENT_BARS} " + " UNION ALL ".join(
+        f"SELECT '{side}' AS side, symbol, count(*) AS n, count(*) AS n_proper, count(*) AS n_whole, "
+        f"count(*) AS n_likelier, CAST({len(c.meta) + 4} AS BIGINT) AS meta_inputs "
+        "FROM bars GROUP BY symbol" for side, c in Q.MODEL_INPUTS.items())
+    sql["model_decisions"] = (f"WITH {EVENT_BARS} SELECT symbol, count(*) AS n, count(*) AS n_legal, "
+                              "count(*) AS n_times FROM bars GROUP BY symbol")
     sql["verdict_counts"] = f"{head} SELECT confir_buy, confir_sell, count(*) AS n FROM v GROUP BY 1, 2"
     sql["decision_counts"] = f"{head} SELECT final_decision, count(*) AS n FROM d GROUP BY 1"
     sql["latest_decision"] = (

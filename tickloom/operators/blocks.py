@@ -51,38 +51,32 @@ def exclusive_prefix(
     """
     group = f"{order}g"
     grouped = blocks.withColumn(group, F.floor(F.col(order) / fan))
-    inside = Window.partitionBy("symbol", group).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    local = grouped.select(
-        "symbol", group, order,
-        *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums],
-        *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in lasts],
-    )
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def earlier(over: str, prefix: str = "") -> list[str]:
+        return [*[f"coalesce(sum({c}) {over}, 0) AS {prefix}{c}" for c in sums],
+                *[f"last({c}, true) {over} AS {prefix}{c}" for c in lasts]]
+
+    local = grouped.selectExpr("symbol", group, order, *earlier(
+        f"OVER (PARTITION BY symbol, {group} ORDER BY {order} {so_far})"))
     tops = grouped.groupBy("symbol", group).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in lasts])
-    before = Window.partitionBy("symbol").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    above = tops.select(
-        "symbol", group,
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums],
-        *[F.last(c, ignorenulls=True).over(before).alias(c) for c in lasts])
-    renamed = above.select("symbol", group, *[F.col(c).alias(f"_top_{c}") for c in (*sums, *lasts)])
-    return local.join(renamed, ["symbol", group]).select(
-        "symbol", order,
-        *[(F.col(c) + F.col(f"_top_{c}")).alias(c) for c in sums],
-        *[F.coalesce(F.col(c), F.col(f"_top_{c}")).alias(c) for c in lasts],
-    )
+        *[F.expr(f"sum({c}) AS {c}") for c in sums],
+        *[F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN {order} END) AS {c}")
+          for c in lasts])
+    above = tops.selectExpr("symbol", group, *earlier(
+        f"OVER (PARTITION BY symbol ORDER BY {group} {so_far})", "_top_"))
+    return local.join(above, ["symbol", group]).selectExpr(
+        "symbol", order, *[f"{c} + _top_{c} AS {c}" for c in sums],
+        *[f"coalesce({c}, _top_{c}) AS {c}" for c in lasts])
 
 
 @dataclass(frozen=True)
 class Series:
-    """Bars with their position ``_i``; ``single`` when no series is longer than one chunk."""
+    """Bars with their position ``_i``, and the tasks to spread their chunks over."""
 
     frame: DataFrame
     chunk_rows: int
-    single: bool
     tasks: int
-    chunks: int   # upper bound over all series
 
 
 def task_count(spark: SparkSession, rows: int, chunks: int) -> int:
@@ -105,22 +99,15 @@ def index_rows(
         "_b", F.floor(epoch_second(F.col("time")) / (chunk_rows * bar_seconds)))
     counts = materialise(
         bucketed.groupBy("symbol", "_b").agg(F.count(F.lit(1)).alias("_n")), "bar-counts")
-    sizes = counts.groupBy("symbol").agg(F.sum("_n").alias("n")).agg(
-        F.max("n").alias("longest"), F.sum("n").alias("rows"), F.count("n").alias("series")).first()
-    longest, rows = sizes["longest"] or 0, sizes["rows"] or 0
-    chunks = rows // chunk_rows + sizes["series"]
-    tasks = task_count(bars.sparkSession, rows, chunks)
-    if longest <= chunk_rows:
-        whole = Window.partitionBy("symbol").orderBy("time")
-        frame = bars.repartition(tasks, "symbol").withColumn(
-            "_i", (F.row_number().over(whole) - 1).cast("long"))
-        return Series(frame, chunk_rows, True, tasks, chunks)
+    sizes = counts.agg(F.sum("_n").alias("rows"), F.count_distinct("symbol").alias("series")).first()
+    rows = sizes["rows"] or 0
+    tasks = task_count(bars.sparkSession, rows, rows // chunk_rows + sizes["series"])
     offsets = exclusive_prefix(counts, "_b", sums=["_n"]).withColumnRenamed("_n", "_before")
     inside = Window.partitionBy("symbol", "_b").orderBy("time")
     frame = bucketed.join(offsets, ["symbol", "_b"]).withColumn(
         "_i", F.col("_before") + F.row_number().over(inside) - 1).drop("_b", "_before")
     return Series(
-        materialise(frame, "bar-index") if reuse else frame, chunk_rows, False, tasks, chunks)
+        materialise(frame, "bar-index") if reuse else frame, chunk_rows, tasks)
 
 
 def spread(series: Series, back: int, ahead: int = 0, origin: str | None = None) -> DataFrame:
@@ -133,8 +120,6 @@ def spread(series: Series, back: int, ahead: int = 0, origin: str | None = None)
     if max(back, ahead) > size:
         raise ValueError(f"frames of {max(back, ahead)} rows need chunks of at least that size")
     frame = series.frame
-    if series.single and origin is None:
-        return frame.select("*", F.lit(0).cast("long").alias("_c"), F.col("_i").alias("_j"))
     start = F.col(origin) if origin else F.lit(0)
     offset = F.col("_i") - start
     chunk = F.floor(offset / size)

@@ -40,10 +40,14 @@ def decision_counts(decided: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, time: str = "datetime") -> DataFrame:
-    """Newest row per symbol; partial aggregation, no sort of the series."""
-    rest = [x for x in df.columns if x != "symbol"]
-    return df.groupBy("symbol").agg(F.max_by(F.struct(*rest), time).alias("_row")).select(
-        "symbol", "_row.*")
+    """Newest row per symbol of a bar table, whose ``(symbol, time)`` are unique (otherwise all
+    rows of the newest time).
+
+    A hash aggregation finds the newest times, one row a symbol, and a join fetches their rows:
+    nothing is sorted. ``df`` is read twice: pass a written table.
+    """
+    newest = df.groupBy("symbol").agg(F.max(time).alias(time))
+    return df.join(newest, ["symbol", time], "left_semi")
 
 
 def latest_decision(decided: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tickloom.functions.numeric import holds
 from tickloom.plans.presets import Rule, StrategyConfig
 
 
-def confidence_gate(p0: Column, p1: Column, threshold: float) -> Column:
+def confidence_gate(p0: Column, p1: Column, threshold: float | Column) -> Column:
     """True if either class is at least ``threshold`` likely (confidence, not direction)."""
     return holds(F.greatest(p0, p1) >= threshold)
 
@@ -48,18 +48,43 @@ def rule_votes_long(features: DataFrame, rules: DataFrame) -> DataFrame:
     Suits rule sets that change without a redeploy. The unpivot keeps only features some rule
     names; votes are summed before the shuffle.
     """
+    return _tested(features, rules, []).groupBy("symbol", "time", "strategy", "side").agg(
+        F.sum("_vote").alias("votes"))
+
+
+def _tested(features: DataFrame, rules: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Every rule of every bar, with its vote 0 or 1."""
     named = sorted(r["feature"] for r in rules.select("feature").distinct().collect())
-    long = features.select("symbol", "time", *[F.col(n).cast("double").alias(n) for n in named]
-                           ).unpivot(["symbol", "time"], named, "feature", "value")
+    ids = ["symbol", "time", *kept]
+    long = features.select(*ids, *[F.col(n).cast("double").alias(n) for n in named]
+                           ).unpivot(ids, named, "feature", "value")
     value = F.col("value")
     inside = (value.isNotNull() & (F.col("lo").isNull() | (value >= F.col("lo")))
               & (F.col("hi").isNull() | (value <= F.col("hi"))))
-    return long.join(rules, "feature").groupBy(
-        "symbol", "time", "strategy", "side").agg(
-        F.sum(holds(inside).cast("long")).alias("votes"))
+    return long.join(rules, "feature").withColumn("_vote", holds(inside).cast("long"))
+
+
+def rule_verdict_long(scored: DataFrame, rules: DataFrame) -> DataFrame:
+    """Verdicts from the rule table alone, which also names the votes and the threshold.
+
+    ``scored`` carries ``buy_p0``, ``buy_p1``, ``sell_p0`` and ``sell_p1`` beside the features. A
+    side without a rule has no row in the table, hence no verdict.
+    """
+    def own(p: str) -> Column:
+        return F.when(F.col("side") == "buy", F.col(f"buy_{p}")).when(
+            F.col("side") == "sell", F.col(f"sell_{p}"))
+
+    chances = [f"{side}_{p}" for side in ("buy", "sell") for p in ("p0", "p1")]
+    counted = _tested(scored, rules, chances).groupBy("symbol", "time", "strategy", "side").agg(
+        F.sum("_vote").alias("votes"), F.max(own("p0")).alias("p0"), F.max(own("p1")).alias("p1"),
+        F.max("min_votes").alias("_min_votes"), F.max("threshold").alias("_threshold"))
+    return counted.select("symbol", "time", "strategy", "side", "votes", verdict(
+        F.col("p0"), F.col("p1"), F.col("_threshold"), F.col("votes"), F.col("_min_votes"))
+        .alias("verdict"))
 
 
-def verdict(p0: Column, p1: Column, threshold: float, count: Column, min_votes: int) -> Column:
+def verdict(p0: Column, p1: Column, threshold: float | Column, count: Column,
+            min_votes: int | Column) -> Column:
     """``below_threshold``, else ``confirm`` with enough votes, else ``not_strong``."""
     return (F.when(~confidence_gate(p0, p1, threshold), "below_threshold")
             .when(count >= min_votes, "confirm").otherwise("not_strong"))

@@ -84,6 +84,14 @@ class StackedModel:
         return cls(*[PipelineModel.load(f"{path}/{part}") for part in ("base_a", "base_b", "meta")])
 
 
+def model_scorer(models: dict[str, StackedModel]):
+    """Scorer for the decision plans from one fitted stack per side."""
+    def score(features: DataFrame, config, prefix: str) -> DataFrame:
+        return models[config.side].transform(features, prefix).select(
+            *features.columns, f"{prefix}_p0", f"{prefix}_p1")
+    return score
+
+
 def fit_stack(
     training: DataFrame, label: str, base_a: Sequence[str], base_b: Sequence[str],
     meta: Sequence[str], trees: int = 10, depth: int = 4, seed: int = 7,

@@ -19,6 +19,7 @@ from tickloom.operators import indicators as I
 from tickloom.operators.blocks import CHUNK_ROWS, Series, index_rows, own, spread
 from tickloom.operators.fill import fill
 from tickloom.operators.scan import Scan, carry_table, local_value, safe_chunk_rows, with_carry
+from tickloom.session import materialise
 
 VIEWS = ("history", "as_of", "causal", "raw")
 
@@ -44,19 +45,26 @@ class FeaturePlan:
     def scans(self, phase: int) -> list[Scan]:
         return [s for stage in self.phases[phase] for s in stage.scans]
 
+    def read_after(self, phase: int) -> set[str]:
+        """Columns that later phases read or that are asked for."""
+        later = {n for stages in self.phases[phase + 1:] for stage in stages
+                 for f in (*stage.windows, *[f for rows in stage.rows for f in rows])
+                 for n in f.needs}
+        return later | {s.u for p in range(phase + 1, len(self.phases)) for s in self.scans(p)
+                        } | set(self.outputs)
+
     @property
     def all_scans(self) -> list[Scan]:
         return [s for p in range(len(self.phases)) for s in self.scans(p)]
 
 
 def plan_features(
-    outputs: Sequence[str], registry: dict[str, I.Feature], whole: bool = False,
+    outputs: Sequence[str], registry: dict[str, I.Feature],
 ) -> FeaturePlan:
     """Order the features beneath ``outputs``.
 
     Each feature gets a phase (finished recursions beneath it) and a level (Window nodes beneath
-    it within the phase). With ``whole`` series in one chunk a recursion is an ordinary window, so
-    there is a single phase.
+    it within the phase).
     """
     given = {*I.BASE, "_i"}
     place: dict[str, tuple[int, int]] = {n: (0, 0) for n in given}   # (phase, level)
@@ -79,7 +87,7 @@ def plan_features(
             depth[name] = 1 + max(depth[n] for n in f.needs if place[n] == (phase, level))
         else:
             computed[name] = (phase, level + 1)
-            finished = (phase + 1, 0) if f.kind == "scan" and not whole else (phase, level + 1)
+            finished = (phase + 1, 0) if f.kind == "scan" else (phase, level + 1)
             place[name], depth[name] = finished, 0
             if phase and f.back > 1:
                 raise ValueError(f"{name} looks back {f.back} rows over a running recursion")
@@ -126,10 +134,14 @@ def run_plan(
     series: Series, plan: FeaturePlan, origin: str | None = None, seed: DataFrame | None = None,
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Own rows with base columns, position columns, ``extra`` and every requested output."""
+    """Own rows with base columns, position columns, ``extra`` and every requested output.
+
+    What a phase found is written once, with the columns that later phases read; the carry of its
+    recursions and the next phase both start from that table, so no window runs twice.
+    """
     size = series.chunk_rows
     frame = spread(series, plan.back, plan.ahead, origin)
-    whole = series.single and seed is None
+    always = {*I.BASE, "_i", "_c", "_j", *extra}
     for number, stages in enumerate(plan.phases):
         for stage in stages:
             running = [f"{local_value(s, size)} AS {s.name}" for s in stage.scans]
@@ -140,15 +152,16 @@ def run_plan(
             for rows in stage.rows:
                 frame = frame.selectExpr("*", *[f"{f.sql} AS {f.name}" for f in rows])
         scans = plan.scans(number)
-        if scans and not whole:
+        if scans:
             names = {s.name for s in scans}
-            carry = carry_table(frame, scans, size, series.chunks, seed)
-            near = frame.filter((F.col("_j") >= -1) & (F.col("_j") < size))
+            wanted = always | names | plan.read_after(number)
+            near = materialise(
+                frame.filter((F.col("_j") >= -1) & (F.col("_j") < size)).select(
+                    *[x for x in frame.columns if x in wanted]), "phase")
+            carry = carry_table(near, scans, size, seed)
             frame = with_carry(near, carry, scans, [x for x in near.columns if x not in names])
     keep = dict.fromkeys([*I.BASE, "_i", "_c", "_j", *extra, *plan.outputs])
-    if not whole:
-        frame = frame.filter(own(size))
-    return frame.select(*keep)
+    return frame.filter(own(size)).select(*keep)
 
 
 def registry_for(
@@ -190,42 +203,45 @@ def feature_table(
     scans = plan.all_scans
     size = safe_chunk_rows([s.ratio for s in scans], chunk_rows)
     series = index_rows(bars.select(*I.BASE), size, bar_seconds, reuse=bool(scans))
-    if series.single:
-        plan = plan_features(wanted, registry, whole=True)
     frame = run_plan(series, plan)
     if view != "raw":
         gaps = [x for x in wanted if x not in I.BASE]
-        frame = fill(frame, gaps, size, series.single, series.chunks, view == "history")
+        frame = fill(frame, gaps, view == "history")
     return frame.select(*dict.fromkeys([*I.BASE, *wanted]))
 
 
 # --- named entry points ----------------------------------------------------------------------
 
-def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    return feature_table(bars, ["rsi"], "raw", [I.rsi(period)])
+def rsi(bars: DataFrame, period: int = 14, bar_seconds: int = 3600) -> DataFrame:
+    return feature_table(bars, ["rsi"], "raw", [I.rsi(period)], bar_seconds=bar_seconds)
 
 
-def adx(bars: DataFrame, period: int = 14) -> DataFrame:
-    return feature_table(bars, ["adx"], "raw", [I.adx(period)])
+def adx(bars: DataFrame, period: int = 14, bar_seconds: int = 3600) -> DataFrame:
+    return feature_table(bars, ["adx"], "raw", [I.adx(period)], bar_seconds=bar_seconds)
 
 
 def ichimoku(bars: DataFrame, conversion: int = 9, base: int = 26, span_b: int = 52,
-             shift: int = 26) -> DataFrame:
+             shift: int = 26, bar_seconds: int = 3600) -> DataFrame:
     lines = ["ichimoku_conversion", "ichimoku_base", "ichimoku_span_a", "ichimoku_span_b",
              "ichimoku_lagging"]
-    return feature_table(bars, lines, "raw", [I.ichimoku(conversion, base, span_b, shift)])
+    return feature_table(bars, lines, "raw", [I.ichimoku(conversion, base, span_b, shift)],
+                         bar_seconds=bar_seconds)
 
 
-def ema(bars: DataFrame, *spans: int) -> DataFrame:
-    return feature_table(bars, [f"ema_{s}" for s in spans], "raw", [I.ema(s) for s in spans])
+def ema(bars: DataFrame, *spans: int, bar_seconds: int = 3600) -> DataFrame:
+    return feature_table(bars, [f"ema_{s}" for s in spans], "raw", [I.ema(s) for s in spans],
+                         bar_seconds=bar_seconds)
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9,
+         bar_seconds: int = 3600) -> DataFrame:
     outputs = ["macd", "macd_signal", "macd_histogram", "macd_histogram_slope",
                "macd_bullish_cross"]
-    return feature_table(bars, outputs, "raw", [I.macd(fast, slow, signal)])
+    return feature_table(bars, outputs, "raw", [I.macd(fast, slow, signal)],
+                         bar_seconds=bar_seconds)
 
 
-def average_true_range(bars: DataFrame, period: int = 14) -> DataFrame:
+def average_true_range(bars: DataFrame, period: int = 14,
+                       bar_seconds: int = 3600) -> DataFrame:
     return feature_table(bars, ["true_range", "atr_sma", "atr"], "raw",
-                         [I.average_true_range(period)])
+                         [I.average_true_range(period)], bar_seconds=bar_seconds)

@@ -46,9 +46,10 @@ PROBABILITIES = ("zero_pred_0", "zero_pred_1", "one_pred_0", "one_pred_1")
 
 
 def rules_frame(spark: SparkSession, *configs: StrategyConfig) -> DataFrame:
-    """The rules as rows: strategy, side, feature, lo, hi."""
+    """The rules as rows, each with the votes and the threshold its side asks for."""
     return spark.createDataFrame(
-        [(c.name, c.side, r.feature, r.lo, r.hi) for c in configs for r in c.rules], RULE)
+        [(c.name, c.side, r.feature, r.lo, r.hi, c.min_votes, c.threshold)
+         for c in configs for r in c.rules], RULE)
 
 
 # Thresholds, rule bounds, votes and model inputs of the shipped strategies. Bounds

@@ -53,6 +53,8 @@ RULE = T.StructType([
     T.StructField("feature", T.StringType()),
     T.StructField("lo", T.DoubleType()),
     T.StructField("hi", T.DoubleType()),
+    T.StructField("min_votes", T.LongType()),
+    T.StructField("threshold", T.DoubleType()),
 ])
 
 

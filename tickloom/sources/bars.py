@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from tickloom.schema import BAR, EXPORT_BAR
 
 
+# More than the width of a BIGINT: an order within a batch never reaches the next batch.
+ARRIVAL_STEP = Decimal("20000000000000000000")
+
+
 def epoch_to_time(seconds: Column) -> Column:
     """Zone-less timestamp of an epoch-seconds column."""
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
@@ -85,18 +90,21 @@ def until(bars: DataFrame, end: str) -> DataFrame:
 def append_bars(history: DataFrame, new: DataFrame) -> DataFrame:
     """History plus new bars, one row per ``(symbol, time)``: the newest arrival wins.
 
-    ``max_by`` combines before the shuffle, so a key repeated very often does not pile up in one
-    task as it would under ``row_number``. Both inputs may carry an ``arrival`` order column;
+    The order is one fixed-width number and every column has its own ``max_by``, so the planner
+    takes a hash aggregation: nothing is sorted, and a key repeated very often combines before the
+    shuffle. All of them see the same rows in the same order, hence pick the same one even where
+    arrivals tie. Both inputs may carry an ``arrival`` order column (a BIGINT; missing or NULL: 0);
     without one, ``new`` beats ``history``.
     """
     def arrivals(df: DataFrame, batch: int) -> DataFrame:
-        order = F.col("arrival").cast("long") if "arrival" in df.columns else F.lit(0).cast("long")
-        return df.select(*BAR.fieldNames(), F.struct(F.lit(batch).alias("batch"),
-                                                     order.alias("order")).alias("_arrival"))
+        order = F.coalesce(F.col("arrival").cast("long"), F.lit(0)) if (
+            "arrival" in df.columns) else F.lit(0)
+        return df.select(*BAR.fieldNames(), (
+            F.lit(batch).cast("decimal(2,0)") * F.lit(ARRIVAL_STEP)
+            + order.cast("decimal(19,0)")).cast("decimal(38,0)").alias("_arrival"))
     values = BAR.fieldNames()[2:]
     both = arrivals(history, 0).unionByName(arrivals(new, 1))
-    return both.groupBy("symbol", "time").agg(
-        F.max_by(F.struct(*values), "_arrival").alias("_bar")).select("symbol", "time", "_bar.*")
+    return both.groupBy("symbol", "time").agg(*[F.max_by(c, "_arrival").alias(c) for c in values])
 
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:

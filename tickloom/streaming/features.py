@@ -62,14 +62,12 @@ class FeatureStream:
             old = state.tail.join(touched, "symbol", "left_semi").join(starts, "symbol")
             frame = frame.unionByName(old)
         frame = materialise(frame, "stream-index")
-        continued = Series(frame, self.chunk_rows, False, series.tasks, series.chunks)
+        continued = Series(frame, self.chunk_rows, series.tasks)
         seed = state.known if state else None
         raw = run_plan(continued, self.plan, "_o", seed)
         scans = [F.col(s).alias(f"_scan_{s}") for s in self.scans]
         raw = raw.select(*raw.columns, *scans)
-        filled = materialise(fill(
-            raw, self.columns, self.chunk_rows, False, series.chunks, backward=False, seed=seed),
-            "stream-rows")
+        filled = materialise(fill(raw, self.columns, False, seed), "stream-rows")
         return filled.select(*I.BASE, *self.columns), self._after(frame, filled, state)
 
     def _after(self, frame: DataFrame, rows: DataFrame, state: State | None) -> State:

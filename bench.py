@@ -18,6 +18,7 @@ from tickloom.session import build_session  # noqa: E402
 HEADLINES = (
     "build_bars_hourly", "moving_averages", "rsi", "bollinger", "ichimoku", "price_cluster",
     "support_strength", "ema", "macd", "adx", "daily_ema", "daily_adx_macd", "feature_table",
+    "daily_feature_table", "build_bars_daily", "strategy_decisions",
     "rule_votes_wide", "rule_votes_long", "final_decision", "latest_decision", "decisions_as_of",
     "append_dedup_last", "extract_execution", "review_table", "exec_valid", "parse_log",
 )

@@ -48,6 +48,26 @@ def test_a_repeated_batch_changes_nothing(spark, make_bars, tmp_path):
     assert rows[0] == rows[1] and SF.load_state(spark, folder, before=3) is None
 
 
+def test_late_repeated_and_corrected_bars(spark, make_bars):
+    bars = make_bars({"A": closes(60), "B": closes(30)}).cache()
+    hour = "hour(time) + 24 * (dayofyear(time) - 1)"
+    features, names = SF.FeatureStream(["ema_10", "obv"]), ["symbol", "time", "ema_10", "obv"]
+    wrong = bars.filter(f"symbol = 'A' AND {hour} = 7").withColumn("close", F.lit(1.0))
+    first = bars.filter(f"{hour} < 20 AND NOT (symbol = 'A' AND {hour} IN (5, 7))").unionByName(wrong)
+    second = bars.filter(f"{hour} < 25 AND NOT (symbol = 'B' AND {hour} < 18)")
+    _, state = features.follow(first, None, None)
+    rows, state = features.follow(second, first.withColumn("arrival", F.lit(0)), state)
+    want = {tuple(r) for r in feature_table(bars, ["ema_10", "obv"], "as_of").select(*names).collect()}
+    got = {tuple(r) for r in rows.select(*names).collect()}
+    # A from the first changed bar on; B only what is new, its repeats are dropped.
+    expected = {r for r in want if (r[0] == "A" and 5 <= r[1].hour + 24 * (r[1].day - 1) < 25)
+                or (r[0] == "B" and 20 <= r[1].hour + 24 * (r[1].day - 1) < 25)}
+    assert {(s, t) for s, t, *_ in got} == {(s, t) for s, t, *_ in expected}
+    near = {(s, t): v for s, t, *v in expected}
+    assert all(abs(x - y) < 1e-8 for s, t, *v in got for x, y in zip(v, near[s, t]))
+    assert {r["symbol"]: r["_next"] for r in state.known.collect()} == {"A": 25, "B": 25}
+
+
 def test_closed_bars_equal_batch(spark, tmp_path):
     ticks = spark.range(400).select(
         F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("symbol"),

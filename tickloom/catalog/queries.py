@@ -718,7 +718,25 @@ STREAM_COLUMNS = ("rsi", "ema_50", "atr", "obv", "adx", "macd_histogram_slope",
                   "fib_382", "ichimoku_lagging", "liquidity_index")
 
 
-def _feature_stream(spark, sf_dir, columns, then=None) -> DataFrame:
+def _by_time(bars: DataFrame, run: Callable[[str], None]) -> None:
+    _feed(bars, "time", run)
+
+
+def _disordered(bars: DataFrame, run: Callable[[str], None]) -> None:
+    """Of the bars before the first cut some come with a wrong close and some not at all; the
+    second part corrects and adds them, and repeats the others. The rest follows in order."""
+    feed = _folder(bars.sparkSession, "feed")
+    first, second = [F.lit(cut).cast("timestamp_ntz") for cut in FEED_CUTS]
+    early = bars.filter(F.col("time") < first)
+    wrong = F.when(F.col("tick_volume") % 3 == 0, F.col("close") + 1).otherwise(F.col("close"))
+    for part in (early.filter(F.dayofmonth("time") != 3).withColumn("close", wrong),
+                 early.unionByName(bars.filter((F.col("time") >= first) & (F.col("time") < second))),
+                 bars.filter(~F.coalesce(F.col("time") < second, F.lit(False)))):
+        part.write.mode("append").parquet(feed)
+        run(feed)
+
+
+def _feature_stream(spark, sf_dir, columns, then=None, feed=_by_time) -> DataFrame:
     bars = event_bars(spark, sf_dir)
     out = _folder(spark, "stream-features")
     features = SF.FeatureStream(columns)
@@ -726,8 +744,8 @@ def _feature_stream(spark, sf_dir, columns, then=None) -> DataFrame:
     def run(feed: str) -> None:
         source = spark.readStream.schema(bars.schema).parquet(feed)
         SF.start(source, features, f"{out}/work", f"{out}/rows", then).awaitTermination()
-    _feed(bars, "time", run)
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    feed(bars, run)
+    return SF.latest_rows(spark.read.parquet(f"{out}/rows"))
 
 
 def stream_features(spark, sf_dir):
@@ -735,6 +753,12 @@ def stream_features(spark, sf_dir):
     return shown(rows.select("symbol", "time", *STREAM_COLUMNS))
 
 
+def stream_features_late(spark, sf_dir):
+    """The same rows although bars came late, twice or wrong at first."""
+    rows = _feature_stream(spark, sf_dir, STREAM_COLUMNS, feed=_disordered)
+    return shown(rows.select("symbol", "time", *STREAM_COLUMNS))
+
+
 def stream_decisions(spark, sf_dir):
     needed = P.needed_features(BUY, SELL, extra=SCORED_ON)
     return _feature_stream(spark, sf_dir, needed, lambda rows: P.answer_rows(
@@ -776,7 +800,7 @@ def queries() -> dict[str, Query]:
         extract_justification, extract_execution, extract_execution_strict, extract_json,
         split_decision, review_table, exec_valid, exec_quarantine, build_requests, log_records,
         parse_log, log_latest, stream_bars, stream_dedup, stream_keep_last, stream_features,
-        stream_decisions, stream_log,
+        stream_features_late, stream_decisions, stream_log,
     ):
         found[fn.__name__] = fn
     return found

@@ -365,7 +365,7 @@ FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
         where="WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
     sql["stream_dedup"] = _bars()
     sql["stream_keep_last"] = sql["append_dedup_last"]
-    sql["stream_features"] = _as_of(Q.STREAM_COLUMNS)
+    sql["stream_features"] = sql["stream_features_late"] = _as_of(Q.STREAM_COLUMNS)
     sql["stream_decisions"] = sql["service_action"]
     sql["stream_log"] = sql["parse_log"]
     sql["log_latest"] = "SELECT max(date_trunc('second', ts)) AS latest FROM events"

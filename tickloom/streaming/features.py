@@ -5,6 +5,10 @@ last known value of every column. A micro-batch is planned exactly like a batch
 starts after the state: the kept rows are its halo, the recursions and fills its carry. Each batch
 writes its state under its own id and starts from the newest earlier one, so a repeated batch
 gives the same result.
+
+A bar that has been seen already is dropped. A late or corrected bar changes every later row of
+its symbol: those symbols are planned anew from the stored bars, and their rows from the first
+changed bar on are written again. ``latest_rows`` reads the newest version of each.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import indicators as I
@@ -21,12 +26,15 @@ from tickloom.operators.blocks import CHUNK_ROWS, Series, index_rows
 from tickloom.operators.fill import fill
 from tickloom.operators.scan import safe_chunk_rows
 from tickloom.plans.features import FeaturePlan, plan_features, registry_for, run_plan
+from tickloom.schema import BAR
 from tickloom.session import materialise
+from tickloom.sources.bars import append_bars
 
 
 @dataclass(frozen=True)
 class State:
-    """``tail``: last rows with position ``_i``; ``known``: next position, scans, last values."""
+    """``tail``: last rows with position ``_i``; ``known``: next position, time of the last bar,
+    scans, last values."""
 
     tail: DataFrame
     known: DataFrame
@@ -70,10 +78,42 @@ class FeatureStream:
         filled = materialise(fill(raw, self.columns, False, seed), "stream-rows")
         return filled.select(*I.BASE, *self.columns), self._after(frame, filled, state)
 
+    def follow(
+        self, arrived: DataFrame, stored: DataFrame | None, state: State | None,
+    ) -> tuple[DataFrame, State]:
+        """Like ``advance``, for bars in any order; ``stored`` holds all earlier ones, with the
+        batch they came in as ``arrival``. Where a batch repeats a bar, one of its rows counts."""
+        arrived = materialise(append_bars(arrived.limit(0), arrived), "stream-bars")
+        if state is None or stored is None:
+            return self.advance(arrived, state)
+        seen = state.known.select("symbol", "_at")
+        late = F.coalesce(F.col("time") <= F.col("_at"), F.lit(False))
+        placed = arrived.join(seen, "symbol", "left").withColumn("_late", late).drop("_at")
+        fresh = placed.filter(~F.col("_late")).drop("_late")
+        behind = placed.filter("_late").drop("_late")
+        earlier = stored.join(behind.select("symbol").distinct(), "symbol", "left_semi")
+        earlier = materialise(append_bars(earlier.limit(0), earlier), "stream-earlier")
+        changed = materialise(behind.select(*BAR.fieldNames()).subtract(
+            earlier.select(*BAR.fieldNames())).groupBy("symbol").agg(F.min("time").alias("_from")),
+            "stream-changed")
+        if changed.isEmpty():
+            return self.advance(fresh, state)
+        rest, kept = self.advance(
+            fresh.join(changed, "symbol", "left_anti"),
+            State(state.tail.join(changed, "symbol", "left_anti"),
+                  state.known.join(changed, "symbol", "left_anti")))
+        again, redone = self.advance(append_bars(
+            earlier.join(changed, "symbol", "left_semi"),
+            arrived.join(changed, "symbol", "left_semi")), None)
+        again = again.join(changed, "symbol").filter(F.col("time") >= F.col("_from")).drop("_from")
+        return rest.unionByName(again), State(
+            kept.tail.unionByName(redone.tail.select(*kept.tail.columns)),
+            kept.known.unionByName(redone.known.select(*kept.known.columns)))
+
     def _after(self, frame: DataFrame, rows: DataFrame, state: State | None) -> State:
         values = [x for x in self.columns if x not in self.scans]
         last = rows.groupBy("symbol").agg(F.max_by(F.struct(
-            (F.col("_i") + 1).alias("_next"), *values,
+            (F.col("_i") + 1).alias("_next"), F.col("time").alias("_at"), *values,
             *[F.col(f"_scan_{s}").alias(s) for s in self.scans]), "_i").alias("_s"),
         ).select("symbol", "_s.*")
         ends = last.select("symbol", F.col("_next").alias("_end"))
@@ -108,24 +148,44 @@ def load_state(spark: SparkSession, folder: str, before: int) -> State | None:
 
 
 def save_state(state: State, folder: str, batch: int) -> None:
+    """Write the state of a batch and drop those that no repeated batch can ask for."""
     state.tail.write.mode("overwrite").parquet(f"{folder}/{batch}/tail")
     state.known.write.mode("overwrite").parquet(f"{folder}/{batch}/known")
+    spark = state.known.sparkSession
+    jvm, earlier = spark.sparkContext._jvm, sorted(v for v in _versions(spark, folder) if v < batch)
+    for version in earlier[:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """One row per ``(symbol, time)`` of a written result, from the newest ``batch``."""
+    newest = rows.groupBy("symbol", "time").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["symbol", "time", "batch"], "left_semi").drop("batch")
 
 
 def start(
     bars: DataFrame, features: FeatureStream, folder: str, out: str,
     then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Process the bars that have arrived; each batch lands in ``out/batch=<id>``.
+    """Process the bars that have arrived; each batch lands in ``out/batch=<id>``, which
+    ``latest_rows`` reads.
 
     ``then`` turns the features of a batch into what is written (scores, decisions). The query's
-    checkpoint lies in ``folder`` beside the states.
+    checkpoint lies in ``folder`` beside the states and the bars.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        rows, state = features.advance(batch, load_state(spark, f"{folder}/state", batch_id))
+        batch.select(*BAR.fieldNames()).write.mode("overwrite").parquet(
+            f"{folder}/bars/arrival={batch_id}")
+        arrived = spark.read.schema(BAR).parquet(f"{folder}/bars/arrival={batch_id}")
+        before = load_state(spark, f"{folder}/state", batch_id)
+        stored = None if before is None else spark.read.schema(
+            T.StructType([*BAR.fields, T.StructField("arrival", T.LongType())])).parquet(
+            f"{folder}/bars").filter(F.col("arrival") < batch_id)
+        rows, state = features.follow(arrived, stored, before)
         result = then(rows) if then else rows
         result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         save_state(state, f"{folder}/state", batch_id)

@@ -97,7 +97,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
     """Encodes every whole text, appends end_id, and writes the token files to `path`.
 
     Documents are ordered by id, nulls first, equal ids by a hash of the text. Null or empty
-    text: end_id alone. An empty table writes files without rows. Other columns are not read.
+    text: end_id alone. A special string of the vocabulary inside a text gets its own id, as the
+    library does it. An empty table writes files without rows. Other columns are not read.
     """
     key = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

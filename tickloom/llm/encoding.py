@@ -64,10 +64,12 @@ class ChunkedEncoder:
 
 
 def byte_level(path: str) -> ChunkedEncoder:
-    """A byte-level BPE file of the tokenizers library; its special strings are ordinary text.
+    """A byte-level BPE file of the tokenizers library.
 
     Chunks go to the library's model directly: the file's own split of a text into words and its
-    letters for bytes are applied here, which spares the library's bookkeeping of offsets.
+    letters for bytes are applied here, which spares the library's bookkeeping of offsets. Chunks
+    in which a string of the file's added tokens occurs go through the whole library, which gives
+    such a string its own id.
     """
     import json
 
@@ -82,6 +84,10 @@ def byte_level(path: str) -> ChunkedEncoder:
     if (split.get("type") != "ByteLevel" or split.get("add_prefix_space")
             or not split.get("use_regex", True) or spec.get("normalizer")):
         raise ValueError("only byte-level files without a normaliser or prefix space")
+    added = spec.get("added_tokens") or []
+    if any(a["lstrip"] or a["rstrip"] or any(map(str.isspace, a["content"])) for a in added):
+        raise ValueError("added tokens that hold or take white space are not supported")
+    special = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)")
     words = regex.compile(public_tokenizers.PATTERN)
     letters = byte_letters(pre_tokenizers)
     model = tokenizer.model
@@ -100,7 +106,12 @@ def byte_level(path: str) -> ChunkedEncoder:
         if len(known) > KNOWN // 4:
             known.clear()
         out = []
-        for parts in map(words.findall, chunks):
+        for chunk in chunks:
+            if special.search(chunk):
+                whole = tokenizer.encode(chunk, add_special_tokens=False).ids
+                out.append(array("I", whole).tobytes())
+                continue
+            parts = words.findall(chunk)
             if len(parts) == 1:
                 out.append(known.get(parts[0]) or ids(parts[0]))
                 continue

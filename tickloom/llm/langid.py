@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import local, pieces, text_bytes, text_offsets, text_or_empty
 
 UNKNOWN = "und"
-BUCKETS, PER_LANGUAGE, CHARS = 2048, 400, 1 << 21
+BUCKETS, PER_LANGUAGE = 2048, 400
 #: Families of ISO 639-1 codes; a language without one is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -82,32 +82,46 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 20) -> np
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE,
         id_col: str = "doc_id") -> Model:
     """Learns from the rows of docs where `learn` holds and lang is not null, at most
-    `per_language` texts a language, those with the least hash of text and id; a text of over
-    2^21 characters is learnt by its hash order like any other but cut there on the driver.
+    `per_language` texts a language, those with the least hash of text and id; repeated rows count
+    once. Tasks turn whole texts into features, so the driver gets `per_language` vectors a
+    language and no text, however long.
     """
     rank = F.xxhash64(F.col("text"), F.col(id_col))
     wanted = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()
                          & F.col("text").rlike(r"\p{L}"))
     keyed = wanted.select("lang", rank.alias("rank"))
     # one bounded list a language, kept small in every task by the threshold of its count
-    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(
+        F.approx_count_distinct("rank", 0.02).alias("n")).collect()}
     if not n:
         return Model()
     spark = docs.sparkSession
     limits = local(
         spark, [(lang, min((1 << 64) - 1, (1 << 64) * per_language * 13 // (10 * count)) - (1 << 63))
          for lang, count in n.items()], pa.schema([("learnt", pa.string()), ("most", pa.int64())]))
-    rows = (wanted.select("lang", F.substring("text", 1, CHARS).alias("text"), rank.alias("rank"))
+    rows = (wanted.select("lang", "text", rank.alias("rank"))
             .join(limits, F.col("lang") == F.col("learnt")).filter("rank <= most")
-            .select("lang", "text", "rank").collect())
-    rows = sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"]))
+            .select("lang", "rank", "text").mapInArrow(vectors, "lang string, rank long, x binary")
+            .dropDuplicates(["lang", "rank"]).collect())
+    rows = sorted(rows, key=lambda r: (r["lang"], r["rank"]))
     rows = [r for _, g in itertools.groupby(rows, key=lambda r: r["lang"])
             for r in itertools.islice(g, per_language)]
-    raw = [r["text"].encode() for r in rows]
-    x = np.concatenate([features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in raw])
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     return learnt(x, [r["lang"] for r in rows])
 
 
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, rank and the features of each whole text."""
+    for batch in batches:
+        for low, high in pieces(batch, "text", 1 << 20):
+            some = batch.slice(low, high - low)
+            offsets = text_offsets(batch, "text")[low:high + 1]
+            x = features(text_bytes(batch, "text", low, high), offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays(
+                [some.column("lang"), some.column("rank"),
+                 pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "rank", "x"])
+
+
 def learnt(x: np.ndarray, labels: list[str]) -> Model:
     languages = sorted(set(labels))
     y = np.array([languages.index(label) for label in labels])

@@ -249,6 +249,46 @@ def test_byte_level_chunks_equal_the_whole_text():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_a_text_get_their_ids():
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import encoding
+
+    tokenizer, encoder = Tokenizer.from_file(BPE), encoding.byte_level(BPE)
+    special = tokenizer.get_added_tokens_decoder()
+    assert special
+    for name in (t.content for t in special.values()):
+        found = [name, f"a {name} b", f"a{name}b c", f" {name}{name}\n", f"{name}  x", f"x {name[:-1]}"]
+        for text, ids in zip(found, encoder(found)):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    more = docs.select("doc_id", "text", "lang", "source", *[
+        queries.F.lit("mine").alias(n) for n in ("mix_size", "mix_key", "mix_copies", "ix", "row", "of",
+                                                 "raw", "best", "url", "html", "root", "fp", "key")])
+    for out in (mixing.mix(more), simhash.deduplicated(more),
+                url_rules.match(more, queries.RULES).drop("host", "path", "rule", "verdict"),
+                repeats.remove_repeats(more).withColumn("text", queries.F.lit(""))):
+        kept = [n for n in more.columns if n not in ("doc_id", "text", "lang", "source")]
+        assert out.count() and {tuple(r) for r in out.select(*kept).collect()} == {
+            ("mine",) * len(kept)}
+    assert html_blocks.extract(more).filter("raw = 'mine' and of = 'mine'").count() == more.count()
+
+
+def test_language_learns_whole_texts_and_repeats_once(spark, monkeypatch):
+    filler = "0 " * 1_200_000          # longer than 2^21 characters, without a letter
+    rows = [(1, filler + "der die und mit haus " * 9, "de"), (2, filler + "the of and to house " * 9, "en")]
+    rows += [(3, "the of and to house", "en")] * 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "learnt", lambda x, labels: (x, labels))
+    x, labels = langid.fit(frame, queries.F.lit(True), per_language=2)
+    assert labels == ["de", "en", "en"]
+    want = [langid.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tobytes()
+            for t in (r[1] for r in rows[:3])]
+    assert sorted(v.tobytes() for v in x) == sorted(want)
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocabulary = {"en": "the of and to with house tree", "de": "der die und mit haus baum nicht",

@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tickloom.llm.common import pieces, text_or_empty
 
@@ -210,5 +209,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     schema = T.StructType([*others, T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
-    return pages.select(*names, F.col(html_col).alias("raw")).select(
-        *names, text_or_empty("raw").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*names, text_or_empty(html_col).alias("__html")).mapInArrow(run, schema)

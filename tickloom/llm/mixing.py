@@ -175,11 +175,12 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0,
 
     docs needs doc_id, text and source. Null text: no words; such a document has rate 1 and stays
     once. Null source: a source of its own, last in order. Repeated rows share one hash, so they
-    get the same copies. A table without words stays as it is. Other columns pass through; names
-    that begin with mix_ are the operator's own and must not be in docs.
+    get the same copies. A table without words stays as it is. Other columns pass through,
+    whatever their names.
     """
-    slim = written(measured(docs).select("source", "mix_size", "mix_key"), "mix-sizes")
+    ours = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    slim = written(measured(ours).select("source", "mix_size", "mix_key"), "mix-sizes")
     plan = balance(slim, share, cap, weights)
-    taken = mixed(measured(docs), plan, cap)
+    taken = mixed(measured(ours), plan, cap)
     again = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return (taken.filter("mix_copies > 0").withColumn("mix_copy", again).select(*docs.columns))
+    return taken.filter("mix_copies > 0").select("row", again).select("row.*")

@@ -72,13 +72,13 @@ def match(urls: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Dat
     hits = asked.join(known, F.col("prefix") == F.col("head")).filter("full = digest")
     order = F.struct((F.col("n_path") + F.length("host")).alias("both"), F.length("host").alias("h"),
                      (F.col("verdict") == "block").alias("b"), F.col("rule"))
-    best = hits.groupBy(F.col("url").alias("of")).agg(
-        F.max_by(F.struct("rule", "verdict"), order).alias("best"))
+    best = hits.groupBy(F.col("url").alias("__of")).agg(
+        F.max_by(F.struct("rule", "verdict"), order).alias("__best"))
     kept = urls.drop("host", "path", "rule", "verdict")
-    return (kept.join(best, F.col("url") == F.col("of"), "left")
+    return (kept.join(best, F.col("url") == F.col("__of"), "left")
             .select(*kept.columns, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
-                    F.col("best.rule").alias("rule"),
-                    F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")))
+                    F.col("__best.rule").alias("rule"),
+                    F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict")))
 
 
 def _head(digest: Column) -> Column:

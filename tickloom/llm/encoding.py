@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 KNOWN, LONGEST = 1_000_000, 48          # chunks remembered, and the longest of them
+FAR_LETTER = "\u0250"      # letters before it are letters to every version of Unicode
 #: White space that is rare in texts; where one occurs, cuts are looked for with care.
 RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f"
                         r"\u205f\u3000]")
@@ -63,7 +64,49 @@ class ChunkedEncoder:
         return out
 
 
-def byte_level(path: str) -> ChunkedEncoder:
+class Known(dict):
+    """Texts and their ids. A missing one is encoded when it is asked for and remembered if it is
+    short; a full memory starts anew."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = KNOWN) -> None:
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encode(text)
+        if len(text) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
+class SingleEncoder(ChunkedEncoder):
+    """Like ChunkedEncoder, for an encoder of one chunk that gains nothing from many at once.
+    Chunks in which `special` occurs go to `library` instead, and are not remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], special: re.Pattern,
+                 library: Callable[[str], bytes]) -> None:
+        super().__init__(lambda chunks: list(map(encode, chunks)))
+        self.one, self.special, self.library = encode, special, library
+        self.known = Known(lambda part: encode(self.joint + part))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            head, *rest = self.parts(text)
+            if self.special.search(text):
+                ids = [self.checked(head), *[self.checked(self.joint + part) for part in rest]]
+            else:
+                ids = [self.one(head), *map(self.known.__getitem__, rest)]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        return out
+
+    def checked(self, chunk: str) -> bytes:
+        return self.library(chunk) if self.special.search(chunk) else self.one(chunk)
+
+
+def byte_level(path: str) -> SingleEncoder:
     """A byte-level BPE file of the tokenizers library.
 
     Chunks go to the library's model directly: the file's own split of a text into words and its
@@ -90,38 +133,28 @@ def byte_level(path: str) -> ChunkedEncoder:
     special = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)")
     words = regex.compile(public_tokenizers.PATTERN)
     letters = byte_letters(pre_tokenizers)
-    model = tokenizer.model
-
-    known: dict[str, bytes] = {}
+    space, tokenize = letters[32], tokenizer.model.tokenize
 
     def ids(word: str) -> bytes:
         if word.isascii() and word.isprintable():       # these stand for themselves but the space
-            text = word.replace(" ", letters[32])
+            text = word.replace(" ", space)
         else:
             text = word.encode().decode("latin-1").translate(letters)
-        return array("I", [token.id for token in model.tokenize(text)]).tobytes()
+        return array("I", [token.id for token in tokenize(text)]).tobytes()
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        """Words beside punctuation are remembered too: they come with many kinds of it."""
-        if len(known) > KNOWN // 4:
-            known.clear()
-        out = []
-        for chunk in chunks:
-            if special.search(chunk):
-                whole = tokenizer.encode(chunk, add_special_tokens=False).ids
-                out.append(array("I", whole).tobytes())
-                continue
-            parts = words.findall(chunk)
-            if len(parts) == 1:
-                out.append(known.get(parts[0]) or ids(parts[0]))
-                continue
-            for word in parts:
-                if word not in known:
-                    known[word] = ids(word)
-            out.append(b"".join([known[word] for word in parts]))
-        return out
+    # words beside punctuation are remembered too: they come with many kinds of it
+    known = Known(ids, KNOWN // 4)
+
+    def encode(chunk: str) -> bytes:
+        if chunk[1:].isalpha() and chunk[0] == " " and max(chunk) < FAR_LETTER:
+            return ids(chunk)                           # the split knows this as one word
+        parts = words.findall(chunk)
+        return ids(chunk) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+
+    def library(chunk: str) -> bytes:
+        return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return ChunkedEncoder(encode)
+    return SingleEncoder(encode, special, library)
 
 
 def byte_letters(pre_tokenizers) -> dict[int, str]:

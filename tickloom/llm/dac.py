@@ -167,7 +167,7 @@ def document_tokens(tokens: DataFrame, digests_only: bool = False) -> DataFrame:
                 get = lambda name: batch.column(name)[row].as_py()
                 code, lengths, start = Code(get("code")), get("lengths"), get("first")
                 ends = np.cumsum(lengths)
-                ids = [code.slice(int(e) - n, int(e)).astype("<u4") for e, n in zip(ends, lengths)]
+                ids = np.split(code.slice(0, len(code)).astype("<u4"), ends[:-1])
                 out = {"doc_id": get("doc_ids"), "start": (start + ends - lengths).tolist(),
                        "n_tokens": lengths, "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids]}
                 if not digests_only:

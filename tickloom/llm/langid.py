@@ -182,10 +182,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
     new = ("lang_pred", "score") if keep_text else ("lang_pred", "score", text_col)
     others = [f for f in docs.schema if f.name not in new]
     names = [f.name for f in others]
-    shared = docs.sparkSession.sparkContext.broadcast(model)    # machines x buckets: bounded
+    # machines x buckets: bounded; plain values, so that workers need no class to read them
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.families, model.pairs, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             for low, high in pieces(batch, "__text", 1 << 20):
                 some = batch.slice(low, high - low)

@@ -55,6 +55,11 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, name)
 
 
+def forget() -> None:
+    """Frees what earlier stages left in this worker by kept(): memories of stages don't add up."""
+    sys.modules.pop("_tickloom_kept", None)
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A small table of the driver's, whose size the planner knows."""
     columns = list(zip(*rows)) or [()] * len(schema)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import local, pieces, text_bytes, text_offsets, text_or_empty
+from tickloom.llm.common import forget, local, pieces, text_bytes, text_offsets, text_or_empty
 
 UNKNOWN = "und"
 BUCKETS, PER_LANGUAGE = 2048, 400
@@ -187,6 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
         (model.languages, model.families, model.pairs, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = Model(*shared.value)
         for batch in batches:
             for low, high in pieces(batch, "__text", 1 << 20):

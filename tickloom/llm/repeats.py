@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import byte_hash
-from tickloom.llm.common import pieces, text_bytes, text_offsets, written
+from tickloom.llm.common import forget, pieces, text_bytes, text_offsets, written
 
 THRESHOLD, GRAM, CELL = 100, 24, 8
-PIECE = 1 << 21            # bytes scanned at once; positions in it fit the anchors' low bits
+PIECE = 1 << 20            # bytes scanned at once; positions in it fit the anchors' low bits
 LOW = 22
 HELD, HOT = 1 << 20, 512   # runs decided together in a task; different runs of one digit there
 START = 39                 # bits of a start; above them 24 bits of the text's hash
@@ -82,8 +82,10 @@ def merged(doc: np.ndarray, at: np.ndarray, n: np.ndarray,
 
 
 def decided_here(parts: list[list[np.ndarray]], threshold: int) -> Iterator[pa.RecordBatch]:
-    """The rows that a task sends on for its runs: repeats of its own, merged, and candidates."""
+    """The rows that a task sends on for its runs: repeats of its own, merged, and candidates.
+    Empties `parts`."""
     key, content, doc, at, o, n = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
     pair = byte_hash.mixed(key * np.uint64(byte_hash.ODD) ^ content)
     order = np.lexsort((at, doc, pair))
     first = np.ones(len(order), bool)
@@ -154,6 +156,7 @@ def _pass(rows: DataFrame, name: str) -> DataFrame:
 def _windows(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     """Digit one: the runs of every text by their anchors."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         up, down = byte_hash.tables(2 * PIECE)
         held, count = [], 0
         for batch in batches:
@@ -235,6 +238,7 @@ def _cells(spans: DataFrame, threshold: int, cell: int, name: str) -> DataFrame:
     """A pass over cells of `cell` windows, on a grid laid from the anchor, of runs with bytes.
     With cell 1 key and content are two hashes of the window."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, count = [], 0
         for batch in batches:
             for low, high in pieces(batch, "bytes", PIECE):

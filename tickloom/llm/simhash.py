@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import pieces, text_or_empty, written
+from tickloom.llm.common import forget, pieces, text_or_empty, written
 from tickloom.llm.components import components
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 3, 42
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                  text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and fp (the 64 bits as a long) of every row; no words: zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for low, high in pieces(batch, "text", 1 << 22):
                 some = batch.slice(low, high - low)

@@ -335,6 +335,20 @@ def test_main_text(spark):
     assert html_blocks.extract(frame.limit(0)).count() == 0
 
 
+STORY = "The cat and the dog of the house have been in the garden with all of the birds. " * 3
+
+
+def test_main_text_outside_teaser_articles():
+    teasers = "".join(f"<article class=card><h3>News {i}</h3><p>Read it now</p></article>"
+                      for i in range(4))
+    for page in (f"<div><h1>Title</h1><p>{STORY}</p></div>{teasers}",
+                 f"{teasers}<div><h1>Title</h1><p>{STORY}</p></div>"):
+        assert html_blocks.main_text(page) == "Title\n" + STORY.strip()
+    both = f"<div><p>{STORY}</p></div><article><p>Short.</p><p>{STORY}</p></article>"
+    assert html_blocks.main_text(both) == "\n".join([STORY.strip(), "Short.", STORY.strip()])
+    assert html_blocks.main_text("<p>x y</p><article><p>A short one.</p></article>") == "A short one."
+
+
 def test_quality(spark, docs, texts):
     def brute(text):
         w = words(text)

@@ -3,10 +3,11 @@
 A page is read as a stream of tags. Regions that are never article text (menus, headers, footers,
 sidebars, forms, scripts, styles, and elements whose class, id or role names an advert, a notice,
 comments and the like) are left out. The rest falls into blocks at block-level tags. Pass one
-labels a block by its share of link text, its length and its share of stop words: good, bad, or
-undecided if it is short or, inside an article, if nothing speaks against it. Pass two gives each
-undecided block the label of the nearest decided block of its own region; a region without any
-decided block is good inside an article, bad elsewhere.
+labels a block by its share of link text, its length and its share of stop words, wherever it
+stands: good, bad, or undecided if it is short or, inside an article, if nothing speaks against it.
+Pass two gives each undecided block the label of the nearest decided block of its own region. A
+region without any decided block is bad outside articles; inside one it is good, unless the page's
+good text outside of articles is longer than all text in them: then these are teasers.
 """
 
 from __future__ import annotations
@@ -139,12 +140,10 @@ def _named(rest: str) -> bool:
     return False
 
 
-def first_pass(block: Block, has_article: bool) -> int:
+def first_pass(block: Block) -> int:
     size = len(block.text)
     if block.linked > MANY_LINKS * size:
         return BAD
-    if has_article and not block.article:
-        return BAD
     if size < SHORT:
         return UNDECIDED
     words = LETTERS.findall(block.text.lower())
@@ -157,6 +156,8 @@ def first_pass(block: Block, has_article: bool) -> int:
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the label of the nearest decided one of their region; between two as
     near, good wins."""
+    story = sum(len(b.text) for b in found if b.label == GOOD and not b.article)
+    teasers = story > sum(len(b.text) for b in found if b.label != BAD and b.article)
     start = 0
     while start < len(found):
         end = start
@@ -171,16 +172,16 @@ def second_pass(found: list[Block]) -> None:
             while at < len(decided) and decided[at][0] < i:
                 at += 1
             near = [(abs(j - i), -label) for j, label in decided[max(at - 1, 0):at + 1]]
-            block.label = -min(near)[1] if near else GOOD if block.article else BAD
+            block.label = (-min(near)[1] if near else
+                           GOOD if block.article and not teasers else BAD)
         start = end
 
 
 def main_text(page: str) -> str:
     """The good blocks, joined by line feeds."""
     found = blocks(page)
-    has_article = any(b.article for b in found)
     for block in found:
-        block.label = first_pass(block, has_article)
+        block.label = first_pass(block)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label > 0)
 

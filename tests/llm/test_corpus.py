@@ -349,6 +349,21 @@ def test_main_text_outside_teaser_articles():
     assert html_blocks.main_text("<p>x y</p><article><p>A short one.</p></article>") == "A short one."
 
 
+@pytest.mark.parametrize("story", [
+    "Старый дом стоял у самой реки, и каждое утро дети бегали к воде смотреть на лодки. ",
+    "Stary dom stał nad samą rzeką i każdego ranka dzieci biegały do wody oglądać łodzie. ",
+    "Eski ev nehrin hemen kıyısında dururdu ve çocuklar her sabah kayıkları görmeye koşardı. ",
+    "古い家は川のすぐそばに建っていて、子どもたちは毎朝、舟を見るために水辺まで走って行きました。"])
+@pytest.mark.parametrize("times", [1, 4])
+def test_main_text_in_unlisted_languages(story, times):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>{story}</a></li>" for i in range(3)) + "</ul>"
+    long = (story * times).strip()
+    page = f"<title>x</title>{links}<div><h1>A B</h1><p>{long}</p><p>{long}</p></div>{links}"
+    assert html_blocks.main_text(page) == "\n".join(["A B", long, long])
+    for page in (f"<p>{STORY}</p><p>{long * 4}</p>", f"<p>{long * 4}</p><p>{STORY}</p>"):
+        assert long * 4 in html_blocks.main_text(page)      # below or above a note in English
+
+
 def test_quality(spark, docs, texts):
     def brute(text):
         w = words(text)

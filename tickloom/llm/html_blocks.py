@@ -5,6 +5,7 @@ sidebars, forms, scripts, styles, and elements whose class, id or role names an
 comments and the like) are left out. The rest falls into blocks at block-level tags. Pass one
 labels a block by its share of link text, its length and its share of stop words, wherever it
 stands: good, bad, or undecided if it is short or, inside an article, if nothing speaks against it.
+There are lists of stop words for four languages; where none fits, length and links alone decide.
 Pass two gives each undecided block the label of the nearest decided block of its own region. A
 region without any decided block is bad outside articles; inside one it is good, unless the page's
 good text outside of articles is longer than all text in them: then these are teasers.
@@ -44,18 +45,29 @@ NAMES = frozenset("""ad ads adv advert advertisement advertising banner breadcru
     promo promoted promotion recommend recommended related replies reply respond search share sharing
     sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets
     """.split())
-#: Frequent function words: fixed lists of plain words.
-STOP_WORDS = frozenset("""
+#: Frequent function words: fixed lists of plain words, one a language.
+LISTS = tuple(frozenset(words.split()) for words in ("""
     the of and to in is that for it as was with be by on not he this are or his from at which but have
     an had they you were their one all we can her has there been if more when will would who so no
+    """, """
     der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden
     aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur
+    in was
+    """, """
     le la les de des du et un une est en que qui dans pour pas au sur ne se ce il par plus avec son
     aux sont mais ou cette
+    """, """
     el los las del y una por con no para su al lo como más pero sus este ha si sobre entre cuando sin
-    """.split())
+    de la que en un se le es
+    """))
+STOP_WORDS = frozenset().union(*LISTS)
 LETTERS = re.compile(r"[^\W\d_]+")
-SHORT, MANY_LINKS, STOPS_LOW, STOPS_HIGH = 70, 0.4, 0.1, 0.25
+#: Signs that hold as much as two letters or more.
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+LATIN_END = "\u024f"
+SHORT, FEW_LINKS, MANY_LINKS, STOPS_LOW, STOPS_HIGH = 70, 0.2, 0.4, 0.1, 0.25
+#: The share of words of one list from which on that list fits a page.
+FITS = 0.15
 GOOD, BAD, UNDECIDED = 1, -1, 0
 
 
@@ -140,16 +152,39 @@ def _named(rest: str) -> bool:
     return False
 
 
-def first_pass(block: Block) -> int:
-    size = len(block.text)
+def listed(found: list[Block]) -> bool:
+    """Whether one of the lists fits the page's words in Latin letters outside of links, and blocks
+    with hardly a word of any list are not the longer part of them."""
+    all_words: list[str] = []
+    known = strange = 0
+    for block in found:
+        if block.linked <= MANY_LINKS * len(block.text):
+            words = [w for w in LETTERS.findall(block.text.lower()) if w <= LATIN_END]
+            all_words += words
+            if sum(w in STOP_WORDS for w in words) < STOPS_LOW * len(words):
+                strange += len("".join(words))
+            else:
+                known += len("".join(words))
+    return strange <= known and any(
+        sum(w in stops for w in all_words) > FITS * len(all_words) for stops in LISTS)
+
+
+def first_pass(block: Block, fits: bool, long: int = 2 * SHORT) -> int:
+    """The label; where no list can speak of a block (none fits the page, or its words are not in
+    Latin letters), it is good if it is long and has few links."""
+    size = room = len(block.text)
     if block.linked > MANY_LINKS * size:
         return BAD
-    if size < SHORT:
+    if not block.text.isascii():
+        room += len(WIDE.findall(block.text))
+    if room < SHORT:
         return UNDECIDED
     words = LETTERS.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and size >= 2 * SHORT:
         return GOOD
+    if words and (not fits or 2 * sum(w > LATIN_END for w in words) > len(words)):
+        return GOOD if room >= long and block.linked <= FEW_LINKS * size else UNDECIDED
     return UNDECIDED if block.article or stops >= STOPS_LOW else BAD
 
 
@@ -180,8 +215,12 @@ def second_pass(found: list[Block]) -> None:
 def main_text(page: str) -> str:
     """The good blocks, joined by line feeds."""
     found = blocks(page)
-    for block in found:
-        block.label = first_pass(block)
+    fits = listed(found)
+    for long in (2 * SHORT, SHORT):     # where all paragraphs are short, the longer of them count
+        for block in found:
+            block.label = first_pass(block, fits, long)
+        if any(b.label == GOOD for b in found):
+            break
     second_pass(found)
     return "\n".join(b.text for b in found if b.label > 0)
 

@@ -364,6 +364,31 @@ def test_main_text_in_unlisted_languages(story, times):
         assert long * 4 in html_blocks.main_text(page)      # below or above a note in English
 
 
+def test_main_text_in_marked_regions():
+    side = "<div class=sidebar><p>Buy the best of it and be the one of the year.</p></div>"
+    story = f"<h1>Title</h1><p>{STORY}</p><p>Short.</p>"
+    want = f"Title\n{STORY.strip()}\nShort."
+    for page in (f"<div class='site has-sidebar'>{side}<div>{story}</div></div>",
+                 f"<article class='post tags-x'>{story}</article>{side}",
+                 f"<form id=f><div>{side}{story}</div></form>",
+                 f"<head><title>t</title><meta charset=x><body>{story}{side}",
+                 f"<head><title>t</title><p hidden></p>{story}{side}",
+                 f"<p><svg width=1 /></p>{story}<svg><text>x</text></svg>{side}",
+                 f"<svg><path d=x>{story}{side}",
+                 f"<nav><ul><li><a href=x>Home</a></ul><div>{story}</div>"):
+        assert html_blocks.main_text(page) == want, page
+    for name in ("social", "legal", "related"):
+        page = f"<div class={name}><p>{STORY * 2}</p></div>"
+        assert html_blocks.main_text(page) == (STORY * 2).strip()
+        both = html_blocks.main_text(f"<p>{STORY * 3}</p>{page}")
+        assert both == (STORY * 3).strip() + "\n" + (STORY * 2).strip()
+    for name in ("comments", "cookie-notice", "ad"):     # shorter than the story
+        page = f"<div><p>{STORY * 3}</p></div><div class={name}><p>{STORY}</p></div>"
+        assert html_blocks.main_text(page) == (STORY * 3).strip()
+    drawing = f"<svg><foreignObject><p>{STORY}</p></foreignObject></svg><svg/><svg-icon></svg-icon>"
+    assert html_blocks.main_text(drawing + story) == want
+
+
 def test_quality(spark, docs, texts):
     def brute(text):
         w = words(text)

@@ -1,14 +1,18 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is read as a stream of tags. Regions that are never article text (menus, headers, footers,
-sidebars, forms, scripts, styles, and elements whose class, id or role names an advert, a notice,
-comments and the like) are left out. The rest falls into blocks at block-level tags. Pass one
-labels a block by its share of link text, its length and its share of stop words, wherever it
-stands: good, bad, or undecided if it is short or, inside an article, if nothing speaks against it.
-There are lists of stop words for four languages; where none fits, length and links alone decide.
-Pass two gives each undecided block the label of the nearest decided block of its own region. A
-region without any decided block is bad outside articles; inside one it is good, unless the page's
-good text outside of articles is longer than all text in them: then these are teasers.
+A page is read as a stream of tags. Scripts, styles and the like are left out. The rest falls into
+blocks at block-level tags. Pass one labels a block by its share of link text, its length and its
+share of stop words, wherever it stands: good, bad, or undecided if it is short or, inside an
+article, if nothing speaks against it. There are lists of stop words for four languages; where none
+fits, length and links alone decide. Pass two gives each undecided block the label of the nearest
+decided block of its own region. A region without any decided block is bad outside articles; inside
+one it is good, unless the page's good text outside of articles is longer than all text in them:
+then these are teasers.
+
+Menus, headers, footers, sidebars, forms and elements whose class, id or role names an advert, a
+notice, comments and the like are marked. What stands in them counts only if most of it, links
+aside, is good blocks, and these are longer than the text kept elsewhere (a page wrapped in a form,
+a menu never closed), or long at all where the mark is one that stories bear too.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from tickloom.llm.common import pieces, text_or_empty
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>])*+)>",
     re.S | re.I)
@@ -35,16 +39,20 @@ SPACE = re.compile(r"\s+")
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu
     nav ol option p pre section select summary table tbody td tfoot th thead tr ul""".split())
-LEFT_OUT = frozenset("nav header footer aside form head button select dialog menu".split())
+MARKED = frozenset("nav header footer aside form button select dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
-#: Parts of class, id and role values that name a region without article text.
+#: Parts of class, id and role values that name a region seldom with article text.
 NAMES = frozenset("""ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment
     comments consent contentinfo cookie cookies dialog disqus footer gdpr header legal masthead menu
     modal nav navbar navigation navigator newsletter notice notices overlay pagination paywall popup
     promo promoted promotion recommend recommended related replies reply respond search share sharing
     sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets
     """.split())
+#: Those that stories bear too, as topics or for their layout.
+WEAK = frozenset("header legal notice notices paywall related search social tags".split())
+#: Begin the names of a region's state (has-sidebar), which say nothing of its text.
+STATES = re.compile(r"(?:has|is|no|not|with|without)[-_]")
 #: Frequent function words: fixed lists of plain words, one a language.
 LISTS = tuple(frozenset(words.split()) for words in ("""
     the of and to in is that for it as was with be by on not he this are or his from at which but have
@@ -65,6 +73,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Signs that hold as much as two letters or more.
 WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 LATIN_END = "\u024f"
+PROSE = 280         # characters of good blocks that free a region from a weak mark
 SHORT, FEW_LINKS, MANY_LINKS, STOPS_LOW, STOPS_HIGH = 70, 0.2, 0.4, 0.1, 0.25
 #: The share of words of one list from which on that list fits a page.
 FITS = 0.15
@@ -77,48 +86,66 @@ class Block:
     linked: int         # characters inside links
     region: int         # blocks of one region inherit from each other
     article: bool
+    mark: int           # the innermost mark it stands in, -1 for none
     label: int = UNDECIDED
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page, in order, without the regions that are left out."""
+@dataclass
+class Mark:
+    tag: str
+    parent: int         # the mark around it, -1 for none
+    weak: bool
+    depth: int = 1
+
+
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The blocks of a page, in order, and the marks they stand in."""
     found: list[Block] = []
+    marks: list[Mark] = []
+    around: list[int] = []                  # the open marks
+    by_tag: dict[str, list[int]] = {}       # the same by their tags
     text: list[str] = []
-    linked = region = skip_depth = article_depth = 0
+    linked = region = article_depth = svg_depth = foreign = 0
     link = False
-    skip_tag = ""
 
     def flush() -> None:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            found.append(Block(joined, linked, region, article_depth > 0))
+            found.append(Block(joined, linked, region, article_depth > 0,
+                               around[-1] if around else -1))
         text.clear()
         linked = 0
 
+    def end_mark() -> None:
+        nonlocal region
+        flush()
+        by_tag[marks[around.pop()].tag].pop()
+        region += 1
+
     at = 0
     for match in TOKEN.finditer(page):
-        if match.start() > at and not skip_tag:
+        if match.start() > at and not svg_depth:
             piece = page[at:match.start()]
             text.append(piece)
             linked += len(piece.strip()) if link else 0
         at = match.end()
         tag = match["tag"]
         if tag is None:
-            if match["data"] is not None and not skip_tag:
+            if match["data"] is not None and not svg_depth:
                 text.append(html.escape(match["data"]))
             continue
         tag, closing = tag.lower(), bool(match["close"])
-        if skip_tag:
-            if tag in ARTICLE and not closing and skip_tag not in ARTICLE and not _named(match["rest"]):
-                skip_tag = ""           # an unclosed menu or advert ends where the article begins
-            else:
-                if tag == skip_tag and not match["rest"].rstrip().endswith("/"):
-                    skip_depth += -1 if closing else 1
-                    if skip_depth == 0:
-                        skip_tag = ""
-                        region += 1
-                continue
+        closed = match["rest"].rstrip().endswith("/")
+        if svg_depth and tag in BLOCK and not closing and not foreign:
+            svg_depth = 0                   # a drawing never closed ends where text goes on
+        if tag == "svg" or svg_depth:
+            if tag == "svg" and not closed:
+                svg_depth = max(svg_depth + (-1 if closing else 1), 0)
+                foreign = foreign if svg_depth else 0
+            elif tag == "foreignobject" and not closed:
+                foreign = max(foreign + (-1 if closing else 1), 0)
+            continue
         if tag == "a":
             link = not closing
         elif tag == "br":
@@ -126,30 +153,86 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             link = False
+            if not closing and by_tag.get("p"):
+                while by_tag["p"]:          # a paragraph ends where a block begins
+                    end_mark()
+        same = by_tag.get(tag)
         if closing:
+            if same:
+                marks[same[-1]].depth -= 1
+                if marks[same[-1]].depth == 0:
+                    last = same[-1]
+                    while around and around[-1] >= last:
+                        end_mark()
             if tag in ARTICLE and article_depth:
+                flush()
                 article_depth -= 1
                 region += 1
         elif tag not in VOID:
-            if tag in LEFT_OUT and not (tag == "header" and article_depth) or (
-                    tag not in ("html", "body", "main") and _named(match["rest"])):
+            mark = _mark(tag, match["rest"], article_depth > 0)
+            if tag in ARTICLE and mark is None:
+                while around and marks[around[-1]].tag not in ARTICLE:
+                    end_mark()              # a menu or advert ends where the article begins
+            if mark is not None and not closed:
                 flush()
-                skip_tag, skip_depth, link = tag, 1, False
-            elif tag in ARTICLE:
+                marks.append(Mark(tag, around[-1] if around else -1, mark))
+                around.append(len(marks) - 1)
+                by_tag.setdefault(tag, []).append(len(marks) - 1)
+                region += 1
+            elif same and not closed:
+                marks[same[-1]].depth += 1
+            if tag in ARTICLE:
                 article_depth += 1
                 region += 1
-    if at < len(page) and not skip_tag:
+    if at < len(page) and not svg_depth:
         text.append(page[at:])
     flush()
-    return found
+    return found, marks
 
 
-def _named(rest: str) -> bool:
-    for match in ATTRIBUTE.finditer(rest):
-        value = (match[1] or match[2] or match[3] or "").lower()
-        if not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+def _mark(tag: str, rest: str, in_article: bool) -> bool | None:
+    """Whether an element's mark is a weak one; None without a mark."""
+    if tag in MARKED and tag != "form" and not (tag == "header" and in_article):
+        return False
+    names: set[str] = set()
+    if tag not in ("html", "body", "main"):
+        for match in ATTRIBUTE.finditer(rest):
+            for value in (match[1] or match[2] or match[3] or "").lower().split():
+                if not STATES.match(value):
+                    names.update(re.split(r"[^a-z]+", value))
+        names &= NAMES
+    return names <= WEAK if names or tag == "form" else None
+
+
+def free(found: list[Block], marks: list[Mark], kept: int) -> list[bool]:
+    """Per mark whether the blocks in it count as those outside. kept: characters of the text that
+    stands outside of all marks."""
+    fits = listed(found)
+    own, plain = [0] * len(marks), [0] * len(marks)     # good text and all, links aside
+    for block in found:
+        if block.mark >= 0 and block.linked <= MANY_LINKS * len(block.text):
+            plain[block.mark] += len(block.text)
+            if block.linked <= FEW_LINKS * len(block.text) and first_pass(block, fits, SHORT) == GOOD:
+                own[block.mark] += len(block.text)
+    within, rivals, most = own[:], [kept] * len(marks), {}
+    for i in reversed(range(len(marks))):
+        if marks[i].parent >= 0:
+            within[marks[i].parent] += within[i]
+        most[marks[i].parent] = max(most.get(marks[i].parent, 0), within[i])
+    prose, out = own[:], [False] * len(marks)
+    for i, mark in enumerate(marks):
+        if mark.parent >= 0:
+            rivals[i] = rivals[mark.parent] + own[mark.parent]
+    for i in reversed(range(len(marks))):
+        mark, enough = marks[i], max(prose[i], 1) * 2 >= plain[i]
+        longest = prose[i] >= 2 * SHORT and prose[i] > rivals[i] and within[i] == most[mark.parent]
+        out[i] = enough and (longest or mark.weak and prose[i] >= PROSE)
+        if out[i] and mark.parent >= 0:
+            prose[mark.parent] += prose[i]
+            plain[mark.parent] += plain[i]
+    for i, mark in enumerate(marks):
+        out[i] = out[i] and (mark.parent < 0 or out[mark.parent])
+    return out
 
 
 def listed(found: list[Block]) -> bool:
@@ -212,9 +295,8 @@ def second_pass(found: list[Block]) -> None:
         start = end
 
 
-def main_text(page: str) -> str:
-    """The good blocks, joined by line feeds."""
-    found = blocks(page)
+def label(found: list[Block]) -> list[Block]:
+    """Both passes; the good blocks."""
     fits = listed(found)
     for long in (2 * SHORT, SHORT):     # where all paragraphs are short, the longer of them count
         for block in found:
@@ -222,7 +304,17 @@ def main_text(page: str) -> str:
         if any(b.label == GOOD for b in found):
             break
     second_pass(found)
-    return "\n".join(b.text for b in found if b.label > 0)
+    return [b for b in found if b.label > 0]
+
+
+def main_text(page: str) -> str:
+    """The good blocks, joined by line feeds."""
+    found, marks = blocks(page)
+    good = label([b for b in found if b.mark < 0])
+    freed = free(found, marks, sum(len(b.text) for b in good))
+    if any(freed):
+        good = label([b for b in found if b.mark < 0 or freed[b.mark]])
+    return "\n".join(b.text for b in good)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

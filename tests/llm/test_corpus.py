@@ -411,6 +411,26 @@ def test_quality(spark, docs, texts):
     assert fertility.judge(docs.limit(0), PIECE).count() == 0
 
 
+def test_quality_rejects_what_the_corpus_does_not_write(spark):
+    rng = random.Random(5)
+
+    def text(tail=""):
+        return " ".join(prose(rng, 1) + tail for _ in range(100))
+
+    rows = [(i, text(), "en") for i in range(300)]
+    rows += [(1000 + i, rows[0][1], "en") for i in range(900)]          # copies close no fence
+    rows += [(2000 + i, text(rng.choice(["$$$", "###", "%%%"])), "en") for i in range(10)]
+    rows += [(3000 + i, text("$$$"), "xx") for i in range(5)]           # too few to be measured
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for paths in ([PIECE, BPE], PIECE):
+        got = {r["doc_id"]: r for r in fertility.judge(frame, paths).collect()}
+        assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+        assert not any(got[i]["kept"] for i in range(2000, 2010))
+        assert all(got[i]["kept"] == got[0]["kept"] for i in range(1000, 1900))
+        assert sum(got[i]["kept"] for i in range(300)) >= 285
+        assert all(got[i]["kept"] for i in range(3000, 3005))
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

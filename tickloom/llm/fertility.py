@@ -1,28 +1,40 @@
-"""Quality rules: plain counts, and how a public vocabulary splits a text.
-
-A vocabulary spends few tokens on text like that it was made from. Three figures of the whole
-text's encoding are held against bands for its script: characters per token, the share of tokens
-that are lone fallback bytes, and the entropy of the text's tokens over the most that so many
-tokens could have. Prose of any kind stays well inside; hashes, encoded data, symbol runs and text
-in a wrong character set do not.
+"""Quality rules: plain counts, and how public vocabularies split a text.
+
+A vocabulary spends few tokens on text like that it was made from. Figures of the whole text's
+encoding are held against two kinds of bands. Fixed ones by script, wide, for the first vocabulary:
+characters per token, the share of tokens that are lone fallback bytes, and the entropy of the
+text's tokens over the most that so many tokens could have. Hashes, encoded data and text in a
+wrong character set lie outside.
+
+And measured ones: the quartiles of the corpus's own documents of the same script, language and
+size give fences (1.5 times their distance beyond them) for characters per token, tokens per word
+and entropy; sizes with few texts are held against their whole language but for the entropy, which
+falls with length. A text beyond the fence of one figure in every vocabulary is an outlier; what only one
+vocabulary finds odd is not. No labels are used.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tickloom.llm.common import kept, pieces, text_or_empty
+from tickloom.llm.common import kept, pieces, text_or_empty, written
+from tickloom.llm.encoding import byte_level
 from tickloom.llm.piece_codec import BYTE, PieceCodec
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, FEWEST, REPEATED = 8, 20, 30      # words a window; fewest words; per cent of them repeated
+#: Fences lie so many quartile distances beyond the quartiles; the distance counts as a share of the
+#: median at least, so that near copies don't close them; groups of fewer texts have none.
+FENCE, NARROWEST, GROUP = 1.5, 0.02, 50
+KEYS = ["script", "lang", "size"]       # size: binary digits of the number of words
 
 
 @dataclass(frozen=True)
@@ -70,11 +82,12 @@ def repeated_words(words: list[bytes]) -> int:
     total = np.zeros(n, np.uint64)
     for i in range(WINDOW):
         total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n]
+    ordered = np.sort(total)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     order = np.argsort(total, kind="stable")
     same = total[order][1:] == total[order][:-1]
     starts = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    if not len(starts):
-        return 0
     seen = Counter(tuple(words[s:s + WINDOW]) for s in starts.tolist())   # hashes may collide
     covered = np.zeros(len(words) + 1, np.int64)
     for s in starts.tolist():
@@ -93,55 +106,130 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
             sum(n - 1 for n in lines.values()), repeated_words(words))
 
 
-def fertility(ids: np.ndarray, text: str, is_byte: np.ndarray) -> tuple[float, float, float]:
-    """Characters per token, share of byte tokens, entropy over the most possible."""
+def fertility(ids: np.ndarray, text: str,
+              is_byte: np.ndarray | None) -> tuple[float, float, float]:
+    """Characters per token, share of byte tokens, entropy over the most possible; without is_byte
+    the share is 0 and the vocabulary as large as the text needs."""
     n = len(ids)
     if not n:
         return 0.0, 0.0, 0.0
     share = np.unique(ids, return_counts=True)[1] / n
     entropy = float(-(share * np.log2(share)).sum())
-    most = math.log2(min(n, len(is_byte)))
-    return len(text) / n, float(is_byte[ids].mean()), entropy / most if most else 1.0
-
-
-def judge(docs: DataFrame, model_path: str, bands: dict[str, Band] | None = None,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the counts, base_failed, script, chars_per_token, byte_share, entropy_share
-    and kept (the base holds and the three figures lie in the script's band).
+    most = math.log2(n if is_byte is None else min(n, len(is_byte)))
+    return (len(text) / n, 0.0 if is_byte is None else float(is_byte[ids].mean()),
+            entropy / most if most else 1.0)
+
+
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to token ids by a vocabulary file: a sentencepiece model or a tokenizers file."""
+    if path.endswith(".model"):
+        return PieceCodec(path, verify=False).encode
+    try:
+        return byte_level(path)
+    except ValueError:                      # files with a normaliser of their own
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        return lambda texts: [np.array(e.ids, "<u4")
+                              for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def fences(figures: DataFrame, measured: list[str], keys: list[str], mark: str) -> DataFrame:
+    """Per group the lowest and highest value of each measured figure, as figure_low and
+    figure_high after the mark, from the texts that pass the base rules; equal texts count once.
+    Quartiles are those of figures rounded to 0.001: exact, the same in every run, and of bounded
+    size."""
+    base = figures.filter("not base_failed").select(
+        *KEYS, "n_words", "word_chars", *measured).distinct()
+    found = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("texts"), *[
+        F.percentile(F.round(c, 3), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c)
+        for c in measured]).filter(F.col("texts") >= GROUP)
+    out = []
+    for c in measured:
+        far = FENCE * F.greatest(F.col(c)[2] - F.col(c)[0], NARROWEST * F.col(c)[1])
+        out += [(F.col(c)[0] - far).alias(f"{mark}{c}_low"), (F.col(c)[2] + far).alias(f"{mark}{c}_high")]
+    return found.select(*keys, *out)
+
+
+def judge(docs: DataFrame, model_path: str | Sequence[str], bands: dict[str, Band] | None = None,
+          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per document the counts, base_failed, script, chars_per_token, byte_share, entropy_share,
+    tokens_per_word (all by the first of the vocabularies), outlier (beyond the corpus's fences of a
+    figure in every vocabulary) and kept (the base holds, the figures lie in the script's band, and
+    it is no outlier).
+
+    The fixed bands need a sentencepiece model as the first vocabulary; more are any that encoder()
+    reads. A corpus without lang_col is measured by script and size alone.
 
     Null or empty text: no words, so base_failed. Repeated rows, null ids: each row is judged by
     itself. Very long texts are judged whole. An empty table gives no rows; other columns are not
-    read.
+    read. The figures, without the texts, are written once to the shared folder.
     """
     bands = bands or BANDS
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    paths = [model_path] if isinstance(model_path, str) else list(model_path)
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), lang.alias("lang"),
+                       text_or_empty(text_col).alias("text"))
     names = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
              ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
              ("base_failed", pa.bool_()), ("script", pa.string()), ("chars_per_token", pa.float64()),
-             ("byte_share", pa.float64()), ("entropy_share", pa.float64()), ("kept", pa.bool_())]
+             ("byte_share", pa.float64()), ("entropy_share", pa.float64()),
+             ("tokens_per_word", pa.float64()), ("in_band", pa.bool_()), ("size", pa.int64())]
+    more = [[f"{c}_{i}" for c in ("chars_per_token", "tokens_per_word", "entropy_share")]
+            for i in range(1, len(paths))]
+    names += [(c, pa.float64()) for some in more for c in some] + [("lang", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept(f"plain:{model_path}", lambda: PieceCodec(model_path, verify=False))
+        codec = kept(f"plain:{paths[0]}", lambda: PieceCodec(paths[0], verify=False))
+        others = [kept(f"plain:{p}", lambda p=p: encoder(p)) for p in paths[1:]]
         is_byte = np.array([kind == BYTE for *_, kind in codec.model.pieces])
         for batch in batches:
             for low, high in pieces(batch, "text", 1 << 22):
                 some = batch.slice(low, high - low)
                 texts = some.column("text").to_pylist()
                 out = []
-                for doc_id, text, ids in zip(some.column("doc_id").to_pylist(), texts,
-                                             codec.encode(texts)):
+                for doc_id, lang, text, ids, *rest in zip(
+                        some.column("doc_id").to_pylist(), some.column("lang").to_pylist(), texts,
+                        codec.encode(texts), *[encode(texts) for encode in others]):
                     plain = counts(text)
                     failed = plain[0] < FEWEST or 100 * plain[4] > REPEATED * plain[0]
                     figures, kind = fertility(ids, text, is_byte), script(text)
                     band = bands.get(kind, bands["other"])
                     good = (band.least_chars <= figures[0] <= band.most_chars
                             and figures[1] <= band.most_bytes and figures[2] >= band.least_entropy)
-                    out.append((doc_id, *plain, failed, kind, *figures, good and not failed))
+                    words = max(plain[0], 1)
+                    extra: list[float] = []
+                    for theirs in rest:
+                        chars, _, entropy = fertility(theirs, text, None)
+                        extra += [chars, len(theirs) / words, entropy]
+                    out.append((doc_id, *plain, failed, kind, *figures, len(ids) / words, good,
+                                plain[0].bit_length(), *extra, lang))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, (_, t) in zip(columns, names)], schema=pa.schema(names))
 
-    return rows.mapInArrow(run, (
+    extra = "".join(f"{c} double, " for some in more for c in some)
+    figures = written(rows.mapInArrow(run, (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, script string, chars_per_token double, "
-        "byte_share double, entropy_share double, kept boolean"))
+        "byte_share double, entropy_share double, tokens_per_word double, in_band boolean, size long, "
+        f"{extra}lang string")), "quality-figures")
+    by_figure = list(zip(("chars_per_token", "tokens_per_word", "entropy_share"), *more))
+    measured = [c for columns in by_figure for c in columns]
+    rough = [c for c in measured if not c.startswith("entropy")]    # hardly depend on the size
+    limits = fences(figures, measured, KEYS, "")
+    wide = fences(figures, rough, KEYS[:2], "any_")
+    outlier = F.lit(False)
+    for columns in by_figure:
+        beyond = F.lit(True)
+        for c in columns:
+            low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+            if c in rough:
+                low, high = F.coalesce(low, f"any_{c}_low"), F.coalesce(high, f"any_{c}_high")
+            beyond &= (F.col(c) < low) | (F.col(c) > high)
+        outlier |= F.coalesce(beyond, F.lit(False))
+    # a few rows a language: no document travels to find its fences
+    return figures.join(F.broadcast(limits), KEYS, "left").join(
+        F.broadcast(wide), KEYS[:2], "left").select(
+        *[n for n, _ in names[:12]], outlier.alias("outlier"),
+        (F.col("in_band") & ~F.col("base_failed") & ~outlier).alias("kept"))

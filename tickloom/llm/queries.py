@@ -75,7 +75,8 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return fertility.judge(table(spark, sf_dir, "documents"),
+                           [public_tokenizers.path(n) for n in (PIECE_BPE, BYTE_BPE)])
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,16 @@ def test_repeats_equal_brute_force(spark, docs, texts, monkeypatch, held, hot, p
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_task_need_key_and_content():
+    odd = int(byte_hash.ODD)
+    key = np.array([1, 2, 1], np.uint64)            # rows 0 and 1 have one 64-bit mix
+    content = np.array([7, (odd ^ 7) ^ (2 * odd % 2**64), 7], np.uint64)
+    place, length = np.array([0, 200, 400]), np.array([5, 5, 5])
+    parts = [[key, content, np.array([1, 2, 3]), place, np.zeros(3, np.int64), length]]
+    rows = [r for batch in repeats.decided_here(parts, 100) for r in batch.to_pylist()]
+    assert [r["doc"] for r in rows if r["kind"] == repeats.REPEAT] == [3]
+
+
 def test_byte_hashes():
     data = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint8)
     for length in (1, 7, 24):

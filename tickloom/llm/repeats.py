@@ -86,10 +86,10 @@ def decided_here(parts: list[list[np.ndarray]], threshold: int) -> Iterator[pa.R
     Empties `parts`."""
     key, content, doc, at, o, n = (np.concatenate(c) for c in zip(*parts))
     parts.clear()
-    pair = byte_hash.mixed(key * np.uint64(byte_hash.ODD) ^ content)
-    order = np.lexsort((at, doc, pair))
+    order = np.lexsort((at, doc, content, key))
     first = np.ones(len(order), bool)
-    first[1:] = pair[order][1:] != pair[order][:-1]
+    first[1:] = ((key[order][1:] != key[order][:-1])
+                 | (content[order][1:] != content[order][:-1]))
     kept = order[first]
     source = kept[np.cumsum(first) - 1]          # the earliest run with these bytes
     again = order[(doc[order] != doc[source]) | (at[order] != at[source])]

@@ -247,6 +247,26 @@ def test_piece_codec_parity(spark, docs, texts):
     assert piece_codec.encode_documents(docs.limit(0), PIECE).count() == 0
 
 
+def test_parity_of_unigram_models_is_compared(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(7)
+    path = f"{tmp_path}/unigram.model"
+    with open(path, "wb") as file:
+        sentencepiece.SentencePieceTrainer.train(
+            sentence_iterator=iter([prose(rng, 20) for _ in range(300)]), model_writer=file,
+            vocab_size=40, model_type="unigram", minloglevel=2)
+    codec = piece_codec.PieceCodec(path)
+    assert codec.model.charsmap and codec.model.kind == piece_codec.UNIGRAM
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    some = [prose(rng, 30), "ｃａｔ  the\tcat ﬁ", "the cat sat", ""]
+    rows = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for row in piece_codec.encode_documents(rows, path).collect():
+        assert row["parity"] == (other.encode(some[row["doc_id"]]) == list(row["ids"]))
+    ids = codec.encode(some)
+    assert codec.parity(some[0], ids[0]) and not codec.parity(some[0], ids[0][:-1])
+
+
 def test_byte_level_chunks_equal_the_whole_text():
     from tokenizers import Tokenizer
 

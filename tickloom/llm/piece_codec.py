@@ -3,7 +3,8 @@
 The model file (a protobuf) is parsed here; its normaliser, white-space marker, scores and byte
 fallback are rebuilt as a tokenizers pipeline. Unigram models keep their scores; for BPE models
 the order of merges follows from the scores. Every distinct chunk that is encoded is held against
-the sentencepiece library, so parity is verified for all that the corpus contains.
+the sentencepiece library, so parity is verified for all that the corpus contains; for models with
+a normaliser of their own or other rules for spaces, whole texts are.
 """
 
 from __future__ import annotations
@@ -119,10 +120,13 @@ class PieceCodec:
         # chunks can be cut at a marker only if no piece has one after another character
         whole = any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind == NORMAL)
         other, self.unequal = None, set()
-        if verify and not model.charsmap and model.dummy_prefix and model.escape_spaces:
+        self.whole_texts = None        # the other library, where chunks can't be held against it
+        if verify:
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
+            if model.charsmap or not model.dummy_prefix or not model.escape_spaces:
+                other, self.whole_texts = None, other
 
         starts = np.array([p.startswith(MARK) for p, *_ in model.pieces])
 
@@ -185,8 +189,11 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.chunks([self.normalise(t) for t in texts])
 
-    def parity(self, text: str) -> bool:
-        """Whether both libraries agree on all chunks of a text that has been encoded."""
+    def parity(self, text: str, ids: np.ndarray) -> bool:
+        """Whether both libraries agree on a text that has been encoded: on all its chunks or, for
+        models that normalise texts or treat spaces otherwise, on the ids of the whole text."""
+        if self.whole_texts is not None:
+            return self.whole_texts.encode(text) == ids.tolist()
         if not self.unequal:
             return True
         normal = self.normalise(text)
@@ -203,7 +210,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit
     numbers), n_bytes_fallback, round_trip (decoding gives the text back), parity (both libraries
-    agree on every chunk) and, with_ids, ids.
+    agree on every chunk, or on the whole text) and, with_ids, ids.
 
     Null or empty text: no ids, and the round trip holds. Null and repeated ids pass through; an
     empty table gives no rows; other columns are not read. A text with the marker character itself
@@ -228,7 +235,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True,
                        [zlib.crc32(i.tobytes()) for i in ids],
                        [int(byte[i].sum()) for i in ids],
                        [codec.decode(i) == t for i, t in zip(ids, texts)],
-                       [codec.parity(t) for t in texts]]
+                       [codec.parity(t, i) for t, i in zip(texts, ids)]]
                 if with_ids:
                     out.append([i.astype(np.int32) for i in ids])
                 yield pa.RecordBatch.from_arrays(

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import (dac, fertility, html_blocks, langid, mixing, piece_codec, repeats, simhash,
-                          topk, url_rules)
+from tickloom.llm import (dac, debruijn, dialogue, fertility, html_blocks, langid, mixing, periodic,
+                          piece_codec, repeats, simhash, topk, url_rules)
 from tickloom.llm.common import shared_dir, table, written
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -84,10 +85,52 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         public_tokenizers.path(PIECE_BPE), with_ids=False)
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return debruijn.remove_passages(docs)
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of a tenth of the documents, by a hash of the id, the words from some word on become copies
+    of the first of them. A null id leaves the words as they are."""
+    hashed = 1 if doc_id is None else zlib.crc32(b"%d" % doc_id)
+    g, n = hashed // 10, len(words)
+    if hashed % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    period = words[a:a + p]
+    return words[:a] + (period * ((n - a) // p + 1))[:n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.periodic_runs(docs, repeated_tail)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows with the faults of the contract, drawn by a hash of conversation and turn; copies: how
+    often the row stands in its place."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" "))
+                             for c in ("conv_id", "turn")))
+    draw = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return rows.select(
+        "conv_id", "turn",
+        F.when(draw == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(draw == 1, "").when(draw == 2, F.translate(text, ".!?", "")).otherwise(text)
+        .alias("text"),
+        F.when(draw == 0, 0).when(draw == 3, 2).otherwise(1).alias("copies"))
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_mix, op2_repeats, op3_url_rules, op4_simhash, op5_top_k, op6_token_file, op7_language,
-        op8_main_text, op9_quality, op10_pieces)}
+        op8_main_text, op9_quality, op10_pieces, op11_passages, op12_runs, op13_dialogue)}
 
 
 def oracle_sql() -> dict[str, str]:

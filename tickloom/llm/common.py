@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -10,11 +12,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but the space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
+HOLDER = "_tickloom_kept"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,16 +52,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
-    """make(), once in a Python worker: what later tasks of the same worker find again."""
-    holder = sys.modules.setdefault("_tickloom_kept", types.ModuleType("_tickloom_kept"))
+    """make(), once in a Python worker: what later tasks of the same stage find there again."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    holder = sys.modules.get(HOLDER)
+    if holder is None or holder.stage != stage:
+        forget()
+        holder = sys.modules[HOLDER] = types.ModuleType(HOLDER)
+        holder.stage = stage
     if not hasattr(holder, name):
         setattr(holder, name, make())
     return getattr(holder, name)
 
 
 def forget() -> None:
-    """Frees what earlier stages left in this worker by kept(): memories of stages don't add up."""
-    sys.modules.pop("_tickloom_kept", None)
+    """Frees what another stage left in this worker by kept(), and gives free memory back to the
+    system: a worker outlives its stage, and memories of stages must not add up."""
+    if sys.modules.pop(HOLDER, None) is None:
+        return
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:

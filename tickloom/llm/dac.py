@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encoder = kept(f"bytes:{vocabulary}", lambda: encoding.byte_level(vocabulary))
+        encoder = kept(f"bytes:{vocabulary}", lambda: encoding.byte_level(vocabulary, encoding.LARGE))
         doc_ids, arrays, held = [], [], 0
         end = np.array([end_id], np.uint32)
 

@@ -7,13 +7,15 @@ of chunks saves most calls of the library; the ids are those of the whole text.
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-KNOWN, LONGEST = 1_000_000, 48          # chunks remembered, and the longest of them
+MEMORY, LARGE = 64 << 20, 200 << 20     # bytes of chunks remembered; where each costs a call, more
+ENTRY, LONGEST = 200, 48                # bytes that one takes, roughly; characters of the longest
 FAR_LETTER = "\u0250"      # letters before it are letters to every version of Unicode
 #: White space that is rare in texts; where one occurs, cuts are looked for with care.
 RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f"
@@ -25,42 +27,45 @@ class ChunkedEncoder:
     numbers; a chunk after a cut begins with the joint."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], joint: str = " ",
-                 whole: bool = False) -> None:
+                 whole: bool = False, memory: int = MEMORY) -> None:
         self.encode, self.joint, self.whole = encode, joint, whole
         self.careful = re.compile(rf"(?<=[^\s{joint}]){joint}(?=[^\s{joint}])")
         self.close = (joint * 2, joint + "\n", "\n" + joint)
+        self.most = memory // ENTRY
         self.known: dict[str, bytes] = {}     # of chunks without the joint before them
 
     def parts(self, text: str) -> list[str]:
         if self.whole:
             return [text]
         joint = self.joint
-        if (text.endswith(joint) or text.startswith(joint) or any(c in text for c in self.close)
-                or RARE_SPACE.search(text)):
+        if (text.endswith(joint) or any(c in text for c in self.close) or RARE_SPACE.search(text)):
             return self.careful.split(text)
-        return text.split(joint)
+        parts = text.split(joint)
+        return parts if parts[0] or not text else [joint + parts[1], *parts[2:]]   # none at the start
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
         known, rows, heads, fresh = self.known, [], [], set()
+        later: dict[str, bytes] = {}
         for text in texts:
             parts = self.parts(text) if text else []
             heads.append(parts[0] if parts else "")
             ids = list(map(known.get, parts[1:]))
             rows.append((parts, ids))
             if None in ids:
-                fresh.update(p for p, i in zip(parts[1:], ids) if i is None)
-        fresh, later = list(fresh), {}
+                fresh.update(p for p, own in zip(parts[1:], ids) if own is None)
+        fresh = list(fresh)
         for at in range(0, len(fresh), 8192):
             some = fresh[at:at + 8192]
-            for part, ids in zip(some, self.encode([self.joint + p for p in some])):
-                (known if len(part) <= LONGEST else later)[part] = ids
+            later.update(zip(some, self.encode([self.joint + p for p in some])))
         out = []
         for head, ids, (parts, found) in zip(heads, self.encode(heads), rows):
             if None in found:
-                found = [known.get(p) or later.get(p, b"") for p in parts[1:]]
+                found = [later[p] if own is None else own for p, own in zip(parts[1:], found)]
             out.append(np.frombuffer((ids if head else b"") + b"".join(found), "<u4"))
+        if len(known) + len(later) > self.most:
+            known.clear()
+        known.update((p, ids) for p, ids in itertools.islice(later.items(), self.most)
+                     if len(p) <= LONGEST)
         return out
 
 
@@ -68,9 +73,9 @@ class Known(dict):
     """Texts and their ids. A missing one is encoded when it is asked for and remembered if it is
     short; a full memory starts anew."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = KNOWN) -> None:
+    def __init__(self, encode: Callable[[str], bytes], size: int) -> None:
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most = encode, size // ENTRY
 
     def __missing__(self, text: str) -> bytes:
         ids = self.encode(text)
@@ -86,10 +91,10 @@ class SingleEncoder(ChunkedEncoder):
     Chunks in which `special` occurs go to `library` instead, and are not remembered."""
 
     def __init__(self, encode: Callable[[str], bytes], special: re.Pattern,
-                 library: Callable[[str], bytes]) -> None:
+                 library: Callable[[str], bytes], memory: int) -> None:
         super().__init__(lambda chunks: list(map(encode, chunks)))
         self.one, self.special, self.library = encode, special, library
-        self.known = Known(lambda part: encode(self.joint + part))
+        self.known = Known(lambda part: encode(self.joint + part), memory)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -106,7 +111,7 @@ class SingleEncoder(ChunkedEncoder):
         return self.library(chunk) if self.special.search(chunk) else self.one(chunk)
 
 
-def byte_level(path: str) -> SingleEncoder:
+def byte_level(path: str, memory: int = MEMORY) -> SingleEncoder:
     """A byte-level BPE file of the tokenizers library.
 
     Chunks go to the library's model directly: the file's own split of a text into words and its
@@ -143,7 +148,7 @@ def byte_level(path: str) -> SingleEncoder:
         return array("I", [token.id for token in tokenize(text)]).tobytes()
 
     # words beside punctuation are remembered too: they come with many kinds of it
-    known = Known(ids, KNOWN // 4)
+    known = Known(ids, memory // 5)
 
     def encode(chunk: str) -> bytes:
         if chunk[1:].isalpha() and chunk[0] == " " and max(chunk) < FAR_LETTER:
@@ -154,7 +159,7 @@ def byte_level(path: str) -> SingleEncoder:
     def library(chunk: str) -> bytes:
         return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return SingleEncoder(encode, special, library)
+    return SingleEncoder(encode, special, library, 4 * memory // 5)
 
 
 def byte_letters(pre_tokenizers) -> dict[int, str]:

@@ -64,7 +64,8 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 20) -> np
     """Weights of a linear machine with squared hinge loss; classes weigh alike. y is +1 or -1."""
     each = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     each = cost * len(y) * each
-    w = np.zeros(x.shape[1])
+    if len(y) > x.shape[1]:
+        return _by_weights(x, y, each, steps)
     gram = x @ x.T                      # the solution is a sum of examples: w = x' a
     a, active = np.zeros(len(y)), np.ones(len(y), bool)
     for _ in range(steps):
@@ -79,6 +80,27 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 20) -> np
     return w.astype(np.float32)
 
 
+def _by_weights(x: np.ndarray, y: np.ndarray, each: np.ndarray, steps: int) -> np.ndarray:
+    """The same machine from more texts than features: a system of the features' size, summed up
+    over parts of the texts."""
+    size, active = x.shape[1], np.ones(len(y), bool)
+    w = np.zeros(size)
+    for _ in range(steps):
+        left, right = np.eye(size), np.zeros(size)
+        for at in range(0, len(y), size):
+            own = at + np.flatnonzero(active[at:at + size])
+            some = x[own].astype(np.float64)
+            weighed = some * each[own, None]
+            left += some.T @ weighed
+            right += weighed.T @ y[own]
+        w = np.linalg.solve(left, right)
+        now = y * (x @ w.astype(x.dtype)) < 1
+        if (now == active).all():
+            break
+        active = now
+    return w.astype(np.float32)
+
+
 def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE,
         id_col: str = "doc_id") -> Model:
     """Learns from the rows of docs where `learn` holds and lang is not null, at most
@@ -112,6 +134,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE,
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, rank and the features of each whole text."""
+    forget()
     for batch in batches:
         for low, high in pieces(batch, "text", 1 << 20):
             some = batch.slice(low, high - low)
@@ -130,7 +153,8 @@ def learnt(x: np.ndarray, labels: list[str]) -> Model:
     for i, lang in enumerate(languages):
         groups.setdefault(of.get(lang, "/" + lang), []).append(i)
     families = list(groups.values())
-    x = x.astype(np.float64)
+    if len(x) <= x.shape[1]:
+        x = x.astype(np.float64)
     weights, pairs = [], []
     if len(families) > 1:
         weights += [svm(x, np.where(np.isin(y, group), 1.0, -1.0)) for group in families]

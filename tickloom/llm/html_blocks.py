@@ -10,9 +10,10 @@ one it is good, unless the page's good text outside of articles is longer than a
 then these are teasers.
 
 Menus, headers, footers, sidebars, forms and elements whose class, id or role names an advert, a
-notice, comments and the like are marked. What stands in them counts only if most of it, links
-aside, is good blocks, and these are longer than the text kept elsewhere (a page wrapped in a form,
-a menu never closed), or long at all where the mark is one that stories bear too.
+notice, comments and the like are marked. What stands in them counts only on a page without good
+text outside of marks (a page wrapped in a form, a menu never closed), and there only if most of it,
+links aside, is good blocks, and these are longer than what the other marks hold. Where the mark is
+one that stories bear too, long good text is enough, on pages without an article of good text.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import pieces, text_or_empty
+from tickloom.llm.common import forget, pieces, text_or_empty
 
+#: The inside of a tag. A tag ends at the next `<` if no `>` comes before, so broken markup is read
+#: in time that grows with its length alone.
+INSIDE = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>])*+)>",
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title)(?=[\s/>])" + INSIDE
+    + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<[!?][^<>]*+(?:>|(?=<)|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<rest>" + INSIDE + r")(?:>|(?=<)|\Z)",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
                        re.I)
@@ -204,9 +209,8 @@ def _mark(tag: str, rest: str, in_article: bool) -> bool | None:
     return names <= WEAK if names or tag == "form" else None
 
 
-def free(found: list[Block], marks: list[Mark], kept: int) -> list[bool]:
-    """Per mark whether the blocks in it count as those outside. kept: characters of the text that
-    stands outside of all marks."""
+def free(found: list[Block], marks: list[Mark], weak_only: bool) -> list[bool]:
+    """Per mark whether the blocks in it count as those outside; weak_only: there is good text."""
     fits = listed(found)
     own, plain = [0] * len(marks), [0] * len(marks)     # good text and all, links aside
     for block in found:
@@ -214,7 +218,7 @@ def free(found: list[Block], marks: list[Mark], kept: int) -> list[bool]:
             plain[block.mark] += len(block.text)
             if block.linked <= FEW_LINKS * len(block.text) and first_pass(block, fits, SHORT) == GOOD:
                 own[block.mark] += len(block.text)
-    within, rivals, most = own[:], [kept] * len(marks), {}
+    within, rivals, most = own[:], [0] * len(marks), {}
     for i in reversed(range(len(marks))):
         if marks[i].parent >= 0:
             within[marks[i].parent] += within[i]
@@ -226,7 +230,7 @@ def free(found: list[Block], marks: list[Mark], kept: int) -> list[bool]:
     for i in reversed(range(len(marks))):
         mark, enough = marks[i], max(prose[i], 1) * 2 >= plain[i]
         longest = prose[i] >= 2 * SHORT and prose[i] > rivals[i] and within[i] == most[mark.parent]
-        out[i] = enough and (longest or mark.weak and prose[i] >= PROSE)
+        out[i] = enough and (longest and not weak_only or mark.weak and prose[i] >= PROSE)
         if out[i] and mark.parent >= 0:
             prose[mark.parent] += prose[i]
             plain[mark.parent] += plain[i]
@@ -311,8 +315,8 @@ def main_text(page: str) -> str:
     """The good blocks, joined by line feeds."""
     found, marks = blocks(page)
     good = label([b for b in found if b.mark < 0])
-    freed = free(found, marks, sum(len(b.text) for b in good))
-    if any(freed):
+    if not any(b.article for b in good):
+        freed = free(found, marks, bool(good))
         good = label([b for b in found if b.mark < 0 or freed[b.mark]])
     return "\n".join(b.text for b in good)
 
@@ -328,6 +332,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for low, high in pieces(batch, "__html", 1 << 22):
                 some = batch.slice(low, high - low)

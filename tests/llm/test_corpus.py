@@ -204,6 +204,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), queries.F.col("id") % 20 == 0, 5).count() == 0
 
 
+def test_top_k_admits_every_vector_whose_scores_fit(spark):
+    rows = [(0, [300000.0, 1.0]), (20, [300000.0, 2.0]), (21, [4e6, 0.0]), (22, [3e7, 1e7]),
+            (23, [1e30, 0.0]), (24, [0.5, 0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, frame_id() % 20 == 0, 3).orderBy("query_id", "rank").collect()
+    vectors = {i: [int(64 * x // 1) for x in v] for i, v in rows if max(v) < 1e29}
+    for q in (0, 20):
+        best = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i)
+                       for i, v in vectors.items() if i != q))[:3]
+        assert [(-r["score"], r["vec_id"]) for r in got if r["query_id"] == q] == best
+
+
+def frame_id():
+    from pyspark.sql import functions as F
+    return F.col("id")
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
@@ -319,6 +336,16 @@ def test_language_learns_whole_texts_and_repeats_once(spark, monkeypatch):
     assert sorted(v.tobytes() for v in x) == sorted(want)
 
 
+def test_language_machines_agree_from_either_side():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 9)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    each = np.full(60, 20.0)
+    direct = langid._by_weights(x, y, each, 20)
+    loss = lambda w: w @ w / 2 + 10 * (np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    assert all(loss(direct) <= loss(direct + d) + 1e-6 for d in 0.01 * rng.normal(size=(50, 9)))
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocabulary = {"en": "the of and to with house tree", "de": "der die und mit haus baum nicht",
@@ -419,6 +446,28 @@ def test_main_text_in_marked_regions():
     assert html_blocks.main_text(drawing + story) == want
 
 
+@pytest.mark.parametrize("region", [
+    "<div id=comments>", "<footer>", "<aside>", "<div class=cookie-notice>", "<div class=legal>",
+    "<div class=related>", "<section class=advert>", "<div class='newsletter signup'>", "<nav>"])
+def test_long_marked_regions_stay_out_beside_an_article(region):
+    tag = region[1:].split()[0].rstrip(">")
+    page = f"<article><h1>Title</h1><p>{STORY}</p></article>{region}<p>{STORY * 9}</p></{tag}>"
+    assert html_blocks.main_text(page) == f"Title\n{STORY.strip()}"
+    if "legal" not in region and "related" not in region:
+        plain = page.replace("article>", "div>")
+        assert html_blocks.main_text(plain) == f"Title\n{STORY.strip()}"
+
+
+@pytest.mark.parametrize("piece", [
+    "<p ", "<!x ", "<script ", "<p \"", "<a href='x", "</p ", "<!--", "<![CDATA[", "<svg ", "<div <",
+    "&amp", "<script></script ", "<b a=\">\" "])
+def test_broken_markup_is_read_in_linear_time(piece):
+    import time
+    begin = time.time()
+    html_blocks.main_text(f"<p>{STORY}</p>" + piece * 400_000)
+    assert time.time() - begin < 5
+
+
 def test_quality(spark, docs, texts):
     def brute(text):
         w = words(text)

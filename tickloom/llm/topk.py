@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import written
 
 BUCKET, BLOCK = 2048, 512
-LARGEST = 1 << 24          # components up to here: sums of 2^14 products fit a long
+LARGEST = 2.0 ** 62        # squared lengths up to here: no product of two vectors exceeds a long
+SPREAD = 256               # groups of buckets that blocks of queries are paired with apart
 COSINE, FOCUS = 0.8, 5     # coordinate pruning from this local threshold on, by so many coordinates
 PACKED = ("dim int, low_norm double, top_norm double, n int, ids binary, body binary, "
           "lows binary")
@@ -34,12 +35,14 @@ def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: float = 6
     """id, v (floor(scale * x) per component), dim and sq (squared length), distinct.
 
     Left out: null ids, null or empty vectors, vectors with a null, NaN or infinite component, and
-    components whose integer exceeds 2^24, whose scores would not fit a long. Repeated rows with
-    the same id and vector count once.
+    those whose integers have a squared length of 2^62 or more (for one component, from 33 million
+    on), whose scores a long may not hold. Repeated rows with the same id and vector count once.
     """
     good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("x")).filter(
         "id is not null and x is not null and size(x) > 0").filter(F.forall("x", lambda c: (
-            c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < LARGEST / scale))))
+            c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < math.sqrt(LARGEST) / scale))))
+    floors = F.transform("x", lambda c: F.floor(c.cast("double") * scale).cast("double"))
+    good = good.filter(F.aggregate(floors, F.lit(0.0), lambda a, c: a + c * c) < LARGEST)
     vectors = good.select("id", F.transform(
         "x", lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("v"))
     return vectors.distinct().select("id", "v", F.size("v").alias("dim"), F.aggregate(
@@ -97,8 +100,11 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     start = blocks.join(buckets.join(first, ["dim", "at"]), "dim")
     bounds = written(_bounds(_searched(start.withColumn("floors", F.lit(None).cast("array<double>")), k),
                              k), "topk-bounds")
+    groups = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("group")
     pairs = (blocks.select("q_at", "dim", "q_top").join(bounds.select("q_at", "least"), "q_at")
-             .join(buckets.select("dim", "at", "top_norm"), "dim")
+             .select("*", groups)
+             .join(buckets.select("dim", "at", "top_norm", F.pmod(F.hash("at"), F.lit(SPREAD))
+                                  .alias("group")), ["dim", "group"])
              .filter("q_top * top_norm * (1 + 1e-9) >= least").select("q_at", "at"))
     work = (pairs.join(buckets.drop("dim", "low_norm"), "at").join(blocks, "q_at")
             .join(bounds.select("q_at", "floors"), "q_at"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import kept, pieces, text_or_empty, written
-from tickloom.llm.encoding import byte_level
+from tickloom.llm.encoding import LARGE, byte_level
 from tickloom.llm.piece_codec import BYTE, PieceCodec
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -79,9 +79,11 @@ def repeated_words(words: list[bytes]) -> int:
     if n < 2:
         return 0
     hashes = np.fromiter(map(hash, words), np.int64, len(words)).astype(np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n]
+    total, width = hashes, 1
+    while width < WINDOW:                       # WINDOW is a power of two
+        base = np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64))
+        total = total[:-width] * base + total[width:]
+        width *= 2
     ordered = np.sort(total)
     if not (ordered[1:] == ordered[:-1]).any():
         return 0
@@ -113,7 +115,10 @@ def fertility(ids: np.ndarray, text: str,
     n = len(ids)
     if not n:
         return 0.0, 0.0, 0.0
-    share = np.unique(ids, return_counts=True)[1] / n
+    kind = np.uint16 if ids.max() < 1 << 16 else np.uint32       # short numbers sort by digits
+    ordered = np.sort(ids.astype(kind), kind="stable")
+    cuts = np.flatnonzero(ordered[1:] != ordered[:-1])
+    share = np.diff(np.concatenate([[-1], cuts, [n - 1]])) / n
     entropy = float(-(share * np.log2(share)).sum())
     most = math.log2(n if is_byte is None else min(n, len(is_byte)))
     return (len(text) / n, 0.0 if is_byte is None else float(is_byte[ids].mean()),
@@ -125,7 +130,7 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     if path.endswith(".model"):
         return PieceCodec(path, verify=False).encode
     try:
-        return byte_level(path)
+        return byte_level(path, LARGE)
     except ValueError:                      # files with a normaliser of their own
         from tokenizers import Tokenizer
 
@@ -187,21 +192,28 @@ def judge(docs: DataFrame, model_path: str | Sequence[str], bands: dict[str, Ban
             for low, high in pieces(batch, "text", 1 << 22):
                 some = batch.slice(low, high - low)
                 texts = some.column("text").to_pylist()
+                plains = [counts(text) for text in texts]
+                fails = [p[0] < FEWEST or 100 * p[4] > REPEATED * p[0] for p in plains]
+                # what fails the base rules stands in no fence: one vocabulary will do
+                judged = [text for text, failed in zip(texts, fails) if not failed]
+                theirs_of = [iter(encode(judged)) for encode in others]
                 out = []
-                for doc_id, lang, text, ids, *rest in zip(
+                for doc_id, lang, text, ids, plain, failed in zip(
                         some.column("doc_id").to_pylist(), some.column("lang").to_pylist(), texts,
-                        codec.encode(texts), *[encode(texts) for encode in others]):
-                    plain = counts(text)
-                    failed = plain[0] < FEWEST or 100 * plain[4] > REPEATED * plain[0]
+                        codec.encode(texts), plains, fails):
                     figures, kind = fertility(ids, text, is_byte), script(text)
                     band = bands.get(kind, bands["other"])
                     good = (band.least_chars <= figures[0] <= band.most_chars
                             and figures[1] <= band.most_bytes and figures[2] >= band.least_entropy)
                     words = max(plain[0], 1)
-                    extra: list[float] = []
-                    for theirs in rest:
-                        chars, _, entropy = fertility(theirs, text, None)
-                        extra += [chars, len(theirs) / words, entropy]
+                    extra: list[float | None] = []
+                    for theirs in theirs_of:
+                        if failed:
+                            extra += [None] * 3
+                            continue
+                        own = next(theirs)
+                        chars, _, entropy = fertility(own, text, None)
+                        extra += [chars, len(own) / words, entropy]
                     out.append((doc_id, *plain, failed, kind, *figures, len(ids) / words, good,
                                 plain[0].bit_length(), *extra, lang))
                 columns = list(zip(*out))

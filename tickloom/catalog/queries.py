@@ -204,6 +204,33 @@ def fill_query(backward_only: bool) -> Query:
     return run
 
 
+def holed_bars(spark, sf_dir) -> DataFrame:
+    """Daily bars of which some lack the close, the first days the high or the low, and two symbols
+    a whole bar later on."""
+    bars = order_bars(spark, sf_dir)
+    day = F.to_date("time")
+    early = (day < F.lit("1992-01-20").cast("date")) & (F.col("tick_volume") % 2 == 0)
+    gone = (F.substring("symbol", 1, 1).isin("2", "4")) & (day == F.lit("1996-07-01").cast("date"))
+    return bars.withColumns({
+        "high": F.when(~early & ~gone, F.col("high")), "low": F.when(~early & ~gone, F.col("low")),
+        "close": F.when((F.col("spread") % 3 != 0) & ~early & ~gone, F.col("close"))})
+
+
+EMA_GAPPY = ("ema_10", "ema_20", "ema_50", "macd", "macd_signal")
+
+
+def ema_gappy(spark, sf_dir):
+    out = feature_table(holed_bars(spark, sf_dir), list(EMA_GAPPY), "raw", bar_seconds=86400,
+                        gaps=True)
+    return shown(out.select("symbol", "time", *EMA_GAPPY), ORDER_RUNNING_DIGITS)
+
+
+def atr_gappy(spark, sf_dir):
+    out = feature_table(holed_bars(spark, sf_dir), ["true_range", "atr"], "raw",
+                        bar_seconds=86400, gaps=True)
+    return shown(out.select("symbol", "time", "true_range", "atr"), ORDER_RUNNING_DIGITS)
+
+
 def full_table(view: str, bars: Query = event_bars, digits: int = 6) -> Query:
     return indicator(COLUMNS, bars, digits, view=view)
 
@@ -791,7 +818,7 @@ def queries() -> dict[str, Query]:
     for fn in (
         scan_bars, build_bars_hourly, build_bars_daily, epoch_to_ts, filter_since, features_as_of,
         append_dedup_last, snapshot_roundtrip, safe_division, tz_projection, rolling_sums,
-        ewm_adjusted, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
+        ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
         rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
         decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,
         model_checks, model_decisions,

@@ -35,6 +35,52 @@ SELECT symbol, time, round(CASE WHEN d > 0 THEN n / d END, 6) + 0.0 AS flow_ewm,
 FROM f JOIN e USING (symbol, rn)"""
 
 
+HOLED = f"""WITH RECURSIVE {ORDER_BARS},
+holes AS (SELECT *, time < DATE '1992-01-20' AND tick_volume % 2 = 0
+    OR symbol[1] IN ('2', '4') AND CAST(time AS DATE) = DATE '1996-07-01' AS hole FROM bars),
+h AS MATERIALIZED (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS rn,
+    CASE WHEN NOT hole THEN high END AS high, CASE WHEN NOT hole THEN low END AS low,
+    CASE WHEN NOT hole AND spread % 3 <> 0 THEN close END AS close FROM holes)"""
+
+
+def _gap_step(name: str, span: int, x: str) -> tuple[str, str, str]:
+    """First value, next value and next weight of an exponential mean over missing values: what came
+    before weighs the decay of all rows since, and both weights are scaled to one."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return (f"CAST({x} AS DOUBLE) AS {name}, 1.0::DOUBLE AS w_{name}",
+            f"CASE WHEN {x} IS NULL THEN e.{name} WHEN e.{name} IS NULL THEN {x} ELSE "
+            f"(e.w_{name} * (1 - {a}) * e.{name} + {a} * {x}) / (e.w_{name} * (1 - {a}) + {a}) END",
+            f"CASE WHEN {x} IS NULL THEN e.w_{name} * (1 - {a}) ELSE 1 END")
+
+
+def _ema_gappy() -> str:
+    spans = {"ema_10": 10, "ema_12": 12, "ema_20": 20, "ema_26": 26, "ema_50": 50}
+    start = ", ".join(_gap_step(n, s, "close")[0] for n, s in spans.items())
+    step = ", ".join(part for n, s in spans.items() for part in _gap_step(n, s, "h.close")[1:])
+    first, value, weight = _gap_step("macd_signal", 9, "m.macd")
+    picked = ", ".join(shown(c, digits=Q.ORDER_RUNNING_DIGITS) for c in Q.EMA_GAPPY)
+    return f"""{HOLED},
+e AS (SELECT symbol, rn, {start} FROM h WHERE rn = 0
+      UNION ALL SELECT h.symbol, h.rn, {step} FROM e JOIN h ON h.symbol = e.symbol AND h.rn = e.rn + 1),
+m AS MATERIALIZED (SELECT e.*, time, ema_12 - ema_26 AS macd FROM e JOIN h USING (symbol, rn)),
+g AS (SELECT symbol, rn, {first.replace('m.', '')} FROM m WHERE rn = 0
+      UNION ALL SELECT m.symbol, m.rn, {value.replace('e.', 'g.')}, {weight.replace('e.', 'g.')}
+      FROM g JOIN m ON m.symbol = g.symbol AND m.rn = g.rn + 1)
+SELECT symbol, time, {picked} FROM m JOIN g USING (symbol, rn)"""
+
+
+def _atr_gappy() -> str:
+    return f"""{HOLED},
+t AS MATERIALIZED (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS true_range FROM (
+    SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS pc FROM h)),
+e AS (SELECT symbol, 13 AS rn, avg(true_range) AS atr FROM t WHERE rn <= 13 GROUP BY symbol
+      UNION ALL SELECT t.symbol, t.rn, (e.atr * 13 + t.true_range) / 14
+      FROM e JOIN t ON t.symbol = e.symbol AND t.rn = e.rn + 1)
+SELECT symbol, time, {shown('true_range', digits=Q.ORDER_RUNNING_DIGITS)},
+       {shown('atr', 'CASE WHEN t.rn < 13 THEN 0 ELSE atr END', digits=Q.ORDER_RUNNING_DIGITS)}
+FROM t LEFT JOIN e USING (symbol, rn)"""
+
+
 def _gappy(backward: bool) -> str:
     frame = ("ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING" if backward
              else "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
@@ -248,6 +294,8 @@ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED
         f"{feature_ctes(scans=False)} SELECT symbol, time, {shown('volume_sum_20', 'vol_sum')}, "
         f"{shown('flow_sum_20', 'flow_sum')}, {shown('price_up')} FROM x6")
     sql["ewm_adjusted"] = _ewm()
+    sql["ema_gappy"] = _ema_gappy()
+    sql["atr_gappy"] = _atr_gappy()
 
     sql["stacked_logit"] = f"{scored_ctes()} SELECT symbol, time, " + ", ".join(shown(c) for c in (
         "zero_pred_1", "one_pred_1", "buy_p0", "buy_p1", "sell_p0", "sell_p1")) + " FROM s"

@@ -70,6 +70,40 @@ def exclusive_prefix(
         *[f"coalesce({c}, _top_{c}) AS {c}" for c in lasts])
 
 
+# Affine maps that one task composes, and how often groups of them are composed again: three
+# levels reach 256^3 chunks of a series.
+AFFINE_FAN, AFFINE_LEVELS = 256, 3
+
+
+def exclusive_affine(
+    blocks: DataFrame, order: str, fan: int = AFFINE_FAN, levels: int = AFFINE_LEVELS,
+) -> DataFrame:
+    """Per block: the maps ``s -> a * s + b`` of all earlier blocks, composed in order.
+
+    ``blocks`` has columns ``symbol``, ``scan``, ``order``, ``a`` and ``b``. Maps are composed one
+    after another, never divided by a running product, so that factors of any size, also 0, keep
+    their precision. A task folds ``fan`` maps of a group; group totals are composed the same way,
+    level by level. ``blocks`` is read at every level: pass a written table.
+    """
+    keys = ["symbol", "scan"]
+    grouped = blocks.select(*keys, F.col(order).alias("_at"), "a", "b").groupBy(
+        *keys, F.floor(F.col("_at") / fan).alias("_group")).agg(
+        F.array_sort(F.collect_list(F.struct("_at", "a", "b"))).alias("_maps"))
+    folded = grouped.selectExpr(*keys, "_group", """aggregate(_maps,
+        named_struct('a', 1D, 'b', 0D, 'out', cast(array() AS array<struct<_at: bigint, a: double, b: double>>)),
+        (s, x) -> named_struct('a', s.a * x.a, 'b', x.a * s.b + x.b,
+            'out', concat(s.out, array(named_struct('_at', x._at, 'a', s.a, 'b', s.b))))) AS _fold""")
+    inside = folded.select(*keys, "_group", F.inline("_fold.out"))
+    if levels == 1:
+        return inside.drop("_group").withColumnRenamed("_at", order)
+    totals = folded.select(*keys, "_group", "_fold.a", "_fold.b")
+    above = exclusive_affine(totals, "_group", fan, levels - 1).select(
+        *keys, "_group", F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return inside.join(above, [*keys, "_group"]).select(
+        *keys, F.col("_at").alias(order), (F.col("_a") * F.col("a")).alias("a"),
+        (F.col("a") * F.col("_b") + F.col("b")).alias("b"))
+
+
 @dataclass(frozen=True)
 class Series:
     """Bars with their position ``_i``, and the tasks to spread their chunks over."""

@@ -26,6 +26,7 @@ class Feature:
     back: int = 0                # rows before the current one that the window reads
     ahead: int = 0               # rows after it
     ratio: float | None = None   # of a scan
+    scans: str = "decay"         # the kind of a scan
 
 
 def row(name: str, needs: str, sql: str) -> Feature:
@@ -40,6 +41,15 @@ def scan(name: str, u: str, ratio: float) -> Feature:
     return Feature(name, (u,), kind="scan", ratio=ratio)
 
 
+def affine(name: str, u: str, r: str, ratio: float) -> Feature:
+    """A scan whose ratio differs by row; ``ratio`` bounds its products, see ``Scan``."""
+    return Feature(name, (u, r), kind="scan", ratio=ratio, scans="affine")
+
+
+def last_known(name: str, u: str) -> Feature:
+    return Feature(name, (u,), kind="scan", ratio=1.0, scans="last")
+
+
 # --- shared intermediates --------------------------------------------------------------------
 
 def shared() -> list[Feature]:
@@ -73,6 +83,29 @@ def ema(span: int, name: str | None = None, source: str = "close") -> list[Featu
     ]
 
 
+def ema_over_gaps(span: int, name: str | None = None, source: str = "close") -> list[Feature]:
+    """Exponential mean started at the first known value, as pandas gives it over missing ones: a
+    gap of n rows weighs what came before by the decay of n + 1 rows and renormalises; on a missing
+    row the mean stays."""
+    name = name or f"ema_{span}"
+    ratio = 1.0 - 2.0 / (span + 1)
+    weight = f"pow({num(ratio)}, _i - _was_{source})"
+    return [
+        row(f"_at_{source}", f"{source} _i", f"CASE WHEN {source} IS NOT NULL THEN _i END"),
+        last_known(f"_seen_{source}", f"_at_{source}"),
+        win(f"_was_{source}", f"_seen_{source}", R.previous(f"_seen_{source}"), 1),
+        row(f"_w_{name}", f"_was_{source} _i", weight),
+        row(f"_r_{name}", f"{source} _was_{source} _w_{name}",
+            f"CASE WHEN {source} IS NULL THEN 1D WHEN _was_{source} IS NULL THEN 0D "
+            f"ELSE _w_{name} / (_w_{name} + {num(1.0 - ratio)}) END"),
+        row(f"_u_{name}", f"{source} _was_{source} _w_{name}",
+            f"CASE WHEN {source} IS NULL THEN 0D WHEN _was_{source} IS NULL THEN double({source}) "
+            f"ELSE {source} * {num(1.0 - ratio)} / (_w_{name} + {num(1.0 - ratio)}) END"),
+        affine(f"_s_{name}", f"_u_{name}", f"_r_{name}", ratio),
+        row(name, f"_s_{name} _seen_{source}", f"CASE WHEN _seen_{source} IS NOT NULL THEN _s_{name} END"),
+    ]
+
+
 def ewm_adjusted(name: str, source: str, period: int) -> list[Feature]:
     """Exponential mean with alpha = 1/period, weights renormalised over the known values."""
     ratio = 1.0 - 1.0 / period
@@ -129,11 +162,23 @@ def cci(period: int = 20) -> list[Feature]:
     ]
 
 
-def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> list[Feature]:
+def _signal_from_first(span: int) -> list[Feature]:
+    """The signal line where the first rows have no MACD yet; after those none is missing."""
+    alpha = 2.0 / (span + 1)
     return [
-        *ema(fast, "_ema_fast"), *ema(slow, "_ema_slow"),
+        row("_u_macd_signal", "macd _prev_macd", "CASE WHEN macd IS NULL THEN 0D WHEN _prev_macd IS "
+            f"NULL THEN macd ELSE macd * {num(alpha)} END"),
+        scan("_s_macd_signal", "_u_macd_signal", 1.0 - alpha),
+        row("macd_signal", "_s_macd_signal macd", "CASE WHEN macd IS NOT NULL THEN _s_macd_signal END"),
+    ]
+
+
+def macd(fast: int = 12, slow: int = 26, signal: int = 9, gaps: bool = False) -> list[Feature]:
+    mean = ema_over_gaps if gaps else ema
+    return [
+        *mean(fast, "_ema_fast"), *mean(slow, "_ema_slow"),
         row("macd", "_ema_fast _ema_slow", "_ema_fast - _ema_slow"),
-        *ema(signal, "macd_signal", "macd"),
+        *(_signal_from_first(signal) if gaps else ema(signal, "macd_signal", "macd")),
         row("macd_histogram", "macd macd_signal", "macd - macd_signal"),
         win("_prev_histogram", "macd_histogram", R.previous("macd_histogram"), 1),
         row("macd_histogram_slope", "macd_histogram _prev_histogram",
@@ -212,6 +257,23 @@ def average_true_range(period: int = 14) -> list[Feature]:
     ]
 
 
+def true_range_over_gaps(period: int = 14) -> list[Feature]:
+    """The same with ranges missing: the start is the mean of the known ones among the first
+    ``period``; one missing later leaves everything after it unknown."""
+    known = (f"CASE WHEN _i < {period - 1} THEN 0D WHEN _i = {period - 1} THEN _atr_start "
+             f"ELSE true_range / {period} END")
+    return [
+        win("atr_sma", "true_range", R.mean("true_range", period), period - 1),
+        win("_atr_start", "true_range", R.known_mean("true_range", period), period - 1),
+        row("_v_atr", "true_range _atr_start _i", known),
+        row("_u_atr", "_v_atr", "coalesce(_v_atr, 0D)"),
+        row("_lost_atr", "_v_atr", "CASE WHEN _v_atr IS NULL THEN 1D ELSE 0D END"),
+        scan("_s_atr", "_u_atr", 1.0 - 1.0 / period),
+        scan("_gone_atr", "_lost_atr", 1.0),
+        row("atr", "_s_atr _gone_atr", "CASE WHEN _gone_atr = 0 THEN _s_atr END"),
+    ]
+
+
 def fib_levels(period: int = 100) -> list[Feature]:
     """Retracements of the range of the ``period`` bars before the current one."""
     return [
@@ -475,13 +537,15 @@ COLUMNS = (
 )
 
 
-def registry() -> dict[str, Feature]:
-    """All features with their default periods, by name."""
+def registry(gaps: bool = False) -> dict[str, Feature]:
+    """All features with their default periods, by name; ``gaps``: for bars with missing prices."""
+    mean = ema_over_gaps if gaps else ema
+    wilder = true_range_over_gaps if gaps else average_true_range
     families = [
         shared(), date_parts(), moving_average(10), moving_average(20), moving_average(50),
-        ema(10), ema(20), ema(50), ema(12), ema(26), rsi(), bollinger(), momentum(),
-        stochastic(), lagged(), price_change(), deviations(), average_true_range(),
-        williams_r(), fib_levels(), macd(), on_balance_volume(), cci(), adx(), ichimoku(),
+        mean(10), mean(20), mean(50), mean(12), mean(26), rsi(), bollinger(), momentum(),
+        stochastic(), lagged(), price_change(), deviations(), wilder(),
+        williams_r(), fib_levels(), macd(gaps=gaps), on_balance_volume(), cci(), adx(), ichimoku(),
         pivot_points(), volume_ratio(), up_counts(), heikin_ashi(), volume_oscillator(),
         money_flow(), keltner(), candle_shape(), spread_stats(), price_impact(),
         support_resistance(), trend(), risk_reward(), price_cluster(), order_flow(),

@@ -35,6 +35,11 @@ def mean(x: str, n: int) -> str:
     return gated(f"avg({x})", x, n)
 
 
+def known_mean(x: str, n: int) -> str:
+    """The mean of what is known among the last ``n`` rows, however little."""
+    return call(f"avg({x})", frame(n))
+
+
 def std(x: str, n: int) -> str:
     """Sample deviation."""
     return gated(f"stddev_samp({x})", x, n)

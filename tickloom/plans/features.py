@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tickloom.operators import indicators as I
 from tickloom.operators.blocks import CHUNK_ROWS, Series, index_rows, own, spread
 from tickloom.operators.fill import fill
-from tickloom.operators.scan import Scan, carry_table, local_value, safe_chunk_rows, with_carry
+from tickloom.operators.scan import (
+    Scan, affine_levels, carry_table, local_value, product, safe_chunk_rows, with_carry,
+)
 from tickloom.session import materialise
 
 VIEWS = ("history", "as_of", "causal", "raw")
@@ -51,7 +53,8 @@ class FeaturePlan:
                  for f in (*stage.windows, *[f for rows in stage.rows for f in rows])
                  for n in f.needs}
         return later | {s.u for p in range(phase + 1, len(self.phases)) for s in self.scans(p)
-                        } | set(self.outputs)
+                        } | {s.r for p in range(phase + 1, len(self.phases)) for s in self.scans(p)
+                             if s.r} | set(self.outputs)
 
     @property
     def all_scans(self) -> list[Scan]:
@@ -106,7 +109,7 @@ def plan_features(
             deepest = max((depth[f.name] for f in rows), default=0)
             stages.append(Stage(
                 tuple(f for f in order if f.kind == "win" and computed[f.name] == here),
-                tuple(Scan(f.name, f.needs[0], f.ratio) for f in order
+                tuple(Scan(f.name, f.needs[0], f.ratio, f.scans, *f.needs[1:]) for f in order
                       if f.kind == "scan" and computed[f.name] == here),
                 tuple(tuple(f for f in rows if depth[f.name] == d)
                       for d in range(1, deepest + 1)),
@@ -144,16 +147,23 @@ def run_plan(
     always = {*I.BASE, "_i", "_c", "_j", *extra}
     for number, stages in enumerate(plan.phases):
         for stage in stages:
-            running = [f"{local_value(s, size)} AS {s.name}" for s in stage.scans]
+            affine = [s for s in stage.scans if s.kind == "affine"]
+            plain = [s for s in stage.scans if s.kind != "affine"]
+            running = [f"{local_value(s, size)} AS {s.name}" for s in plain]
             calls, texts = shared_calls(stage.windows)
             if calls or running:
-                kept = [*frame.columns, *[s.name for s in stage.scans]]
+                kept = [*frame.columns, *[s.name for s in plain]]
                 frame = frame.selectExpr("*", *calls, *running).selectExpr(*kept, *texts)
+            if affine:
+                kept = [*frame.columns, *[c for s in affine for c in (s.name, product(s.name))]]
+                for level in zip(*[affine_levels(s, size) for s in affine]):
+                    frame = frame.selectExpr("*", *[text for texts in level for text in texts])
+                frame = frame.select(*kept)
             for rows in stage.rows:
                 frame = frame.selectExpr("*", *[f"{f.sql} AS {f.name}" for f in rows])
         scans = plan.scans(number)
         if scans:
-            names = {s.name for s in scans}
+            names = {s.name for s in scans} | {product(s.name) for s in scans if s.kind == "affine"}
             wanted = always | names | plan.read_after(number)
             near = materialise(
                 frame.filter((F.col("_j") >= -1) & (F.col("_j") < size)).select(
@@ -165,11 +175,11 @@ def run_plan(
 
 
 def registry_for(
-    view: str, families: Iterable[Sequence[I.Feature]] | None = None,
+    view: str, families: Iterable[Sequence[I.Feature]] | None = None, gaps: bool = False,
 ) -> dict[str, I.Feature]:
     """Features by name, default periods or ``families``, with the view's lagging span."""
     if families is None:
-        found = I.registry()
+        found = I.registry(gaps)
     else:
         found = {f.name: f for family in (I.shared(), *families) for f in family}
     if view == "as_of":
@@ -185,20 +195,22 @@ def feature_table(
     families: Iterable[Sequence[I.Feature]] | None = None,
     chunk_rows: int = CHUNK_ROWS,
     bar_seconds: int = 3600,
+    gaps: bool = False,
 ) -> DataFrame:
     """Bars plus the requested indicator columns (all of them by default).
 
     ``view``: ``history`` fills gaps forward then backward and keeps the look-ahead lagging span;
     ``as_of`` gives every row the values it has when the history ends there; ``causal`` fills
     forward only and leaves the lagging span out; ``raw`` does not fill. ``families`` replaces the
-    default periods.
+    default periods. ``gaps`` says that prices may be missing: exponential means then renormalise
+    after a gap and Wilder's range starts from the known ranges (more phases, so more passes).
     """
     if view not in VIEWS:
         raise ValueError(f"view must be one of {VIEWS}")
     wanted = list(columns) if columns is not None else list(I.COLUMNS)
     if view == "causal":
         wanted = [x for x in wanted if x != "ichimoku_lagging"]
-    registry = registry_for(view, families)
+    registry = registry_for(view, families, gaps)
     plan = plan_features(wanted, registry)
     scans = plan.all_scans
     size = safe_chunk_rows([s.ratio for s in scans], chunk_rows)

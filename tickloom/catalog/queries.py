@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from tickloom.plans.presets import (
 )
 from tickloom.session import materialise, work_path
 from tickloom.sources import bars as B
+from tickloom.sources.barstore import BarStore
 from tickloom.sources import logs as L
 from tickloom.streaming import bars as SB
 from tickloom.streaming import features as SF
@@ -295,6 +297,28 @@ def append_dedup_last(spark, sf_dir):
     return shown(B.append_bars(bars, late))
 
 
+def _filled_store(spark, sf_dir) -> BarStore:
+    """Bars appended in two parts, a write that failed before it was published, corrections."""
+    store = BarStore(spark, _folder(spark, "bar-store"))
+    bars = event_bars(spark, sf_dir)
+    cut = F.lit("2024-01-12 06:00:00").cast("timestamp_ntz")
+    fixed = bars.filter(F.col("tick_volume") % 2 == 0).withColumn("close", F.col("close") + 1)
+    store.append(bars.filter(F.col("time") < cut))
+    store.append(bars.filter(~F.coalesce(F.col("time") < cut, F.lit(False))))
+    store.append(bars.withColumn("close", F.lit(0.0)), publish=False)
+    store.append(fixed)
+    store.vacuum()
+    return store
+
+
+def bar_store(spark, sf_dir):
+    return shown(_filled_store(spark, sf_dir).read())
+
+
+def bar_store_days(spark, sf_dir):
+    return shown(_filled_store(spark, sf_dir).read(date(2024, 1, 10), date(2024, 1, 13)))
+
+
 # --- scalar ----------------------------------------------------------------------------------
 
 def safe_division(spark, sf_dir):
@@ -817,7 +841,7 @@ def queries() -> dict[str, Query]:
     found["fill_backward"] = fill_query(True)
     for fn in (
         scan_bars, build_bars_hourly, build_bars_daily, epoch_to_ts, filter_since, features_as_of,
-        append_dedup_last, snapshot_roundtrip, safe_division, tz_projection, rolling_sums,
+        append_dedup_last, snapshot_roundtrip, bar_store, bar_store_days, safe_division, tz_projection, rolling_sums,
         ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
         rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
         decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,

@@ -286,6 +286,9 @@ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED
                                    _cut("time <= TIMESTAMP '2024-01-20 12:00:00'"))
     sql["append_dedup_last"] = _bars().replace(
         'CAST("close" AS DOUBLE)', "(CASE WHEN tick_volume % 2 = 0 THEN close + 1 ELSE close END)")
+    sql["bar_store"] = sql["append_dedup_last"]
+    sql["bar_store_days"] = (f"SELECT * FROM ({sql['bar_store']}) "
+                             "WHERE time >= DATE '2024-01-10' AND time < DATE '2024-01-14'")
     sql["safe_division"] = (
         f"WITH {EVENT_BARS} SELECT symbol, time, {shown('body_share', div('close - open', 'high - low'))}, "
         f"{shown('close_per_extra', div('close', 'tick_volume - 1'))} FROM bars")

@@ -48,6 +48,43 @@ def test_a_repeated_batch_changes_nothing(spark, make_bars, tmp_path):
     assert rows[0] == rows[1] and SF.load_state(spark, folder, before=3) is None
 
 
+def test_a_batch_writes_the_buckets_of_its_symbols(spark, make_bars, tmp_path):
+    folder, out, feed = (str(tmp_path / x) for x in ("work", "out", "feed"))
+    bars = make_bars({s: closes(40) for s in "ABCDEF"}).cache()
+    features = SF.FeatureStream(["ema_20"])
+    for part in (bars.filter("hour(time) < 12"), bars.filter("hour(time) >= 12 AND symbol = 'C'")):
+        part.write.mode("append").parquet(feed)
+        source = spark.readStream.schema(bars.schema).parquet(feed)
+        SF.start(source, features, folder, out).awaitTermination()
+    table = SF._states(spark, f"{folder}/state")
+    old, new = (table.manifest(v) for v in table.versions())
+    own = spark.createDataFrame([("C",)], "symbol string").select(SF.bucket()).first()[0]
+    assert {k for k in new if new[k] != old[k]} == {f"tail/{own}", f"known/{own}"}
+    state = SF.load_state(spark, f"{folder}/state", 99)
+    assert {r["symbol"]: r["_next"] for r in state.known.collect()} == {
+        s: 40 if s == "C" else 24 for s in "ABCDEF"}
+    # a writer that dies before it publishes leaves the state as it was
+    table.commit({"tail": state.tail.withColumn("bucket", SF.bucket()),
+                  "known": state.known.limit(0).withColumn("bucket", SF.bucket())},
+                 "bucket", range(SF.BUCKETS), table.versions()[-1], 50, publish=False)
+    assert SF.load_state(spark, f"{folder}/state", 99).known.count() == 6
+
+
+def test_a_batch_leaves_no_intermediates(spark, make_bars, tmp_path, monkeypatch):
+    from tickloom import session
+    written = []
+    path = session.work_path
+    monkeypatch.setattr(session, "work_path", lambda s, n: written.append(path(s, n)) or written[-1])
+    bars = make_bars({"A": closes(40)})
+    feed = str(tmp_path / "feed")
+    bars.write.parquet(feed)
+    SF.start(spark.readStream.schema(bars.schema).parquet(feed), SF.FeatureStream(["ema_20"]),
+             str(tmp_path / "work"), str(tmp_path / "out")).awaitTermination()
+    assert written
+    import os
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in written)
+
+
 def test_late_repeated_and_corrected_bars(spark, make_bars):
     bars = make_bars({"A": closes(60), "B": closes(30)}).cache()
     hour = "hour(time) + 24 * (dayofyear(time) - 1)"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +52,24 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tickloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates written inside are deleted at the end: for work whose result is stored by then,
+    like a micro-batch. Scopes of a thread may be nested; each deletes its own."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for written in scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -58,5 +79,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, label)
+    for scope in getattr(_open, "scopes", [])[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.schema import BAR
-from tickloom.session import materialise
+from tickloom.session import materialise, scratch
 from tickloom.sources.bars import append_bars
 from tickloom.sources.versioned import Conflict, VersionedTable
 
@@ -29,7 +29,10 @@ class BarStore:
         """Adds or corrects bars; returns the version. ``new`` may carry ``arrival``, see
         ``append_bars``. Days are few (a manifest holds one line a day); a writer that comes second
         merges again with what the first one wrote. Nothing to add: nothing is published."""
-        new = materialise(with_day(new), "bars-new")
+        with scratch(new.sparkSession):
+            return self._append(materialise(with_day(new), "bars-new"), tries, publish)
+
+    def _append(self, new: DataFrame, tries: int, publish: bool) -> int:
         days = [r["day"] for r in new.select("day").distinct().collect()]
         for left in reversed(range(tries)):
             base = max(self.table.versions(), default=None)

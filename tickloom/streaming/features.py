@@ -2,9 +2,11 @@
 
 State per symbol: the last rows the frames can reach, the value of every running recursion and the
 last known value of every column. A micro-batch is planned exactly like a batch whose chunk 0
-starts after the state: the kept rows are its halo, the recursions and fills its carry. Each batch
-writes its state under its own id and starts from the newest earlier one, so a repeated batch
-gives the same result.
+starts after the state: the kept rows are its halo, the recursions and fills its carry. The state
+lies in buckets of symbols; a batch reads and writes the buckets of its own symbols, and publishes
+them under its id in one manifest with the others as they were. It starts from the newest earlier
+manifest, so a repeated batch gives the same result. What a batch writes on the way is deleted
+when its result and state are stored.
 
 A bar that has been seen already is dropped. A late or corrected bar changes every later row of
 its symbol: those symbols are planned anew from the stored bars, and their rows from the first
@@ -27,8 +29,9 @@ from tickloom.operators.fill import fill
 from tickloom.operators.scan import safe_chunk_rows
 from tickloom.plans.features import FeaturePlan, plan_features, registry_for, run_plan
 from tickloom.schema import BAR
-from tickloom.session import materialise
+from tickloom.session import materialise, scratch
 from tickloom.sources.bars import append_bars
+from tickloom.sources.versioned import VersionedTable
 
 
 @dataclass(frozen=True)
@@ -126,36 +129,43 @@ class FeatureStream:
             last.unionByName(state.known.join(ends, "symbol", "left_anti")))
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Complete state versions, by batch id."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath() for s in fs.listStatus(path)]
-    return [int(p.getName()) for p in done
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "known/_SUCCESS"))]
+BUCKETS = 64         # of symbols; a batch writes those of its own symbols
 
 
-def load_state(spark: SparkSession, folder: str, before: int) -> State | None:
-    """Newest state written by a batch earlier than ``before``."""
-    earlier = [v for v in _versions(spark, folder) if v < before]
-    if not earlier:
-        return None
-    base = f"{folder}/{max(earlier)}"
-    return State(spark.read.parquet(f"{base}/tail"), spark.read.parquet(f"{base}/known"))
+def bucket(symbol: str = "symbol"):
+    return F.pmod(F.xxhash64(symbol), F.lit(BUCKETS))
+
 
+def _states(spark: SparkSession, folder: str) -> VersionedTable:
+    return VersionedTable(spark, folder, {"tail": None, "known": None})
 
-def save_state(state: State, folder: str, batch: int) -> None:
-    """Write the state of a batch and drop those that no repeated batch can ask for."""
-    state.tail.write.mode("overwrite").parquet(f"{folder}/{batch}/tail")
-    state.known.write.mode("overwrite").parquet(f"{folder}/{batch}/known")
-    spark = state.known.sparkSession
-    jvm, earlier = spark.sparkContext._jvm, sorted(v for v in _versions(spark, folder) if v < batch)
-    for version in earlier[:-1]:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def load_state(
+    spark: SparkSession, folder: str, before: int, buckets: Sequence[int] | None = None,
+) -> State | None:
+    """Newest state written by a batch earlier than ``before``, of some buckets or all."""
+    table = _states(spark, folder)
+    version = max((v for v in table.versions() if v < before), default=None)
+    if version is None:
+        return None
+    return State(*(table.read(name, buckets, version) for name in ("tail", "known")))
+
+
+def save_state(
+    state: State, folder: str, batch: int, buckets: Sequence[int] | None = None,
+) -> None:
+    """Publish the state of a batch: its ``buckets`` (all by default) anew, the others as the newest
+    earlier batch left them. Only what a repeated batch can ask for is kept. A batch whose state is
+    there already has been here before."""
+    table = _states(state.known.sparkSession, folder)
+    versions = table.versions()
+    if batch not in versions:
+        base = max((v for v in versions if v < batch), default=None)
+        chosen = list(range(BUCKETS)) if buckets is None else list(buckets)
+        table.commit({name: df.withColumn("bucket", bucket()).filter(F.col("bucket").isin(chosen))
+                      for name, df in (("tail", state.tail), ("known", state.known))},
+                     "bucket", chosen, base, batch)
+    table.vacuum(2)
 
 
 def latest_rows(rows: DataFrame) -> DataFrame:
@@ -181,14 +191,16 @@ def start(
         batch.select(*BAR.fieldNames()).write.mode("overwrite").parquet(
             f"{folder}/bars/arrival={batch_id}")
         arrived = spark.read.schema(BAR).parquet(f"{folder}/bars/arrival={batch_id}")
-        before = load_state(spark, f"{folder}/state", batch_id)
+        buckets = [r[0] for r in arrived.select(bucket()).distinct().collect()]
+        before = load_state(spark, f"{folder}/state", batch_id, buckets)
         stored = None if before is None else spark.read.schema(
             T.StructType([*BAR.fields, T.StructField("arrival", T.LongType())])).parquet(
             f"{folder}/bars").filter(F.col("arrival") < batch_id)
-        rows, state = features.follow(arrived, stored, before)
-        result = then(rows) if then else rows
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        save_state(state, f"{folder}/state", batch_id)
+        with scratch(spark):
+            rows, state = features.follow(arrived, stored, before)
+            result = then(rows) if then else rows
+            result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            save_state(state, f"{folder}/state", batch_id, buckets)
 
     return bars.writeStream.foreachBatch(one).option(
         "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

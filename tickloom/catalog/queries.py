@@ -21,6 +21,7 @@ from tickloom.operators.fill import fill, fill_backward
 from tickloom.operators.indicators import COLUMNS, row, win
 from tickloom.plans import decision as P
 from tickloom.plans.features import feature_table
+from tickloom.plans.restart import FeatureIndex
 from tickloom.plans.presets import (
     EURUSD_BUY, EURUSD_SELL, Rule, StrategyConfig, rules_frame,
 )
@@ -319,6 +320,20 @@ def bar_store_days(spark, sf_dir):
     return shown(_filled_store(spark, sf_dir).read(date(2024, 1, 10), date(2024, 1, 13)))
 
 
+RESTART_COLUMNS = ("rsi", "ema_50", "adx", "obv", "macd_histogram_slope", "cmf")
+
+
+def features_restart(spark, sf_dir):
+    """Every order asks for the features of its priority's daily bars as of a day and a half later;
+    answers start from the mark before their chunk."""
+    index = FeatureIndex(spark, _folder(spark, "feature-index"), RESTART_COLUMNS, 256, 86400)
+    index.build(order_bars(spark, sf_dir))
+    requests = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("symbol"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 36 HOURS")).alias("to_time"))
+    return shown(index.answers(requests), ORDER_RUNNING_DIGITS)
+
+
 # --- scalar ----------------------------------------------------------------------------------
 
 def safe_division(spark, sf_dir):
@@ -841,7 +856,7 @@ def queries() -> dict[str, Query]:
     found["fill_backward"] = fill_query(True)
     for fn in (
         scan_bars, build_bars_hourly, build_bars_daily, epoch_to_ts, filter_since, features_as_of,
-        append_dedup_last, snapshot_roundtrip, bar_store, bar_store_days, safe_division, tz_projection, rolling_sums,
+        append_dedup_last, snapshot_roundtrip, bar_store, bar_store_days, features_restart, safe_division, tz_projection, rolling_sums,
         ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
         rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
         decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,

@@ -289,6 +289,11 @@ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED
     sql["bar_store"] = sql["append_dedup_last"]
     sql["bar_store_days"] = (f"SELECT * FROM ({sql['bar_store']}) "
                              "WHERE time >= DATE '2024-01-10' AND time < DATE '2024-01-14'")
+    known = filled(Q.RESTART_COLUMNS, ORDER_BARS, False, Q.ORDER_RUNNING_DIGITS)
+    sql["features_restart"] = f"""WITH q AS (SELECT o_orderkey AS request_id, o_orderpriority AS symbol,
+CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS to_time FROM orders)
+SELECT request_id, q.symbol, to_time, a.time AS bar_time, {', '.join(f'a."{c}"' for c in Q.RESTART_COLUMNS)}
+FROM q ASOF LEFT JOIN ({known}) a ON q.symbol = a.symbol AND q.to_time >= a.time"""
     sql["safe_division"] = (
         f"WITH {EVENT_BARS} SELECT symbol, time, {shown('body_share', div('close - open', 'high - low'))}, "
         f"{shown('close_per_extra', div('close', 'tick_volume - 1'))} FROM bars")

@@ -74,13 +74,23 @@ class FeatureStream:
             frame = frame.unionByName(old)
         frame = materialise(frame, "stream-index")
         continued = Series(frame, self.chunk_rows, series.tasks)
-        seed = state.known if state else None
-        raw = run_plan(continued, self.plan, "_o", seed)
-        scans = [F.col(s).alias(f"_scan_{s}") for s in self.scans]
-        raw = raw.select(*raw.columns, *scans)
-        filled = materialise(fill(raw, self.columns, False, seed), "stream-rows")
+        filled = materialise(self.rows(continued, state.known if state else None), "stream-rows")
         return filled.select(*I.BASE, *self.columns), self._after(frame, filled, state)
 
+    def rows(self, series: Series, seed: DataFrame | None) -> DataFrame:
+        """Features of the rows from ``_o`` on, filled; ``seed`` is what is known before it."""
+        raw = run_plan(series, self.plan, "_o", seed)
+        scans = [F.col(s).alias(f"_scan_{s}") for s in self.scans]
+        return fill(raw.select(*raw.columns, *scans), self.columns, False, seed)
+
+    def last_rows(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """What is known after the last row of each group."""
+        values = [x for x in self.columns if x not in self.scans]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(
+            (F.col("_i") + 1).alias("_next"), F.col("time").alias("_at"), *values,
+            *[F.col(f"_scan_{s}").alias(s) for s in self.scans]), "_i").alias("_s"),
+        ).select(*keys, "_s.*")
+
     def follow(
         self, arrived: DataFrame, stored: DataFrame | None, state: State | None,
     ) -> tuple[DataFrame, State]:
@@ -114,11 +124,7 @@ class FeatureStream:
             kept.known.unionByName(redone.known.select(*kept.known.columns)))
 
     def _after(self, frame: DataFrame, rows: DataFrame, state: State | None) -> State:
-        values = [x for x in self.columns if x not in self.scans]
-        last = rows.groupBy("symbol").agg(F.max_by(F.struct(
-            (F.col("_i") + 1).alias("_next"), F.col("time").alias("_at"), *values,
-            *[F.col(f"_scan_{s}").alias(s) for s in self.scans]), "_i").alias("_s"),
-        ).select("symbol", "_s.*")
+        last = self.last_rows(rows, "symbol")
         ends = last.select("symbol", F.col("_next").alias("_end"))
         tail = frame.drop("_o").join(ends, "symbol").filter(
             F.col("_i") >= F.col("_end") - self.plan.back).drop("_end")

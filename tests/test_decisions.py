@@ -211,3 +211,24 @@ def test_bars_order_ticks_by_time_then_number(spark):
     assert (first["high"], first["low"], second["open"]) == (4.0, 1.0, 5.0)
     plan = B.build_bars(ticks)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_bitmap_votes_equal_the_joined_ones(spark, monkeypatch):
+    import random
+
+    from tickloom.operators import rules as G
+    monkeypatch.setattr(G, "BOOK", 7)
+    monkeypatch.setattr(G, "BARS", 3)
+    rng = random.Random(9)
+    values = [None, 0.0, 1.0, 1.5, 2.0, 3.0, -4.0]
+    bars = [(s, dt.datetime(2024, 1, 1, h), rng.choice(values), rng.choice(values), h % 3)
+            for s in "AB" for h in range(20)]
+    features = spark.createDataFrame(bars, "symbol string, time timestamp_ntz, x double, y double, z int")
+    rows = [(f"s{rng.randrange(6)}", rng.choice(["buy", "sell"]), rng.choice("xyz"),
+             rng.choice(values), rng.choice(values), 1, 0.5) for _ in range(60)]
+    rules = spark.createDataFrame(rows, "strategy string, side string, feature string, lo double, "
+                                        "hi double, min_votes long, threshold double")
+    got, want = (sorted(map(tuple, f(features, rules).collect()))
+                 for f in (G.rule_votes_bitmaps, G.rule_votes_long))
+    assert got == want and len(got) == 40 * len({r[:2] for r in rows})
+    assert G.rule_votes_bitmaps(features, rules.limit(0)).count() == 0

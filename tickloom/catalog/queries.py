@@ -402,6 +402,38 @@ def rule_votes_long(spark, sf_dir):
     return G.rule_votes_long(_rule_features(spark, sf_dir), rules_frame(spark, BUY, SELL))
 
 
+MANY_FEATURES = ("rsi", "obv", "cmf", "volume_ratio", "z_score")
+#: feature, lower bound, upper bound and the parts that have such a rule, as SQL over part.
+MANY_RULES = (
+    ("rsi", "p_size + 10", "p_size + 60", "true"),
+    ("obv", "CAST(NULL AS DOUBLE)", "(p_partkey % 37) * 20 - 300", "p_partkey % 3 <> 0"),
+    ("cmf", "(p_partkey % 19) / 19.0 - 0.5", "CAST(NULL AS DOUBLE)", "p_size % 5 <> 1"),
+    ("volume_ratio", "(p_partkey % 11) / 10.0", "(p_partkey % 11) / 10.0 + 1", "p_size > 9"),
+    ("z_score", "-2 + p_size / 20.0", "0.5 + p_size / 20.0", "p_partkey % 2 = 0"))
+
+
+def many_rules(spark, sf_dir) -> DataFrame:
+    """Rules of as many strategies as there are parts."""
+    part = table(spark, sf_dir, "part")
+    out = None
+    for feature, lo, hi, where in MANY_RULES:
+        one = part.filter(where).selectExpr(
+            "concat('s', p_partkey) AS strategy",
+            "CASE WHEN p_size % 2 = 0 THEN 'buy' ELSE 'sell' END AS side", f"'{feature}' AS feature",
+            f"double({lo}) AS lo", f"double({hi}) AS hi")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rule_votes_many(spark, sf_dir):
+    """Votes of thousands of strategies on every bar, summed up by strategy."""
+    features = feature_table(event_bars(spark, sf_dir), list(MANY_FEATURES), "history")
+    found = G.rule_votes_bitmaps(features, many_rules(spark, sf_dir))
+    return found.groupBy("strategy", "side").agg(
+        F.count(F.lit(1)).alias("bars"), F.sum("votes").alias("votes"), F.max("votes").alias("most"),
+        F.count_if(F.col("votes") >= 2).alias("strong"))
+
+
 def rule_verdict_long(spark, sf_dir):
     features = feature_table(event_bars(spark, sf_dir),
                              P.needed_features(BUY, SELL, extra=SCORED_ON), "history")
@@ -857,7 +889,7 @@ def queries() -> dict[str, Query]:
     for fn in (
         scan_bars, build_bars_hourly, build_bars_daily, epoch_to_ts, filter_since, features_as_of,
         append_dedup_last, snapshot_roundtrip, bar_store, bar_store_days, features_restart, safe_division, tz_projection, rolling_sums,
-        ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long,
+        ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long, rule_votes_many,
         rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
         decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,
         model_checks, model_decisions,

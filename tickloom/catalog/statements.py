@@ -143,6 +143,24 @@ FINAL = """CASE confir_buy || '/' || confir_sell
         ELSE 'do_nothing' END"""
 
 
+def _votes_many() -> str:
+    """Every rule of every bar, one after another."""
+    value = "CASE r.feature " + " ".join(f"WHEN '{c}' THEN f.\"{c}\"" for c in Q.MANY_FEATURES) + " END"
+    return f"""{feature_ctes()},
+filled AS (SELECT symbol, time, {', '.join(_fill_sql('"' + c + '"', True) + f' AS "{c}"' for c in Q.MANY_FEATURES)} FROM f),
+rules AS ({' UNION ALL '.join(
+    f"""SELECT 's' || p_partkey AS strategy, CASE WHEN p_size % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+    '{c}' AS feature, {lo} AS lo, {hi} AS hi FROM part WHERE {where}"""
+    for c, lo, hi, where in Q.MANY_RULES)}),
+votes AS (SELECT f.symbol, f.time, strategy, side, sum(CASE WHEN v IS NOT NULL AND (lo IS NULL OR v >= lo)
+    AND (hi IS NULL OR v <= hi) THEN 1 ELSE 0 END) AS votes
+  FROM (SELECT f.symbol, f.time, r.strategy, r.side, r.lo, r.hi, {value} AS v FROM filled f, rules r) f
+  GROUP BY ALL)
+SELECT strategy, side, CAST(count(*) AS BIGINT) AS bars, CAST(sum(votes) AS BIGINT) AS votes,
+       CAST(max(votes) AS BIGINT) AS most, CAST(count_if(votes >= 2) AS BIGINT) AS strong
+FROM votes GROUP BY ALL"""
+
+
 def _side_votes(side: str, config) -> str:
     """The side's case with its own rules in place of the common vote column."""
     return _confir(side, config).replace(f"{side}_votes", f"({_votes(config)})")
@@ -318,6 +336,7 @@ FROM q ASOF LEFT JOIN ({known}) a ON q.symbol = a.symbol AND q.to_time >= a.time
     sql["daily_final_decision"] = (
         f"{decided_ctes(ORDER_BARS)} SELECT symbol, datetime, {P_SHOWN}, confir_buy, confir_sell, "
         "final_decision, currency_pair FROM d")
+    sql["rule_votes_many"] = _votes_many()
     sql["rule_verdict_long"] = f"{scored_ctes()} " + " UNION ALL ".join(
         f"SELECT symbol, time, '{c.name}' AS strategy, '{c.side}' AS side, "
         f"CAST({c.side}_votes AS BIGINT) AS votes, {_confir(c.side, c)} AS verdict FROM s"
@@ -351,9 +370,10 @@ FROM q ASOF LEFT JOIN a ON q.name = a.name AND q.to_time >= a.time"""
                          "WHERE final_decision IN ('buy', 'sell')")
     sql["fresh_decisions"] = (f"{head} SELECT symbol, datetime, final_decision FROM d "
                               f"WHERE TIMESTAMP '{Q.NOW}' - datetime < INTERVAL 1 HOUR")
-    sql["normalise_pair"] = (
-        "SELECT event_id, upper(substr(event_type, 1, 3)) || '/USD' AS currency_pair FROM events "
-        "WHERE event_id % 4 <> 0")
+    sql["normalise_pair"] = """WITH raw AS (SELECT event_id, substr(event_type, 1, 3) || '/ ' ||
+CASE WHEN event_id % 4 = 0 THEN 'us' ELSE 'usd' END AS text FROM events),
+clean AS (SELECT event_id, upper(replace(text, ' ', '')) AS currency_pair FROM raw)
+SELECT * FROM clean WHERE regexp_full_match(currency_pair, '[A-Z]{3}/[A-Z]{3}')"""
     answered = answered_ctes()
     sql["service_action"] = f"{answered} SELECT symbol, time, action_sell, action_buy, action FROM a"
     sql["service_action_v1"] = _v1()
@@ -377,9 +397,11 @@ FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
     sql["extract_execution_strict"] = (
         f"{responses} {_price('Entry', True)} AS entry, {_price('Stop Loss', True)} AS stop_loss, "
         f"{_price('Take Profit', True)} AS take_profit FROM r")
+    block = "regexp_extract(response, '(?s)\\{.*\\}')"
     sql["extract_json"] = (
-        f"{responses} CASE WHEN response_id % 8 = 0 THEN kind END AS action, "
-        "CAST(CASE WHEN response_id % 8 = 0 THEN response_id END AS DOUBLE) AS score FROM r")
+        f"SELECT response_id, json_extract_string(j, '$.action') AS action, "
+        f"CAST(json_extract_string(j, '$.score') AS DOUBLE) AS score FROM (WITH {RESPONSES} SELECT "
+        f"response_id, CASE WHEN json_valid({block}) THEN {block} END AS j FROM r)")
     sql["split_decision"] = (
         f"{responses} CASE WHEN contains(response, 'FINAL DECISION:') THEN "
         + STRIP.format("string_split(response, 'FINAL DECISION:')[2]") + " ELSE 'invalid' END AS answer FROM r")

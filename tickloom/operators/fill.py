@@ -48,7 +48,6 @@ def fill(
             f"min_by(_first_{x}, CASE WHEN _first_{x} IS NOT NULL THEN _c END) AS _first_{x}")
             for x in columns])
         carried = carried.join(heads, "symbol")
-    carried = materialise(carried, "fill-carry")
     return local.join(carried, ["symbol", "_c"], "left").selectExpr(*others, *[
         _either(x, f"_in_{x}", *([f"_first_{x}"] if backward else [])) for x in columns])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.schema import REVIEW
+from tickloom.session import materialise
 
 # The answer format the extraction patterns expect.
 DECISION = r"FINAL DECISION: (CONFIRM|REJECT)"
@@ -109,6 +110,7 @@ def executions(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reviewed rows split into complete executions and the quarantine of incomplete ones.
 
     Only a CONFIRM or REJECT counts as reviewed. ``numeric`` tells whether all three are numbers.
+    The marked rows are written once, for both sinks.
     """
     prices = ("entry", "stop_loss", "take_profit")
     reviewed = parsed.filter(F.col("agent_decision").isin("CONFIRM", "REJECT"))
@@ -117,7 +119,7 @@ def executions(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     for p in prices:
         complete = complete & F.col(p).isNotNull()
         numeric = numeric & F.col(p).rlike(r"^[\d\.-]+$")
-    marked = reviewed.withColumn("_complete", complete)
+    marked = materialise(reviewed.withColumn("_complete", complete), "executions")
     good = marked.filter("_complete").withColumn("numeric", numeric).drop("_complete")
     return good, marked.filter("NOT _complete").drop("_complete")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,88 @@ def rule_votes_long(features: DataFrame, rules: DataFrame) -> DataFrame:
         F.sum("_vote").alias("votes"))
 
 
+MOST_RULES = 1_000_000      # of a rule table that every task gets
+BOOK, BARS = 4096, 256      # rules, and bars, that a task handles at once
+
+
+def rule_votes_bitmaps(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same votes for thousands of strategies: one plan, whatever their number.
+
+    The bounds of all rules cut a feature's values into elementary intervals; on each of them, and on
+    each bound, the same rules hold. Their bitmap is looked up with one search a value, and a
+    strategy's votes are the bits set within its stretch. The rule table is configuration: it goes
+    to every task and may have up to ``MOST_RULES`` rows; no bar is shuffled.
+    """
+    columns = ["strategy", "side", "feature", "lo", "hi"]
+    book = rules.select(*columns).limit(MOST_RULES + 1).toPandas()
+    if len(book) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: use rule_votes_long")
+    book = book.sort_values(["strategy", "side"], kind="stable").reset_index(drop=True)
+    named = sorted(book["feature"].unique())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(_books(book))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BARS):
+                some = batch.slice(at, BARS)
+                values = {n: some.column(n).to_numpy(zero_copy_only=False) for n in named}
+                for names, tables in parts:
+                    yield _counted(some, values, names, tables)
+
+    chosen = features.select("symbol", "time", *[F.col(n).cast("double").alias(n) for n in named])
+    return chosen.mapInArrow(
+        count, "symbol string, time timestamp_ntz, strategy string, side string, votes long")
+
+
+def _books(rules: pd.DataFrame) -> Iterator[tuple]:
+    """Rules in books of whole strategies: the strategies' names, and per feature the bounds, the
+    bitmap of each elementary interval, and where the rules of a strategy begin."""
+    if not len(rules):
+        return
+    key = rules.groupby(["strategy", "side"], sort=False, dropna=False).ngroup().to_numpy()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    low = 0
+    while low < len(rules):
+        later = first[first >= low + BOOK]
+        high = int(later[0]) if len(later) else len(rules)
+        part, keys = rules.iloc[low:high], key[low:high] - key[low]
+        names = part.drop_duplicates(["strategy", "side"])[["strategy", "side"]]
+        tables = []
+        for feature, own in part.groupby("feature", sort=False):
+            lo = own["lo"].to_numpy(float, na_value=-np.inf)
+            hi = own["hi"].to_numpy(float, na_value=np.inf)
+            lo, hi = np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi)
+            bounds = np.unique(np.concatenate([lo, hi]))
+            # interval 2k + 1 is bound k itself, 2k what lies before it; the last lies behind all
+            interval = np.arange(2 * len(bounds) + 1)[:, None]
+            held = ((interval >= 2 * np.searchsorted(bounds, lo) + 1)
+                    & (interval <= 2 * np.searchsorted(bounds, hi) + 1))
+            whose = keys[own.index.to_numpy() - low]
+            begin = np.flatnonzero(np.diff(whose, prepend=-1))
+            tables.append((feature, bounds, np.packbits(held, axis=1), len(own), begin, whose[begin]))
+        yield names, tables
+        low = high
+
+
+def _counted(bars: pa.RecordBatch, values: dict[str, np.ndarray], names: pd.DataFrame,
+             tables: list) -> pa.RecordBatch:
+    votes = np.zeros((bars.num_rows, len(names)), np.int64)
+    for feature, bounds, bitmaps, n, begin, whose in tables:
+        value = values[feature]
+        known = ~np.isnan(value)
+        place = np.searchsorted(bounds, value[known])
+        at_bound = (place < len(bounds)) & (bounds[np.minimum(place, len(bounds) - 1)] == value[known])
+        bits = np.unpackbits(bitmaps[2 * place + at_bound], axis=1, count=n)
+        votes[np.ix_(np.flatnonzero(known), whose)] += np.add.reduceat(bits, begin, axis=1, dtype=np.int64)
+    bar = pa.array(np.repeat(np.arange(bars.num_rows), len(names)))
+    own = pa.array(np.tile(np.arange(len(names)), bars.num_rows))
+    return pa.RecordBatch.from_arrays(
+        [bars.column("symbol").take(bar), bars.column("time").take(bar),
+         pa.array(names["strategy"], pa.string()).take(own),
+         pa.array(names["side"], pa.string()).take(own), pa.array(votes.ravel())],
+        names=["symbol", "time", "strategy", "side", "votes"])
+
+
 def _tested(features: DataFrame, rules: DataFrame, kept: Sequence[str]) -> DataFrame:
     """Every rule of every bar, with its vote 0 or 1."""
     named = sorted(r["feature"] for r in rules.select("feature").distinct().collect())

@@ -100,7 +100,8 @@ def _reach(scan: Scan, size: int) -> int:
 def carry_table(
     frame: DataFrame, scans: Sequence[Scan], size: int, seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Value each scan has just before every chunk, keyed ``(symbol, _c)``; written once.
+    """Value each scan has just before every chunk, keyed ``(symbol, _c)``; read once, so not
+    written.
 
     ``seed`` holds values from before chunk 0 (a continued series), one row per symbol.
     """
@@ -138,7 +139,7 @@ def carry_table(
         ahead = exclusive_affine(maps, "_c").groupBy("symbol", "_c").agg(*[
             F.max(F.when(F.col("scan") == n, F.col("b"))).alias(f"_in_{n}") for n in affine])
         carry = ahead if carry is None else carry.join(ahead, ["symbol", "_c"], "full")
-    return materialise(carry, "scan-carry")
+    return carry
 
 
 def with_carry(

@@ -15,6 +15,7 @@ RECORD = (
     r"(?s)" + STAMP + r".*?FINAL DECISION:\s*(.*?)\*\*.*?Trade Execution.*?"
     r"- Entry:\s*\[([\d\.-]+)\].*?- Stop Loss:\s*\[([\d\.]+)\].*?- Take Profit:\s*\[([\d\.]+)\]"
 )
+MARK = "\u0001"          # between fields on the way; no log line holds it
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -40,16 +41,20 @@ def append_log(df: DataFrame, path: str, ts: str = "ts", response: str = "respon
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Typed rows of the records that match the full layout; others are dropped."""
-    text = F.col(column)
-    stamp = F.try_to_timestamp(F.regexp_extract(text, RECORD, 1), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return records.filter(text.rlike(RECORD)).select(
-        stamp.cast("timestamp_ntz").alias("timestamp"),
-        strip(F.regexp_extract(text, RECORD, 2)).alias("decision"),
-        F.regexp_extract(text, RECORD, 3).alias("entry"),
-        F.regexp_extract(text, RECORD, 4).alias("stop_loss"),
-        F.regexp_extract(text, RECORD, 5).alias("take_profit"),
-    )
+    """Typed rows of the records that match the full layout; others are dropped.
+
+    One replacement writes all fields side by side, the free text last, so the pattern runs once a
+    record; the generator keeps the planner from running it again for the filter.
+    """
+    laid_out = F.regexp_replace(F.col(column), r"(?s)\A.*?" + RECORD + r".*\z",
+                                "".join(f"{MARK}${g}" for g in (1, 3, 4, 5, 2)))
+    fields = records.select(F.explode(F.array(F.split(laid_out, MARK, 6))).alias("f")).filter(
+        (F.size("f") == 6) & (F.col("f")[0] == ""))
+    stamp = F.try_to_timestamp(F.col("f")[1], F.lit("yyyy-MM-dd HH:mm:ss"))
+    return fields.select(
+        stamp.cast("timestamp_ntz").alias("timestamp"), strip(F.col("f")[5]).alias("decision"),
+        F.col("f")[2].alias("entry"), F.col("f")[3].alias("stop_loss"),
+        F.col("f")[4].alias("take_profit"))
 
 
 def latest_stamp(records: DataFrame, column: str = "record") -> DataFrame:

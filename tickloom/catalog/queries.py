@@ -32,6 +32,7 @@ from tickloom.sources import logs as L
 from tickloom.streaming import bars as SB
 from tickloom.streaming import features as SF
 from tickloom.streaming import logs as SL
+from tickloom.streaming import partial_bars as SP
 from tickloom.streaming import upserts as SU
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -787,6 +788,18 @@ def stream_bars(spark, sf_dir):
     return shown(spark.read.parquet(f"{out}/bars"))
 
 
+def stream_bars_live(spark, sf_dir):
+    """All bars, open ones too, although every fifth tick comes twelve days late."""
+    late = F.when(F.col("seq") % 5 == 0, F.col("ts") + F.expr("INTERVAL 12 DAYS")).otherwise(F.col("ts"))
+    ticks = event_ticks(spark, sf_dir).withColumn("arrives", late)
+    live = SP.LiveBars(spark, _folder(spark, "live-bars"))
+
+    def run(feed: str) -> None:
+        live.follow(spark.readStream.schema(ticks.schema).parquet(feed)).awaitTermination()
+    _feed(ticks, "arrives", run)
+    return shown(live.read())
+
+
 def stream_dedup(spark, sf_dir):
     """Every second bar arrives again in a later batch with a higher close: the first is kept."""
     bars = event_bars(spark, sf_dir)
@@ -897,7 +910,7 @@ def queries() -> dict[str, Query]:
         volume_confirm, decisions_as_of, base_scores, stacked_scores, extract_decision,
         extract_justification, extract_execution, extract_execution_strict, extract_json,
         split_decision, review_table, exec_valid, exec_quarantine, build_requests, log_records,
-        parse_log, log_latest, stream_bars, stream_dedup, stream_keep_last, stream_features,
+        parse_log, log_latest, stream_bars, stream_bars_live, stream_dedup, stream_keep_last, stream_features,
         stream_features_late, stream_decisions, stream_log,
     ):
         found[fn.__name__] = fn

@@ -294,6 +294,7 @@ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED
     sql["fill_forward"] = _gappy(False)
     sql["fill_backward"] = _gappy(True)
     sql["scan_bars"] = sql["snapshot_roundtrip"] = sql["build_bars_hourly"] = _bars()
+    sql["stream_bars_live"] = _bars()
     sql["build_bars_daily"] = _bars(ORDER_BARS)
     sql["epoch_to_ts"] = ("SELECT event_id, make_timestamp((1704067200 + event_id * 60) * 1000000) "
                           "AS time FROM events")

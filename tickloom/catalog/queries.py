@@ -16,6 +16,7 @@ from tickloom.operators import responses as T
 from tickloom.operators import rolling as R
 from tickloom.operators import rules as G
 from tickloom.operators import scoring as S
+from tickloom.operators import trees as TR
 from tickloom.operators.blocks import exclusive_prefix, index_rows, spread
 from tickloom.operators.fill import fill, fill_backward
 from tickloom.operators.indicators import COLUMNS, row, win
@@ -646,6 +647,64 @@ def model_decisions(spark, sf_dir):
         F.count_distinct("datetime").alias("n_times"))
 
 
+#: Dumped models of a stack over the event bars: model, tree, node, feature, test, threshold, yes, no,
+#: missing, value.
+DUMPED = (
+    ("base_a", 0, 0, "z_score", "<", 0.5, 1, 2, 1, None), ("base_a", 0, 1, "rsi", "<", 38.5, 3, 4, 4, None),
+    ("base_a", 0, 2, None, None, None, None, None, None, 0.31),
+    ("base_a", 0, 3, None, None, None, None, None, None, -0.42),
+    ("base_a", 0, 4, "tick_volume", "<", 4.0, 5, 6, 6, None),
+    ("base_a", 0, 5, None, None, None, None, None, None, 0.07),
+    ("base_a", 0, 6, None, None, None, None, None, None, -0.125),
+    ("base_a", 1, 0, "volume_imbalance", "<", 1e-3, 1, 2, 2, None),
+    ("base_a", 1, 1, None, None, None, None, None, None, 0.2),
+    ("base_a", 1, 2, None, None, None, None, None, None, -0.11),
+    ("base_b", 0, 0, "bb_width", "<=", 1.25, 1, 2, 2, None),
+    ("base_b", 0, 1, "cmf", "<=", -0.05, 3, 4, 3, None),
+    ("base_b", 0, 2, None, None, None, None, None, None, 0.6),
+    ("base_b", 0, 3, None, None, None, None, None, None, -0.55),
+    ("base_b", 0, 4, None, None, None, None, None, None, 0.15),
+    ("meta", 0, 0, "zero_pred_1", "<", 0.5, 1, 2, 1, None),
+    ("meta", 0, 1, "one_pred_0", "<", 0.45, 3, 4, 4, None),
+    ("meta", 0, 2, "stochastic_k", "<", 60.0, 5, 6, 5, None),
+    ("meta", 0, 3, None, None, None, None, None, None, 0.2),
+    ("meta", 0, 4, None, None, None, None, None, None, -0.9),
+    ("meta", 0, 5, None, None, None, None, None, None, 0.75),
+    ("meta", 0, 6, None, None, None, None, None, None, -0.3),
+    ("meta", 1, 0, None, None, None, None, None, None, 0.05),
+)
+TREE_FEATURES = ("z_score", "rsi", "volume_imbalance", "bb_width", "cmf", "stochastic_k")
+
+
+def _dump_text(model: str) -> str:
+    lines, last = [], None
+    for m, tree, node, feature, test, at, yes, no, missing, value in DUMPED:
+        if m != model:
+            continue
+        if tree != last:
+            lines, last = [*lines, f"booster[{tree}]:"], tree
+        lines.append(f"\t{node}:leaf={value}" if feature is None else
+                     f"{node}:[{feature}{test}{at}] yes={yes},no={no},missing={missing}")
+    return "\n".join(lines)
+
+
+def dumped_nodes(spark) -> DataFrame:
+    """The node table, read from dump files."""
+    found = None
+    for model in ("base_a", "base_b", "meta"):
+        path = _folder(spark, f"dump-{model}")
+        spark.createDataFrame([(_dump_text(model),)], "value string").coalesce(1).write.text(path)
+        nodes = TR.read_dump(spark, path, model)
+        found = nodes if found is None else found.unionByName(nodes)
+    return found
+
+
+def tree_scores(spark, sf_dir):
+    features = feature_table(event_bars(spark, sf_dir), list(TREE_FEATURES), "raw")
+    out = TR.tree_stack(features, dumped_nodes(spark), "up")
+    return shown(out.select("symbol", "time", *S.PROBABILITIES, "up_p0", "up_p1", "up_class"))
+
+
 # --- reviews ---------------------------------------------------------------------------------
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -905,7 +964,7 @@ def queries() -> dict[str, Query]:
         ewm_adjusted, ema_gappy, atr_gappy, stacked_logit, confidence_gate, rule_votes_wide, rule_votes_long, rule_votes_many,
         rule_verdict_long, verdict_join, verdict_counts, final_decision, daily_final_decision,
         decision_counts, latest_decision, strategy_decisions, strategy_requests, prefix_groups,
-        model_checks, model_decisions,
+        model_checks, model_decisions, tree_scores,
         actionable, fresh_decisions, normalise_pair, service_action, service_action_v1,
         volume_confirm, decisions_as_of, base_scores, stacked_scores, extract_decision,
         extract_justification, extract_execution, extract_execution_strict, extract_json,

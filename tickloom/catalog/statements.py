@@ -143,6 +143,42 @@ FINAL = """CASE confir_buy || '/' || confir_sell
         ELSE 'do_nothing' END"""
 
 
+def _tree_scores() -> str:
+    """Trees walked node by node, one row for each bar and tree."""
+    def value(x) -> str:
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+    nodes = ", ".join(f"({', '.join(map(value, n))})" for n in Q.DUMPED)
+    base = (*Q.TREE_FEATURES, "tick_volume")
+
+    def walk(name: str, source: str, models: str, columns) -> str:
+        x = "CASE n.feature " + " ".join(f"WHEN '{c}' THEN CAST(b.\"{c}\" AS DOUBLE)" for c in columns) + " END"
+        x = f"({x})"
+        return f"""
+{name}w AS (SELECT symbol, time, model, tree, 0 AS node FROM {source}
+      JOIN (SELECT DISTINCT model, tree FROM nodes) t ON model IN ({models})
+    UNION ALL SELECT w.symbol, w.time, w.model, w.tree, CASE WHEN {x} IS NULL OR NOT isfinite({x})
+      AND isnan({x}) THEN n.missing WHEN n.test = '<' AND {x} < n.threshold
+      OR n.test = '<=' AND {x} <= n.threshold THEN n.yes ELSE n.no END
+    FROM {name}w w JOIN nodes n USING (model, tree, node) JOIN {source} b ON b.symbol = w.symbol AND b.time = w.time
+    WHERE n.feature IS NOT NULL),
+{name} AS (SELECT symbol, time, model, 1 / (1 + exp(-sum(n.value))) AS p FROM {name}w
+    JOIN nodes n USING (model, tree, node) WHERE n.feature IS NULL GROUP BY ALL)"""
+
+    picked = ", ".join(shown(c) for c in (
+        "zero_pred_0", "zero_pred_1", "one_pred_0", "one_pred_1", "up_p0", "up_p1"))
+    return f"""{feature_ctes()},
+nodes(model, tree, node, feature, test, threshold, yes, no, missing, value) AS (VALUES {nodes}),
+bars_in AS MATERIALIZED (SELECT symbol, time, {', '.join(f'"{c}"' for c in base)} FROM f),
+{walk('s', 'bars_in', "'base_a', 'base_b'", base)},
+based AS MATERIALIZED (SELECT b.*, a.p AS zero_pred_1, 1 - a.p AS zero_pred_0, o.p AS one_pred_1, 1 - o.p AS one_pred_0
+    FROM bars_in b JOIN s a ON a.symbol = b.symbol AND a.time = b.time AND a.model = 'base_a'
+    JOIN s o ON o.symbol = b.symbol AND o.time = b.time AND o.model = 'base_b'),
+{walk('t', 'based', "'meta'", ('zero_pred_1', 'one_pred_0', 'stochastic_k'))},
+done AS (SELECT based.*, 1 - p AS up_p0, p AS up_p1 FROM based JOIN t USING (symbol, time))
+SELECT symbol, time, {picked}, CAST(up_p1 > up_p0 AS BIGINT) AS up_class FROM done"""
+
+
 def _votes_many() -> str:
     """Every rule of every bar, one after another."""
     value = "CASE r.feature " + " ".join(f"WHEN '{c}' THEN f.\"{c}\"" for c in Q.MANY_FEATURES) + " END"
@@ -338,6 +374,7 @@ FROM q ASOF LEFT JOIN ({known}) a ON q.symbol = a.symbol AND q.to_time >= a.time
         f"{decided_ctes(ORDER_BARS)} SELECT symbol, datetime, {P_SHOWN}, confir_buy, confir_sell, "
         "final_decision, currency_pair FROM d")
     sql["rule_votes_many"] = _votes_many()
+    sql["tree_scores"] = _tree_scores()
     sql["rule_verdict_long"] = f"{scored_ctes()} " + " UNION ALL ".join(
         f"SELECT symbol, time, '{c.name}' AS strategy, '{c.side}' AS side, "
         f"CAST({c.side}_votes AS BIGINT) AS votes, {_confir(c.side, c)} AS verdict FROM s"

@@ -945,6 +945,39 @@ def stream_log(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
+GROWTH = ("response_id % 3 = 0", "response_id % 3 = 1", "response_id % 3 = 2")
+
+
+def _grow(spark, path: str, texts: DataFrame) -> None:
+    """Append records to the one file at ``path``, as a service does."""
+    part = _folder(spark, "log-part")
+    L.append_log(texts.coalesce(1), part)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    grown = jvm.org.apache.hadoop.fs.Path(f"{path}.grown")
+    out = fs.create(grown, True)
+    added = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part))
+             if s.getPath().getName().startswith("part-")]
+    for source in ([target] if fs.exists(target) else []) + added:
+        stream = fs.open(source)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+        stream.close()
+    out.close()
+    fs.delete(target, False)
+    fs.rename(grown, target)
+
+
+def stream_log_growing(spark, sf_dir):
+    """One log file that grows between batches: each record comes out once."""
+    out, folder = _folder(spark, "stream-growing"), _folder(spark, "growing-log")
+    texts = responses(spark, sf_dir)
+    for part in GROWTH:
+        _grow(spark, f"{folder}/service.log", texts.filter(part))
+        SL.tail_growing_log(spark, folder, f"{out}/work", f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name, columns in {**FINITE, **RUNNING}.items():
@@ -970,7 +1003,7 @@ def queries() -> dict[str, Query]:
         extract_justification, extract_execution, extract_execution_strict, extract_json,
         split_decision, review_table, exec_valid, exec_quarantine, build_requests, log_records,
         parse_log, log_latest, stream_bars, stream_bars_live, stream_dedup, stream_keep_last, stream_features,
-        stream_features_late, stream_decisions, stream_log,
+        stream_features_late, stream_decisions, stream_log, stream_log_growing,
     ):
         found[fn.__name__] = fn
     return found

@@ -483,6 +483,6 @@ FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
     sql["stream_keep_last"] = sql["append_dedup_last"]
     sql["stream_features"] = sql["stream_features_late"] = _as_of(Q.STREAM_COLUMNS)
     sql["stream_decisions"] = sql["service_action"]
-    sql["stream_log"] = sql["parse_log"]
+    sql["stream_log"] = sql["stream_log_growing"] = sql["parse_log"]
     sql["log_latest"] = "SELECT max(date_trunc('second', ts)) AS latest FROM events"
     return sql

@@ -113,9 +113,12 @@ def _newton(histogram: DataFrame, sources: list[Source], cap: float) -> None:
             return
         tilts = local(spark, [(ix, sources[ix].tilt) for ix in open_], TILTS)
         at = rate(size, F.col("tilt"), cap)
+        # sums of decimals do not depend on the order of their terms, so reruns take the same steps
+        exact, words = F.round(at, 12).cast("decimal(14,12)"), F.col("mix_size").cast("decimal(12,0)")
+        of_size = (F.col("docs") * F.col("mix_size")).cast("decimal(19,0)")
         sums = histogram.join(tilts, "ix").groupBy("ix").agg(
-            F.sum(F.col("docs") * size * at).alias("taken"),
-            F.sum(F.when(at < cap, F.col("docs") * size * size * at)).alias("slope")).collect()
+            F.sum(of_size * exact).cast("double").alias("taken"),
+            F.sum(F.when(at < cap, of_size * words * exact)).cast("double").alias("slope")).collect()
         for row in sums:
             source, bounds = sources[row["ix"]], open_[row["ix"]]
             miss = row["taken"] - source.target

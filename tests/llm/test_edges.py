@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm import dac, fertility, mixing, piece_codec, queries, simhash, topk
+from tickloom.llm import dac, fertility, mixing, piece_codec, queries, repeats, simhash, topk
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BPE, PIECE = (public_tokenizers.path(n) for n in (queries.BYTE_BPE, queries.PIECE_BPE))
@@ -153,6 +153,21 @@ def test_fences_equal_numpy(spark):
     assert any(got[900 + i]["outlier"] for i in range(5))
 
 
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    seen, pair, n = {}, None, 0
+    while pair is None:                # two texts whose hashes agree in the lowest 24 bits
+        text = f"{n} " + prose(random.Random(n), 40)
+        low = xxhash.xxh64_intdigest(text.encode(), 42) % (1 << 24)
+        pair = (seen[low], text) if low in seen else None
+        seen[low], n = text, n + 1
+    passage = prose(random.Random(-1), 60)
+    rows = [(1, passage), (5, pair[0] + " " + passage), (5, pair[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["n_bytes"]: r["n_removed"] for r in repeats.remove_repeats(frame).collect()}
+    assert got[len(pair[1].encode())] == 0
+    assert got[len(rows[1][1].encode())] >= len(passage.encode())
+
+
 def test_clashing_names_and_empty_tables(spark, tmp_path):
     rng = random.Random(1)
     extra = "ids string, n int, key string, size string, start int, part int, of string, at string"

@@ -36,7 +36,7 @@ THRESHOLD, GRAM, CELL = 100, 24, 8
 PIECE = 1 << 20            # bytes scanned at once; positions in it fit the anchors' low bits
 LOW = 22
 HELD, HOT = 1 << 20, 512   # runs decided together in a task; different runs of one digit there
-START = 39                 # bits of a start; above them 24 bits of the text's hash
+START = 31                 # bits of a start (texts hold up to 2^31 bytes); above them 32 bits of the text's hash
 NO_ID = -(1 << 63)
 CANDIDATE, REPEAT, OPEN = 0, 1, 2
 ROW = [("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()),
@@ -164,13 +164,13 @@ def _windows(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
                 data = text_bytes(batch, "text", low, high)
                 offsets = text_offsets(batch, "text")[low:high + 1]
                 offsets = offsets - offsets[0]
-                doc, high24 = (batch.column(c).to_numpy()[low:high] for c in ("doc", "hash24"))
+                doc, high32 = (batch.column(c).to_numpy()[low:high] for c in ("doc", "hash32"))
                 # a longer text is scanned in parts that overlap by less than a window
                 for cut in range(0, max(len(data) - threshold + 1, 0), PIECE):
                     part = data[cut:cut + PIECE + threshold - 1] if high == low + 1 else data
                     ends = np.array([0, len(part)]) if high == low + 1 else offsets
                     row, start, *rest = runs(part, ends, up, down)
-                    at = (high24[row] << START) + (start - ends[row] + cut)
+                    at = (high32[row] << START) + (start - ends[row] + cut)
                     held.append([rest[0], rest[1], doc[row], at, rest[2], rest[3]])
                     count += len(row)
                     if high > low + 1:
@@ -211,7 +211,7 @@ def _windows(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
 
 def _bytes_of(docs: DataFrame, open_: DataFrame, threshold: int) -> DataFrame:
     """doc, at, o, n, bytes: the open runs with the bytes of their windows."""
-    lists = open_.groupBy("doc", F.shiftright("at", START).alias("hash24")).agg(
+    lists = open_.groupBy("doc", F.shiftright("at", START).alias("hash32")).agg(
         F.collect_list(F.struct("at", "o", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def _bytes_of(docs: DataFrame, open_: DataFrame, threshold: int) -> DataFrame:
                                for s, r in zip(starts, found)], pa.binary())],
                     names=["doc", "at", "o", "n", "bytes"])
 
-    return docs.join(lists.hint("shuffle_hash"), ["doc", "hash24"]).select(
+    return docs.join(lists.hint("shuffle_hash"), ["doc", "hash32"]).select(
         "doc", "text", "runs").mapInArrow(cut, "doc long, at long, o int, n int, bytes binary")
 
 
@@ -281,14 +281,14 @@ def _cells(spans: DataFrame, threshold: int, cell: int, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, hash24, text: rows with the same id and text are one document."""
+    """doc, hash32, text: rows with the same id and text are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("hash24"), text.alias("text"))
+                       F.pmod(F.xxhash64(text), F.lit(1 << 32)).alias("hash32"), text.alias("text"))
 
 
 def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """doc, hash24, ranges: for each document with repeats, its byte ranges (start, end) that lie
+    """doc, hash32, ranges: for each document with repeats, its byte ranges (start, end) that lie
     in a window which starts earlier in the corpus; unordered, they may overlap."""
     texts = keyed(docs)
     texts = texts.filter(F.octet_length("text") >= threshold)
@@ -307,7 +307,7 @@ def repeated_ranges(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     third = _cells(last, threshold, 1, "repeats-three")
     found = first.unionByName(second).unionByName(third).filter(F.col("kind") == REPEAT)
     start = F.col("at").bitwiseAND((1 << START) - 1)
-    return found.groupBy("doc", F.shiftright("at", START).alias("hash24")).agg(F.collect_list(
+    return found.groupBy("doc", F.shiftright("at", START).alias("hash32")).agg(F.collect_list(
         F.struct(start.alias("start"), (start + F.col("n") + (threshold - 1)).alias("end")))
         .alias("ranges"))
 
@@ -320,7 +320,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     A byte goes if some `threshold` bytes that cover it also start earlier: in a smaller doc_id or
     earlier in the same document; all texts are judged as they came in. Null or empty text: no
     bytes. A null doc_id comes first. Rows with one id and one text are one document and get one
-    answer; one id with different texts is several documents, in the order of a hash of the text.
+    answer; one id with different texts is several documents, in the order of a hash of the text (of
+    32 bits: two texts under one id that agree in them are not told apart).
     Texts shorter than the threshold stay; very long ones are scanned in overlapping parts. An
     empty table stays empty. Other columns pass through, but for those added, which are replaced.
     """
@@ -333,11 +334,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     others = [f for f in docs.schema if f.name not in new]
     names = [f.name for f in others]
     ranges = repeated_ranges(docs, threshold, gram).select(
-        F.col("doc").alias("__of"), F.col("hash24").alias("__of24"),
+        F.col("doc").alias("__of"), F.col("hash32").alias("__of32"),
         F.col("ranges.start").alias("__starts"), F.col("ranges.end").alias("__ends"))
     text = F.coalesce(F.col("text"), F.lit(""))
     ours = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"),
-                       F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("__24"),
+                       F.pmod(F.xxhash64(text), F.lit(1 << 32)).alias("__32"),
                        text.alias("__text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,6 +375,6 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
         return len(data), removed, spans, digest.hexdigest(), rest
 
     joined = ours.join(ranges.hint("shuffle_hash"), (F.col("__doc") == F.col("__of"))
-                       & (F.col("__24") == F.col("__of24")), "left")
+                       & (F.col("__32") == F.col("__of32")), "left")
     return joined.select(*names, "__text", "__starts", "__ends").mapInArrow(
         cut, T.StructType([*others, *added]))

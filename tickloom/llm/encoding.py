@@ -11,6 +11,7 @@ import itertools
 import re
 from array import array
 from collections.abc import Callable
+from operator import not_
 
 import numpy as np
 
@@ -52,7 +53,7 @@ class ChunkedEncoder:
             ids = list(map(known.get, parts[1:]))
             rows.append((parts, ids))
             if None in ids:
-                fresh.update(p for p, own in zip(parts[1:], ids) if own is None)
+                fresh.update(itertools.compress(parts[1:], map(not_, ids)))
         fresh = list(fresh)
         for at in range(0, len(fresh), 8192):
             some = fresh[at:at + 8192]

@@ -65,7 +65,12 @@ def script(text: str) -> str:
     if text.isascii():
         return "latin" if any(map(str.isalpha, text)) else "none"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes, counts = np.unique(points, return_counts=True)
+    if points.max() < 1 << 14:              # counted, not sorted
+        counts = np.bincount(points)
+        codes = np.flatnonzero(counts)
+        counts = counts[codes]
+    else:
+        codes, counts = np.unique(points, return_counts=True)
     found: Counter = Counter()
     for code, n in zip(codes.tolist(), counts.tolist()):
         if chr(code).isalpha():
@@ -87,15 +92,18 @@ def repeated_words(words: list[bytes]) -> int:
     ordered = np.sort(total)
     if not (ordered[1:] == ordered[:-1]).any():
         return 0
-    order = np.argsort(total, kind="stable")
+    order = np.argsort(total)
     same = total[order][1:] == total[order][:-1]
     starts = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    seen = Counter(tuple(words[s:s + WINDOW]) for s in starts.tolist())   # hashes may collide
+    one, other = order[1:][same], order[:-1][same]
+    if not all((hashes[one + i] == hashes[other + i]).all() for i in range(WINDOW)):
+        # different windows under one total: only those found again word by word count
+        seen = Counter(tuple(words[s:s + WINDOW]) for s in starts.tolist())
+        starts = np.array([s for s in starts.tolist() if seen[tuple(words[s:s + WINDOW])] > 1],
+                          np.int64)
     covered = np.zeros(len(words) + 1, np.int64)
-    for s in starts.tolist():
-        if seen[tuple(words[s:s + WINDOW])] > 1:
-            covered[s] += 1
-            covered[s + WINDOW] -= 1
+    covered[starts] += 1                    # each start occurs once
+    covered[starts + WINDOW] -= 1
     return int((np.cumsum(covered) > 0).sum())
 
 
@@ -121,7 +129,7 @@ def fertility(ids: np.ndarray, text: str,
     share = np.diff(np.concatenate([[-1], cuts, [n - 1]])) / n
     entropy = float(-(share * np.log2(share)).sum())
     most = math.log2(n if is_byte is None else min(n, len(is_byte)))
-    return (len(text) / n, 0.0 if is_byte is None else float(is_byte[ids].mean()),
+    return (len(text) / n, 0.0 if is_byte is None else int(np.count_nonzero(is_byte[ids])) / n,
             entropy / most if most else 1.0)
 
 

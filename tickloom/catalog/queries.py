@@ -34,6 +34,7 @@ from tickloom.streaming import bars as SB
 from tickloom.streaming import features as SF
 from tickloom.streaming import logs as SL
 from tickloom.streaming import partial_bars as SP
+from tickloom.streaming import requests as SQ
 from tickloom.streaming import upserts as SU
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,17 +553,21 @@ def volume_confirm(spark, sf_dir):
         F.col("action"), F.col("tick_volume"), SELL.min_volume, BUY.min_volume).alias("action"))
 
 
-def decisions_as_of(spark, sf_dir):
+PER_SYMBOL = [StrategyConfig(name=s, side="sell", symbol=s, threshold=0.0, min_votes=0, rules=(),
+                             aliases=(f"Str-{s}",)) for s in ("click", "view", "purchase", "error")]
+
+
+def symbol_requests(spark, sf_dir) -> DataFrame:
     """Every event asks for its own type's decision at its own time; some name no strategy."""
-    per_symbol = [StrategyConfig(name=s, side="sell", symbol=s, threshold=0.0, min_votes=0,
-                                 rules=(), aliases=(f"Str-{s}",))
-                  for s in ("click", "view", "purchase", "error")]
-    requests = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("Str-"), F.col("event_type"), F.lit("-v2")).alias("strategy"),
         (F.col("ts") - F.expr("INTERVAL 90 MINUTES")).alias("to_time"))
+
+
+def decisions_as_of(spark, sf_dir):
     answered = answers(spark, sf_dir).withColumn("strategy", F.col("symbol"))
-    return P.decisions_as_of(requests, answered, per_symbol).select(
+    return P.decisions_as_of(symbol_requests(spark, sf_dir), answered, PER_SYMBOL).select(
         "request_id", "strategy", "to_time", "bar_time", "action")
 
 
@@ -936,6 +941,27 @@ def stream_decisions(spark, sf_dir):
         "symbol", "time", "action_sell", "action_buy", "action")
 
 
+def stream_requests(spark, sf_dir):
+    """The rows of ``decisions_as_of`` although requests come in three parts, early and late, while
+    the bars come by time."""
+    bars, asked = event_bars(spark, sf_dir), symbol_requests(spark, sf_dir)
+    out, questions = _folder(spark, "stream-requests"), _folder(spark, "questions")
+    features = SF.FeatureStream(P.needed_features(BUY, SELL, extra=SCORED_ON))
+    requests = SQ.RequestStream(spark, f"{out}/requests", PER_SYMBOL, asked.schema)
+    parts = iter(range(3))
+
+    def run(feed: str) -> None:
+        asked.filter(F.col("request_id") % 3 == next(parts)).write.mode("append").parquet(questions)
+        SF.start(spark.readStream.schema(bars.schema).parquet(feed), features, f"{out}/work",
+                 f"{out}/answers", lambda rows: P.answer_rows(rows, BUY, SELL, logit_scorer)
+                 .withColumn("strategy", F.col("symbol"))).awaitTermination()
+        requests.follow(spark.readStream.schema(asked.schema).parquet(questions),
+                        spark.readStream.schema(SQ.TOLD).parquet(f"{out}/answers")).awaitTermination()
+    _feed(bars, "time", run)
+    return requests.read(waiting=True).select(
+        "request_id", "strategy", "to_time", "bar_time", "action")
+
+
 def stream_log(spark, sf_dir):
     out, folder = _folder(spark, "stream-log"), _folder(spark, "log")
     texts = responses(spark, sf_dir)
@@ -1003,7 +1029,7 @@ def queries() -> dict[str, Query]:
         extract_justification, extract_execution, extract_execution_strict, extract_json,
         split_decision, review_table, exec_valid, exec_quarantine, build_requests, log_records,
         parse_log, log_latest, stream_bars, stream_bars_live, stream_dedup, stream_keep_last, stream_features,
-        stream_features_late, stream_decisions, stream_log, stream_log_growing,
+        stream_features_late, stream_decisions, stream_requests, stream_log, stream_log_growing,
     ):
         found[fn.__name__] = fn
     return found

@@ -425,6 +425,7 @@ q AS (SELECT event_id AS request_id, 'Str-' || event_type || '-v2' AS strategy,
 SELECT request_id, strategy, to_time, a.time AS bar_time,
        CASE WHEN q.symbol IS NULL THEN 'NO_STRG' ELSE a.action END AS action
 FROM q ASOF LEFT JOIN a ON q.symbol = a.symbol AND q.to_time >= a.time"""
+    sql["stream_requests"] = sql["decisions_as_of"]
 
     responses = f"WITH {RESPONSES} SELECT response_id, "
     sql["extract_decision"] = f"{responses} {DECISION} AS agent_decision FROM r"

@@ -145,6 +145,16 @@ def strategy_answers(
         "strategy", "symbol", "time", "tick_volume", "action_sell", "action_buy"))
 
 
+def strategy_of(strategies: Sequence[StrategyConfig]) -> tuple[Column, Column]:
+    """Name and symbol of the strategy whose prefix fits a request's ``strategy`` best."""
+    name = symbol = F.lit(None).cast("string")
+    for alias, c in sorted(((a, c) for c in strategies for a in c.aliases), key=lambda x: len(x[0])):
+        fits = F.col("strategy").startswith(alias)
+        name = F.when(fits, c.name).otherwise(name)
+        symbol = F.when(fits, c.symbol).otherwise(symbol)
+    return name, symbol
+
+
 def decisions_as_of(
     requests: DataFrame, answers: DataFrame, strategies: Sequence[StrategyConfig],
     bar_seconds: int = 3600,
@@ -155,11 +165,7 @@ def decisions_as_of(
     answer, also where several strategies judge one symbol. An unknown one gets ``NO_STRG``, one
     before the first bar gets NULL. ``symbol`` is the strategy's.
     """
-    name = symbol = F.lit(None).cast("string")
-    for alias, c in sorted(((a, c) for c in strategies for a in c.aliases), key=lambda x: len(x[0])):
-        fits = F.col("strategy").startswith(alias)
-        name = F.when(fits, c.name).otherwise(name)
-        symbol = F.when(fits, c.symbol).otherwise(symbol)
+    name, symbol = strategy_of(strategies)
     named = requests.withColumns({"_strategy": name, "symbol": symbol})
     known = answers.select(F.col("strategy").alias("_strategy"), F.col("time").alias("bar_time"),
                            "action_sell", "action_buy", "action")

@@ -232,3 +232,45 @@ def test_bitmap_votes_equal_the_joined_ones(spark, monkeypatch):
                  for f in (G.rule_votes_bitmaps, G.rule_votes_long))
     assert got == want and len(got) == 40 * len({r[:2] for r in rows})
     assert G.rule_votes_bitmaps(features, rules.limit(0)).count() == 0
+
+
+def test_more_rules_than_a_driver_should_hold(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import rules as G
+    features = spark.createDataFrame(
+        [("A", at(0), 0.0, 7.0), ("A", at(1), None, -1.0), ("B", at(0), 500.5, 1e9)],
+        "symbol string, time timestamp_ntz, x double, y double")
+    n = 1_000_200
+    rules = spark.range(n).select(
+        F.concat(F.lit("s"), F.col("id") % 900).alias("strategy"), F.lit("buy").alias("side"),
+        F.when(F.col("id") < n // 2, "x").otherwise("y").alias("feature"),
+        (F.col("id") % 1000).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    votes = G.rule_votes_bitmaps(features, rules)
+    got = {(r["symbol"], r["time"]): (r["strategies"], r["votes"]) for r in votes.groupBy(
+        "symbol", "time").agg(F.count(F.lit(1)).alias("strategies"), F.sum("votes").alias("votes")).collect()}
+    rest = [sum(i % 1000 <= v for i in span) for span, v in (
+        (range(n // 2), 0), (range(n // 2, n), 7), (range(n // 2), 500))]
+    assert got == {("A", at(0)): (900, rest[0] + rest[1]), ("A", at(1)): (900, 0),
+                   ("B", at(0)): (900, rest[2] + n - n // 2)}
+
+
+def test_votes_combined_in_tasks_equal_the_sums_of_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import rules as G
+    monkeypatch.setattr(G, "BOOK", 3)
+    monkeypatch.setattr(G, "BARS", 2)
+    features = spark.createDataFrame(
+        [(s, at(h), None if h == 4 else h / 2, float(-h)) for s in "AB" for h in range(9)],
+        "symbol string, time timestamp_ntz, x double, y double")
+    rules = spark.createDataFrame(
+        [(None if k == 3 else f"s{k}", "buy" if k % 2 else None, f, lo, lo + k) for k in range(5)
+         for f, lo in (("x", 0.5), ("x", 2.0), ("y", -6.0))],
+        "strategy string, side string, feature string, lo double, hi double")
+    want = G.rule_votes_bitmaps(features, rules).groupBy("strategy", "side").agg(
+        F.count(F.lit(1)), F.sum("votes"), F.max("votes"), F.count_if(F.col("votes") >= 2))
+    got = G.rule_votes_bitmaps(features, rules, strong=2).groupBy("strategy", "side").agg(
+        F.sum("bars"), F.sum("votes"), F.max("most"), F.sum("strong"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == 5

@@ -431,10 +431,10 @@ def many_rules(spark, sf_dir) -> DataFrame:
 def rule_votes_many(spark, sf_dir):
     """Votes of thousands of strategies on every bar, summed up by strategy."""
     features = feature_table(event_bars(spark, sf_dir), list(MANY_FEATURES), "history")
-    found = G.rule_votes_bitmaps(features, many_rules(spark, sf_dir))
+    found = G.rule_votes_bitmaps(features, many_rules(spark, sf_dir), strong=2)
     return found.groupBy("strategy", "side").agg(
-        F.count(F.lit(1)).alias("bars"), F.sum("votes").alias("votes"), F.max("votes").alias("most"),
-        F.count_if(F.col("votes") >= 2).alias("strong"))
+        F.sum("bars").alias("bars"), F.sum("votes").alias("votes"), F.max("most").alias("most"),
+        F.sum("strong").alias("strong"))
 
 
 def rule_verdict_long(spark, sf_dir):

@@ -55,88 +55,147 @@ def rule_votes_long(features: DataFrame, rules: DataFrame) -> DataFrame:
         F.sum("_vote").alias("votes"))
 
 
-MOST_RULES = 1_000_000      # of a rule table that every task gets
 BOOK, BARS = 4096, 256      # rules, and bars, that a task handles at once
 
 
-def rule_votes_bitmaps(features: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same votes for thousands of strategies: one plan, whatever their number.
+def rule_votes_bitmaps(features: DataFrame, rules: DataFrame,
+                       strong: int | None = None) -> DataFrame:
+    """The same votes for any number of strategies: one plan, whatever their number.
 
-    The bounds of all rules cut a feature's values into elementary intervals; on each of them, and on
-    each bound, the same rules hold. Their bitmap is looked up with one search a value, and a
-    strategy's votes are the bits set within its stretch. The rule table is configuration: it goes
-    to every task and may have up to ``MOST_RULES`` rows; no bar is shuffled.
+    The bounds of a book's rules cut a feature's values into elementary intervals; on each of them,
+    and on each bound, the same rules hold. Their bitmap is looked up with one search a value, and a
+    strategy's votes are the bits set within its stretch. Rules are dealt to books of some ``BOOK``
+    rules, whole strategies each, and every bar is sent to every book: one row for the votes of all
+    its strategies. Where books are few, bars are dealt to shards that each book meets one by one.
+
+    With ``strong``, the bars that a strategy meets in one task are combined before they leave it:
+    ``bars``, the sum of their ``votes``, the ``most`` of one bar, and how many have ``strong`` votes
+    or more. A strategy then has a few rows, to be combined again.
     """
-    columns = ["strategy", "side", "feature", "lo", "hi"]
-    book = rules.select(*columns).limit(MOST_RULES + 1).toPandas()
-    if len(book) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: use rule_votes_long")
-    book = book.sort_values(["strategy", "side"], kind="stable").reset_index(drop=True)
-    named = sorted(book["feature"].unique())
+    sizes = {r["feature"]: r["count"] for r in rules.groupBy("feature").count().collect()}
+    named = sorted(n for n in sizes if n is not None)
+    tasks = 8 * features.sparkSession.sparkContext.defaultParallelism
+    books = -(-sum(sizes.values()) // BOOK) or 1
+    shards = -(-tasks // books)
+    bars = features.select(
+        F.explode(F.sequence(F.lit(0), F.lit(books - 1))).alias("_book"),
+        F.pmod(F.xxhash64("symbol", "time"), F.lit(shards)).cast("int").alias("_shard"),
+        F.lit(True).alias("_bar"), "symbol", "time",
+        *[F.col(n).cast("double").alias(f"_value{i}") for i, n in enumerate(named)])
+    number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(named) for x in (n, i)]),
+                          F.col("feature")) if named else F.lit(None).cast("int")
+    dealt = rules.select(
+        F.pmod(F.xxhash64("strategy", "side"), F.lit(books)).cast("int").alias("_book"),
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"),
+        F.lit(False).alias("_bar"), "strategy", "side", number.alias("_feature"),
+        F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    met = bars.unionByName(dealt, allowMissingColumns=True).repartitionById(
+        tasks, F.pmod(F.col("_book") * F.lit(shards) + F.col("_shard"), F.lit(tasks))
+    ).sortWithinPartitions("_book", "_shard", "_bar", "strategy", "side")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(_books(book))
+        place, book, parts, sums = None, [], None, None     # a book's rules come before its bars
         for batch in batches:
-            for at in range(0, batch.num_rows, BARS):
-                some = batch.slice(at, BARS)
-                values = {n: some.column(n).to_numpy(zero_copy_only=False) for n in named}
-                for names, tables in parts:
-                    yield _counted(some, values, names, tables)
-
-    chosen = features.select("symbol", "time", *[F.col(n).cast("double").alias(n) for n in named])
-    return chosen.mapInArrow(
-        count, "symbol string, time timestamp_ntz, strategy string, side string, votes long")
-
-
-def _books(rules: pd.DataFrame) -> Iterator[tuple]:
-    """Rules in books of whole strategies: the strategies' names, and per feature the bounds, the
-    bitmap of each elementary interval, and where the rules of a strategy begin."""
-    if not len(rules):
-        return
-    key = rules.groupby(["strategy", "side"], sort=False, dropna=False).ngroup().to_numpy()
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    low = 0
-    while low < len(rules):
-        later = first[first >= low + BOOK]
-        high = int(later[0]) if len(later) else len(rules)
-        part, keys = rules.iloc[low:high], key[low:high] - key[low]
-        names = part.drop_duplicates(["strategy", "side"])[["strategy", "side"]]
-        tables = []
-        for feature, own in part.groupby("feature", sort=False):
-            lo = own["lo"].to_numpy(float, na_value=-np.inf)
-            hi = own["hi"].to_numpy(float, na_value=np.inf)
-            lo, hi = np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi)
+            keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+                             for n in ("_book", "_shard", "_bar")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if low == high:
+                    continue
+                some = batch.slice(low, high - low)
+                if place != tuple(keys[low, :2].tolist()):
+                    if sums is not None:
+                        yield _summed(parts[0], sums)
+                    place, book, parts, sums = tuple(keys[low, :2].tolist()), [], None, None
+                if not keys[low, 2]:
+                    book.append(some.select(["strategy", "side", "_feature", "lo", "hi"]))
+                    continue
+                if parts is None:
+                    parts = _book(pa.Table.from_batches(book)) if book else ()
+                for at in range(0, some.num_rows if parts else 0, BARS):
+                    piece = some.slice(at, BARS)
+                    votes = _counted(piece, *parts)
+                    if strong is None:
+                        yield _voted(piece, parts[0], votes)
+                    else:
+                        sums = _combined(sums, votes, strong)
+        if sums is not None:
+            yield _summed(parts[0], sums)
+
+    return met.mapInArrow(count, "symbol string, time timestamp_ntz, strategy string, side string, "
+                                 "votes long" if strong is None else
+                          "strategy string, side string, bars long, votes long, most long, strong long")
+
+
+def _book(rules: pa.Table) -> tuple:
+    """Of the rules of whole strategies, in their order: the strategies' names, and per feature the
+    bounds, the bitmap of each elementary interval, and where the rules of a strategy begin."""
+    part = rules.to_pandas()
+    key = part.groupby(["strategy", "side"], sort=False, dropna=False).ngroup().to_numpy()
+    names = part.drop_duplicates(["strategy", "side"])[["strategy", "side"]]
+    number, low, high = (part[c].to_numpy(float, na_value=np.nan) for c in ("_feature", "lo", "hi"))
+    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    tables = []
+    for feature in np.unique(number[~np.isnan(number)]).astype(int).tolist():
+        every = np.flatnonzero(number == feature)
+        for at in range(0, len(every), BOOK):       # bitmaps are as wide as high
+            own = every[at:at + BOOK]
+            lo, hi, whose = low[own], high[own], key[own]
             bounds = np.unique(np.concatenate([lo, hi]))
             # interval 2k + 1 is bound k itself, 2k what lies before it; the last lies behind all
             interval = np.arange(2 * len(bounds) + 1)[:, None]
             held = ((interval >= 2 * np.searchsorted(bounds, lo) + 1)
                     & (interval <= 2 * np.searchsorted(bounds, hi) + 1))
-            whose = keys[own.index.to_numpy() - low]
             begin = np.flatnonzero(np.diff(whose, prepend=-1))
-            tables.append((feature, bounds, np.packbits(held, axis=1), len(own), begin, whose[begin]))
-        yield names, tables
-        low = high
+            tables.append((f"_value{feature}", bounds, np.packbits(held, axis=1), len(own), begin,
+                           whose[begin]))
+    return names, tables
 
 
-def _counted(bars: pa.RecordBatch, values: dict[str, np.ndarray], names: pd.DataFrame,
-             tables: list) -> pa.RecordBatch:
-    votes = np.zeros((bars.num_rows, len(names)), np.int64)
+def _counted(bars: pa.RecordBatch, names: pd.DataFrame, tables: list) -> np.ndarray:
+    """The votes of each bar (row) for each strategy."""
+    votes = np.zeros((bars.num_rows, len(names)), np.int32)
     for feature, bounds, bitmaps, n, begin, whose in tables:
-        value = values[feature]
-        known = ~np.isnan(value)
+        value = bars.column(feature).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(~np.isnan(value))
         place = np.searchsorted(bounds, value[known])
         at_bound = (place < len(bounds)) & (bounds[np.minimum(place, len(bounds) - 1)] == value[known])
         bits = np.unpackbits(bitmaps[2 * place + at_bound], axis=1, count=n)
-        votes[np.ix_(np.flatnonzero(known), whose)] += np.add.reduceat(bits, begin, axis=1, dtype=np.int64)
+        if len(begin) < n:
+            bits = np.add.reduceat(bits, begin, axis=1, dtype=np.int32)
+        if len(whose) == len(names):
+            votes[known] += bits
+        else:
+            votes[np.ix_(known, whose)] += bits
+    return votes
+
+
+def _voted(bars: pa.RecordBatch, names: pd.DataFrame, votes: np.ndarray) -> pa.RecordBatch:
     bar = pa.array(np.repeat(np.arange(bars.num_rows), len(names)))
     own = pa.array(np.tile(np.arange(len(names)), bars.num_rows))
     return pa.RecordBatch.from_arrays(
         [bars.column("symbol").take(bar), bars.column("time").take(bar),
          pa.array(names["strategy"], pa.string()).take(own),
-         pa.array(names["side"], pa.string()).take(own), pa.array(votes.ravel())],
+         pa.array(names["side"], pa.string()).take(own), pa.array(votes.ravel(), pa.int64())],
         names=["symbol", "time", "strategy", "side", "votes"])
 
 
+def _combined(sums: np.ndarray | None, votes: np.ndarray, strong: int) -> np.ndarray:
+    """Per strategy the bars, sum, maximum and number of strong votes so far."""
+    own = np.stack([np.full(votes.shape[1], len(votes)), votes.sum(axis=0, dtype=np.int64),
+                    votes.max(axis=0), (votes >= strong).sum(axis=0)])
+    if sums is None:
+        return own
+    return np.stack([sums[0] + own[0], sums[1] + own[1], np.maximum(sums[2], own[2]), sums[3] + own[3]])
+
+
+def _summed(names: pd.DataFrame, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names["strategy"], pa.string()), pa.array(names["side"], pa.string()),
+         *[pa.array(c, pa.int64()) for c in sums]],
+        names=["strategy", "side", "bars", "votes", "most", "strong"])
+
+
 def _tested(features: DataFrame, rules: DataFrame, kept: Sequence[str]) -> DataFrame:
     """Every rule of every bar, with its vote 0 or 1."""
     named = sorted(r["feature"] for r in rules.select("feature").distinct().collect())

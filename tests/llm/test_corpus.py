@@ -521,3 +521,22 @@ def test_pipeline(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, spark.read.parquet(str(path)), str(tmp_path))
         assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def test_a_word_beside_punctuation_is_asked_for_once():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import encoding
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = encoding.byte_level(path), Tokenizer.from_file(path)
+    encoder(["a tishon, b"])
+    assert "tishon" in encoder.known            # before, only with its comma
+    encoder.known.encode = lambda chunk, own=encoder.known.encode: (
+        own(chunk) if chunk != "tishon" else pytest.fail("asked for again"))
+    texts = ["x tishon y tishon; z tishon.\nNext", "\n a.\nÈré b.\n\nc d\r\ne f\n", "a 's's 's.\n's x\u00a0\ny",
+             "é, ñ.\nñ\nü! ʰa, \u4e00. 1,2. a1. ! !a", "", " ", " a, b\n", "a b\n c", "a\tb.\nc d.\te\nf"]
+    for text, ids in zip(texts, encoder(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert all(ids.dtype == np.uint32 for ids in encoder(texts))

@@ -11,12 +11,13 @@ import itertools
 import re
 from array import array
 from collections.abc import Callable
-from operator import not_
+from operator import attrgetter, not_
 
 import numpy as np
 
 MEMORY, LARGE = 64 << 20, 200 << 20     # bytes of chunks remembered; where each costs a call, more
 ENTRY, LONGEST = 200, 48                # bytes that one takes, roughly; characters of the longest
+ENDS = frozenset(".,;:!?)")    # marks that are no word's part and end most chunks that are not words
 FAR_LETTER = "\u0250"      # letters before it are letters to every version of Unicode
 #: White space that is rare in texts; where one occurs, cuts are looked for with care.
 RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f"
@@ -72,7 +73,7 @@ class ChunkedEncoder:
 
 class Known(dict):
     """Texts and their ids. A missing one is encoded when it is asked for and remembered if it is
-    short; a full memory starts anew."""
+    short and of one line; a full memory starts anew."""
 
     def __init__(self, encode: Callable[[str], bytes], size: int) -> None:
         super().__init__()
@@ -80,7 +81,7 @@ class Known(dict):
 
     def __missing__(self, text: str) -> bytes:
         ids = self.encode(text)
-        if len(text) <= LONGEST:
+        if len(text) <= LONGEST and "\n" not in text[:-1]:     # lines rarely meet twice
             if len(self) >= self.most:
                 self.clear()
             self[text] = ids
@@ -88,14 +89,15 @@ class Known(dict):
 
 
 class SingleEncoder(ChunkedEncoder):
-    """Like ChunkedEncoder, for an encoder of one chunk that gains nothing from many at once.
-    Chunks in which `special` occurs go to `library` instead, and are not remembered."""
+    """Like ChunkedEncoder, for an encoder of one chunk that gains nothing from many at once: `encode`
+    has the ids of a chunk that begins with the joint, by what follows it. Chunks in which `special`
+    occurs go to `library` instead, and are not remembered."""
 
-    def __init__(self, encode: Callable[[str], bytes], special: re.Pattern,
-                 library: Callable[[str], bytes], memory: int) -> None:
-        super().__init__(lambda chunks: list(map(encode, chunks)))
-        self.one, self.special, self.library = encode, special, library
-        self.known = Known(lambda part: encode(self.joint + part), memory)
+    def __init__(self, encode: Callable[[str], bytes], first: Callable[[str], bytes],
+                 special: re.Pattern, library: Callable[[str], bytes], memory: int) -> None:
+        super().__init__(lambda chunks: list(map(first, chunks)))
+        self.one, self.special, self.library = first, special, library
+        self.known = Known(encode, memory)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -139,28 +141,52 @@ def byte_level(path: str, memory: int = MEMORY) -> SingleEncoder:
     special = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)")
     words = regex.compile(public_tokenizers.PATTERN)
     letters = byte_letters(pre_tokenizers)
-    space, tokenize = letters[32], tokenizer.model.tokenize
+    letter = [letters[byte] for byte in range(256)].__getitem__
+    space, tokenize, number = letters[32], tokenizer.model.tokenize, attrgetter("id")
 
     def ids(word: str) -> bytes:
         if word.isascii() and word.isprintable():       # these stand for themselves but the space
             text = word.replace(" ", space)
         else:
-            text = word.encode().decode("latin-1").translate(letters)
-        return array("I", [token.id for token in tokenize(text)]).tobytes()
-
-    # words beside punctuation are remembered too: they come with many kinds of it
-    known = Known(ids, memory // 5)
-
-    def encode(chunk: str) -> bytes:
-        if chunk[1:].isalpha() and chunk[0] == " " and max(chunk) < FAR_LETTER:
-            return ids(chunk)                           # the split knows this as one word
+            text = "".join(map(letter, word.encode()))
+        return array("I", map(number, tokenize(text))).tobytes()
+
+    # what stands beside words (punctuation, numbers) and the beginnings of lines are few; they are
+    # remembered apart from chunks
+    beside = Known(ids, memory // 20)
+
+    def joined(parts: list[str]) -> bytes:
+        """A part that begins with the joint is a chunk by itself, met with and without punctuation."""
+        known = encoder.known
+        return b"".join([known[p[1:]] if p[0] == " " and len(p) > 1 else beside[p] for p in parts])
+
+    def encode(rest: str) -> bytes:
+        if rest.isalpha():                              # the split knows this as one word
+            if rest.isascii():
+                return array("I", map(number, tokenize(space + rest))).tobytes()
+            if max(rest) < FAR_LETTER:
+                return ids(" " + rest)
+        elif rest[-1:] in ENDS and rest[:-1].isalpha() and (rest.isascii() or max(rest) < FAR_LETTER):
+            return encoder.known[rest[:-1]] + beside[rest[-1]]      # and this as two
+        elif "\n" in rest and " " not in rest and not RARE_SPACE.search(rest):
+            head, *lines = rest.split("\n")
+            if head and all(lines):                     # a line feed between them is cut by itself
+                line_feed = beside["\n"]
+                return encoder.known[head] + b"".join([line_feed + starts[line] for line in lines])
+        parts = words.findall(" " + rest)
+        return ids(parts[0]) if len(parts) == 1 else joined(parts)
+
+    def first(chunk: str) -> bytes:
         parts = words.findall(chunk)
-        return ids(chunk) if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        return ids(chunk) if len(parts) == 1 else joined(parts)
+
+    starts = Known(first, memory // 20)
 
     def library(chunk: str) -> bytes:
         return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return SingleEncoder(encode, special, library, 4 * memory // 5)
+    encoder = SingleEncoder(encode, first, special, library, 9 * memory // 10)
+    return encoder
 
 
 def byte_letters(pre_tokenizers) -> dict[int, str]:

@@ -540,3 +540,61 @@ def test_a_word_beside_punctuation_is_asked_for_once():
     for text, ids in zip(texts, encoder(texts)):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
     assert all(ids.dtype == np.uint32 for ids in encoder(texts))
+
+
+def test_texts_of_a_batch_are_cut_together():
+    """Each distinct part of a batch is asked for once by each vocabulary, with and without marks
+    (before, the piece vocabulary was asked for each pair), and the ids are those of whole texts."""
+    import numpy as np
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import encoding
+    piece, byte = fertility.encoder(PIECE), fertility.encoder(BPE)
+    uncut = [piece.uncut, byte.uncut]
+    asked = []
+    piece.parts.encode = lambda chunks, own=piece.parts.encode: asked.extend(chunks) or own(chunks)
+    cut = encoding.Cut(pa.array(["x tishon y tishon, z", "a tishon!! b tishon.\nx tishon's"]), uncut)
+    fertility.encoded(piece, [], [0, 1], cut)
+    assert sum("tishon" in c for c in asked) == 2 and len(asked) == len(set(asked))
+
+    rng = random.Random(11)
+    bits = ["the", "Über", "été", "x1", "²", "2.", ".", ",", "!!", "$$$", "'s", "'", "-", "_", "\n", "\n\n",
+            "\n\n\n", " ", " ", " ", " ", "  ", "×", "÷", "ȿ", "ɐ", "ʰ", "é", "—", "日本", "нет", "𐎀", "don't",
+            "\\", "]", "^", "(", "\"", "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", " ", "\n", "\n\n", "a", " a", "a ", "a\n", "\na", "a\n ", "a \nb", "a\n\n\nb.\n\n", "².é.",
+              "a▁b", "a<|endoftext|>b", "<|endoftext|>", "×.a÷.b", "a" * 300 + ". b", "lone\n.", "a.'s b's."]
+    texts += [f"a{c}b. c{c}" for c in map(chr, range(0x3001)) if c.isspace()]
+    column = pa.array(["skipped"] + texts).slice(1)
+    cut = encoding.Cut(column, uncut)
+    assert 1000 < sum(row is not None for row in cut.rows) < len(texts)
+    whole, other = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    old = piece_codec.PieceCodec(PIECE, verify=False)
+    some = [i for i in range(len(texts)) if i % 7]
+    for encode, rows in ((piece, range(len(texts))), (byte, range(len(texts))), (piece, some), (byte, some)):
+        found = fertility.encoded(encode, texts, list(rows), cut)
+        assert sorted(found) == list(rows)
+        for i in rows:
+            assert found[i].dtype == np.uint32
+            if encode is byte:
+                assert found[i].tolist() == whole.encode(texts[i], add_special_tokens=False).ids, texts[i]
+            else:
+                assert found[i].tolist() == old.encode([texts[i]])[0].tolist(), texts[i]
+                if "▁" not in texts[i] and "\x00" not in texts[i]:
+                    assert found[i].tolist() == other.encode(texts[i]), texts[i]
+    for none in (pa.array([], pa.string()), pa.array(["", " "]), pa.array(["a b"], pa.large_string())):
+        cut = encoding.Cut(none, uncut)
+        assert len(cut.rows) == len(none)
+        assert len(fertility.encoded(piece, none.to_pylist(), list(range(len(none))), cut)) == len(none)
+
+
+def test_pieces_across_cuts_keep_texts_whole(monkeypatch):
+    def with_piece(data, own=piece_codec.parse):
+        model = own(data)
+        model.pieces.append(("e.", -1e9, piece_codec.NORMAL))
+        return model
+
+    monkeypatch.setattr(piece_codec, "parse", with_piece)
+    assert piece_codec.PieceCodec(PIECE, verify=False).uncut is None

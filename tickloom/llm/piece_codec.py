@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.common import kept, pieces, text_or_empty
-from tickloom.llm.encoding import ChunkedEncoder
+from tickloom.llm.encoding import MARKS, ChunkedEncoder, Cut
 
 MARK = "▁"
+#: Pieces across a place where texts are cut: a letter before a mark, a line feed beside anything.
+CROSSING = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ȿ][{re.escape(MARKS)}]|\n.|.\n", re.DOTALL)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS, JOINED = 2, 64        # of the library in a task; chunks that it gets as one text
@@ -157,6 +159,13 @@ class PieceCodec:
             return found
 
         self.chunks = ChunkedEncoder(encode, MARK, whole)
+        # texts with the marker are not for Cut; none are, if a piece may lie across its cuts or
+        # more than spaces becomes markers
+        plain = (model.kind == BPE and model.dummy_prefix and model.escape_spaces and not model.charsmap
+                 and sum(kind == BYTE for *_, kind in model.pieces) == 256 and model.byte_fallback
+                 and not whole and not any(CROSSING.search(p) for p, _, k in model.pieces if k == NORMAL))
+        self.uncut = MARK if plain else None
+        self.parts = ChunkedEncoder(encode, MARK)       # remembers parts, the other chunks
         self.bytes = [self._bytes(p, kind) for p, _, kind in model.pieces]
 
     def _merges(self, ids: dict[str, int]) -> list[tuple[str, str]]:
@@ -189,6 +198,12 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.chunks([self.normalise(t) for t in texts])
 
+    __call__ = encode
+
+    def of_cut(self, cut: Cut, rows: list[int]) -> dict[int, np.ndarray]:
+        """By row, the ids of those of the rows that are cut."""
+        return cut.ids(rows, self.parts.of_parts, spaced=True)
+
     def parity(self, text: str, ids: np.ndarray) -> bool:
         """Whether both libraries agree on a text that has been encoded: on all its chunks or, for
         models that normalise texts or treat spaces otherwise, on the ids of the whole text."""
